@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from basketry.functions.scalars import cosine, norm
 from basketry.operators.ranking import similar_top_k, top_n_per_group
 from basketry.session import cut_lineage
 
+# executors get these functions with the job and need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIGITS = 9  # scores this close count as equal, and the lower id goes first
 
 

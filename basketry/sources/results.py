@@ -21,7 +21,7 @@ TTL_SECONDS = {
 def still_valid(rows: DataFrame, as_of: Column) -> DataFrame:
     """Rows younger than their own time to live; one exactly at it has expired."""
     age = F.timestamp_diff("MICROSECOND", F.col("cached_at"), as_of)
-    return rows.where(age < F.col("ttl_seconds") * 1_000_000)
+    return rows.where(age < F.col("ttl_seconds").cast("bigint") * 1_000_000)
 
 
 def stamped(rows: DataFrame, kind: str, cached_at: Column, ttl_seconds: int | None = None) -> DataFrame:

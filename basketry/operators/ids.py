@@ -13,8 +13,8 @@ def with_contiguous_index(df: DataFrame, order: list[str | Column], name: str) -
     """Number the rows 0..n-1 in the given order, without a one-task sort.
 
     Rows are range-sorted; each partition numbers its own rows and starts at
-    the count of all rows in earlier partitions. The sorted rows are
-    checkpointed first: counts and numbers must see the same partitions.
+    the count of all rows in earlier partitions. The sorted rows are written
+    first: counts and numbers must see the same partitions.
     """
     sorted_rows = cut_lineage(
         df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))

@@ -72,7 +72,9 @@ class CollaborativeModel:
     @classmethod
     def train(cls, indexed: DataFrame, mappings: Mappings, **params: Any) -> CollaborativeModel:
         shared_dir(indexed.sparkSession)  # long iterations checkpoint there
-        return cls(_als(**{**ALS_DEFAULTS, **params}).fit(indexed), mappings)
+        blocks = max(10, indexed.sparkSession.sparkContext.defaultParallelism)
+        settings = {"numUserBlocks": blocks, "numItemBlocks": blocks, **ALS_DEFAULTS, **params}
+        return cls(_als(**settings).fit(indexed), mappings)
 
     def evaluate(self, indexed: DataFrame) -> dict[str, float]:
         """RMSE and MAE on held-out pairs."""
@@ -84,7 +86,17 @@ class CollaborativeModel:
         }
 
     def predict(self, pairs: DataFrame) -> DataFrame:
-        return self.als.transform(self.mappings.index(pairs)).drop("user_idx", "item_idx")
+        """Pairs whose user and item are both known, with their prediction."""
+        return predict_pairs(self, pairs)
+
+    def user_side(self, users: DataFrame) -> DataFrame:
+        return users.join(self.user_factors().withColumnRenamed("factors", "_uf"), "user_id")
+
+    def item_side(self, items: DataFrame) -> DataFrame:
+        return items.join(self.item_factors().withColumnRenamed("factors", "_if"), "item_id")
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", dot(F.col("_uf"), F.col("_if"))).drop("_uf", "_if")
 
     def recommend_for_users(self, users: DataFrame, n: int = 10) -> DataFrame:
         """Best ``n`` items of the known users among ``users``: score and rank."""
@@ -207,13 +219,22 @@ class BiasedFactorModel:
         return cls(overall, users, items, CollaborativeModel.train(left_over, mappings, **settings))
 
     def predict(self, pairs: DataFrame) -> DataFrame:
-        based = baseline_prediction(pairs, self.overall, self.user_bias, self.item_bias)
-        factored = (based
-                    .join(_renamed(self.residual.user_factors(), "_uf"), "user_id", "left")
-                    .join(_renamed(self.residual.item_factors(), "_if"), "item_id", "left"))
-        interaction = F.coalesce(dot(F.col("_uf"), F.col("_if")), F.lit(0.0))
-        return factored.withColumn("prediction", F.col("baseline") + interaction).drop(
-            "baseline", "_uf", "_if")
+        """All pairs; an unknown user or item has neither bias nor factors."""
+        return predict_pairs(self, pairs)
+
+    def user_side(self, users: DataFrame) -> DataFrame:
+        factors = self.residual.user_factors().withColumnRenamed("factors", "_uf")
+        return users.join(self.user_bias, "user_id", "left").join(factors, "user_id", "left")
+
+    def item_side(self, items: DataFrame) -> DataFrame:
+        factors = self.residual.item_factors().withColumnRenamed("factors", "_if")
+        return items.join(self.item_bias, "item_id", "left").join(factors, "item_id", "left")
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        parts = [F.coalesce(c, F.lit(0.0)) for c in (
+            F.col("user_bias"), F.col("item_bias"), dot(F.col("_uf"), F.col("_if")))]
+        total = self.overall.scalar() + parts[0] + parts[1] + parts[2]
+        return rows.withColumn("prediction", total).drop("user_bias", "item_bias", "_uf", "_if")
 
     def save(self, path: str) -> None:
         self.overall.write.mode("overwrite").parquet(f"{path}/overall")
@@ -247,7 +268,7 @@ class FactorTreeModel:
         validation_percent: int = 20, max_trees: int = 20, depth: int = 4,
     ) -> FactorTreeModel:
         """Stops adding trees when the held-out error no longer falls."""
-        rows = _tree_features(indexed, factors)
+        rows = _tree_features(factors.item_side(factors.user_side(indexed)))
         target = F.col("rating") - F.col("_product") if on_residual else F.col("rating")
         split = F.pmod(F.xxhash64("user_id", "item_id"), F.lit(100)) < validation_percent
         prepared = cut_lineage(rows.select(
@@ -272,7 +293,16 @@ class FactorTreeModel:
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose user and item are both known, with their prediction."""
-        return self._score(_tree_features(pairs, self.factors))
+        return predict_pairs(self, pairs)
+
+    def user_side(self, users: DataFrame) -> DataFrame:
+        return self.factors.user_side(users)
+
+    def item_side(self, items: DataFrame) -> DataFrame:
+        return self.factors.item_side(items)
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        return self._score(_tree_features(rows))
 
     def save(self, path: str) -> None:
         self.factors.save(f"{path}/factors")
@@ -288,12 +318,15 @@ class FactorTreeModel:
                    GBTRegressionModel.load(f"{path}/trees"), settings["on_residual"])
 
 
-def _renamed(factors: DataFrame, name: str) -> DataFrame:
-    return factors.withColumnRenamed("factors", name)
+def _tree_features(rows: DataFrame) -> DataFrame:
+    return (rows.withColumn("features", array_to_vector(F.concat("_uf", "_if")))
+            .withColumn("_product", dot(F.col("_uf"), F.col("_if"))).drop("_uf", "_if"))
 
 
-def _tree_features(pairs: DataFrame, factors: CollaborativeModel) -> DataFrame:
-    joined = (pairs.join(_renamed(factors.user_factors(), "_uf"), "user_id")
-              .join(_renamed(factors.item_factors(), "_if"), "item_id"))
-    return (joined.withColumn("features", array_to_vector(F.concat("_uf", "_if")))
-            .withColumn("_product", dot(F.col("_uf"), F.col("_if"))).drop("_uf", "_if"))
+def predict_pairs(model, pairs: DataFrame) -> DataFrame:
+    """Any of the models on rows with user_id and item_id.
+
+    A model is asked in three parts: what it knows of a user, what it knows of
+    an item, and the prediction from both.
+    """
+    return model.combine(model.item_side(model.user_side(pairs)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import cosine, norm
+from basketry.operators.ids import id_map
 from basketry.operators.ranking import similar_top_k, top_n_per_group
 from basketry.session import cut_lineage
 
@@ -46,7 +47,9 @@ def similar_items(vectors: DataFrame, k: int = 10, targets: DataFrame | None = N
     return found.withColumnRenamed("score", "similarity")
 
 
-def best_candidates(users: DataFrame, candidates: DataFrame, k: int = 10, **blocking: int) -> DataFrame:
+def best_candidates(
+    users: DataFrame, candidates: DataFrame, k: int = 10, same_ids: bool = False, **blocking: int,
+) -> DataFrame:
     """The ``k`` candidates with the highest dot product for each user.
 
     Each candidate gets one more coordinate that brings all to the same
@@ -54,11 +57,21 @@ def best_candidates(users: DataFrame, candidates: DataFrame, k: int = 10, **bloc
     with the highest dot product.
     """
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    longest = candidates.agg(F.max(squares)).first()[0] or 0.0
-    padded = candidates.select("id", F.concat(
-        "vector", F.array(F.sqrt(F.greatest(F.lit(longest) - squares, F.lit(0.0))))).alias("vector"))
-    asked = users.select("id", F.concat("vector", F.array(F.lit(0.0))).alias("vector"))
-    return nearest(asked, padded, k, same_ids=False, **blocking)
+    sparse = "places" in candidates.columns
+    bounds = [F.max(squares).alias("longest")]
+    if sparse:
+        bounds.append(F.max(F.array_max("places")).alias("last"))
+    limit = candidates.agg(*bounds).first()
+    pad = F.array(F.sqrt(F.greatest(F.lit(limit["longest"] or 0.0) - squares, F.lit(0.0))))
+    if sparse:
+        place = F.array(F.lit((limit["last"] or 0) + 1))
+        padded = candidates.select(
+            "id", F.concat("places", place).alias("places"), F.concat("vector", pad).alias("vector"))
+        asked = users.select("id", "places", "vector")
+    else:
+        padded = candidates.select("id", F.concat("vector", pad).alias("vector"))
+        asked = users.select("id", F.concat("vector", F.array(F.lit(0.0))).alias("vector"))
+    return nearest(asked, padded, k, same_ids=same_ids, **blocking)
 
 
 # --------------------------------------------------------------------------
@@ -69,21 +82,65 @@ def best_candidates(users: DataFrame, candidates: DataFrame, k: int = 10, **bloc
 class _Cells:
     """Reference vectors and what is known about the candidates around each."""
 
-    centers: np.ndarray          # one row per cell
+    centers: pd.DataFrame        # one vector per cell
     nearest: np.ndarray          # smallest candidate distance in the cell
     farthest: np.ndarray         # largest candidate distance in the cell
     close_by: list[np.ndarray]   # the smallest few distances in the cell
     blocks: np.ndarray           # blocks the candidates of the cell are cut into
 
 
+class _Rows:
+    """The vectors of a batch: full rows, or values at given places."""
+
+    def __init__(self, batch: pd.DataFrame):
+        self.count = len(batch)
+        self.full = None
+        if batch["places"].iloc[0] is None:
+            self.full = np.vstack(batch["vector"].to_numpy()).astype(float)
+            return
+        sizes = batch["places"].str.len().to_numpy()
+        self.row = np.repeat(np.arange(self.count), sizes)
+        self.place = np.concatenate(batch["places"].to_numpy()).astype(np.int64)
+        self.value = np.concatenate(batch["vector"].to_numpy()).astype(float)
+
+    def columns(self, wanted: np.ndarray) -> np.ndarray:
+        """Full rows over the wanted places only (sorted)."""
+        at = np.searchsorted(wanted, self.place)
+        known = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == self.place)
+        out = np.zeros((self.count, len(wanted)))
+        out[self.row[known], at[known]] = self.value[known]
+        return out
+
+    def dot(self, other: _Rows, step: int = 2048) -> np.ndarray:
+        if self.full is not None:
+            return self.full @ other.full.T
+        shared = np.intersect1d(self.place, other.place)
+        total = np.zeros((self.count, other.count))
+        for start in range(0, len(shared), step):
+            part = shared[start:start + step]
+            total += self.columns(part) @ other.columns(part).T
+        return total
+
+    def squares(self) -> np.ndarray:
+        if self.full is not None:
+            return (self.full ** 2).sum(1)
+        return np.bincount(self.row, self.value ** 2, self.count)
+
+    def distances(self, other: _Rows) -> np.ndarray:
+        squared = self.squares()[:, None] + other.squares()[None, :] - 2.0 * self.dot(other)
+        return np.sqrt(np.maximum(squared, 0.0))
+
+
 def nearest(
     queries: DataFrame, candidates: DataFrame, k: int, same_ids: bool = True,
     block_rows: int = 2048, max_cells: int = 64,
 ) -> DataFrame:
     """Exact top ``k`` candidates by dot product for every query.
 
-    All candidate vectors must have the same length, so the highest dot product
-    is the smallest distance. Returns source_id, neighbor_id, score, rank.
+    Rows have id and vector, a full array of doubles, or, with the array column
+    ``places``, the values at those places only. All candidate vectors must
+    have the same length, so the highest dot product is the smallest distance.
+    Returns source_id, neighbor_id, score, rank.
 
     Equal vectors are treated once: any query ranks their rows together, by id,
     so only the first few ids can be in a result. Distinct candidates fall into
@@ -94,10 +151,11 @@ def nearest(
     compares one block of both and returns k rows per query.
     """
     want = k + 1 if same_ids else k
-    ranked_ids = top_n_per_group(candidates, ["vector"], [F.asc("id")], want, "_n")
-    kept = ranked_ids.select("vector", F.col("id").alias("neighbor_id"))
-    first_id = candidates.groupBy("vector").agg(F.min("id").alias("cid"))
-    distinct = cut_lineage(first_id)
+    queries, candidates = _with_places(queries), _with_places(candidates)
+    same = ["places", "vector"]
+    kept = top_n_per_group(candidates, same, [F.asc("id")], want, "_n").select(
+        *same, F.col("id").alias("neighbor_id"))
+    distinct = cut_lineage(candidates.groupBy(*same).agg(F.min("id").alias("cid")))
     total = distinct.count()
     if total == 0:
         return queries.select(
@@ -105,19 +163,20 @@ def nearest(
             F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
 
     centers = _pick_centers(distinct, min(max_cells, max(1, total // block_rows)))
-    placed = _place(distinct, centers, block_rows)
+    placed = _place(distinct, centers)
     cells = _describe(placed, centers, want, block_rows)
 
-    asked = cut_lineage(queries.groupBy("vector").agg(F.min("id").alias("qid")))
-    visits = _visits(asked, cells, want, block_rows)
-    best = _compare(visits, placed, want, cells, block_rows)
-    best = top_n_per_group(best, ["qid"], [F.desc("score"), F.asc("cid")], want, "_r")
+    asked = cut_lineage(queries.groupBy(*same).agg(F.min("id").alias("qid")))
+    visits = cut_lineage(_visits(asked, cells, want))
+    best = top_n_per_group(
+        _compare(visits, placed, want, cells, block_rows),
+        ["qid"], [F.desc("score"), F.asc("cid")], want, "_r")
 
     # back from distinct vectors to rows
-    kept_ids = kept.join(distinct, "vector").select("cid", "neighbor_id")
-    members = queries.join(asked, "vector").select(F.col("id").alias("source_id"), "qid")
-    wide = best.join(kept_ids, "cid")
-    short = top_n_per_group(wide, ["qid"], [F.desc("score"), F.asc("neighbor_id")], want, "_r")
+    kept_ids = _on_same_vector(kept, distinct).select("cid", "neighbor_id")
+    members = _on_same_vector(queries, asked).select(F.col("id").alias("source_id"), "qid")
+    short = top_n_per_group(
+        best.join(kept_ids, "cid"), ["qid"], [F.desc("score"), F.asc("neighbor_id")], want, "_r")
     rows = members.join(short.select("qid", "neighbor_id", "score"), "qid")
     if same_ids:
         rows = rows.where(F.col("source_id") != F.col("neighbor_id"))
@@ -125,32 +184,39 @@ def nearest(
         rows, ["source_id"], [F.desc("score"), F.asc("neighbor_id")], k).drop("qid")
 
 
-def _pick_centers(distinct: DataFrame, count: int) -> np.ndarray:
-    """A seeded handful of vectors (at most ``max_cells``) to build cells on."""
-    rows = distinct.orderBy(F.md5(F.col("cid").cast("string")), "cid").limit(count).collect()
-    return np.array([r["vector"] for r in rows], dtype=float)
+def _with_places(df: DataFrame) -> DataFrame:
+    places = F.col("places") if "places" in df.columns else F.lit(None).cast("array<int>")
+    return df.select("id", places.alias("places"), "vector")
 
 
-def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    squared = ((rows ** 2).sum(1)[:, None] + (centers ** 2).sum(1)[None, :]
-               - 2.0 * rows @ centers.T)
-    return np.sqrt(np.maximum(squared, 0.0))
+def _on_same_vector(left: DataFrame, right: DataFrame) -> DataFrame:
+    other = right.select(F.col("places").alias("_p"), F.col("vector").alias("_v"),
+                         *[c for c in right.columns if c not in ("places", "vector")])
+    return left.join(other, F.col("places").eqNullSafe(F.col("_p")) & (F.col("vector") == F.col("_v")))
 
 
-def _place(distinct: DataFrame, centers: np.ndarray, block_rows: int) -> DataFrame:
+def _pick_centers(distinct: DataFrame, count: int) -> pd.DataFrame:
+    """A seeded handful of vectors (at most ``max_cells``) to build cells on."""
+    rows = distinct.orderBy(F.md5(F.col("cid").cast("string")), "cid").limit(count).collect()
+    return pd.DataFrame({"places": [r["places"] for r in rows], "vector": [r["vector"] for r in rows]},
+                        dtype=object)
+
+
+def _place(distinct: DataFrame, centers: pd.DataFrame) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        around = _Rows(centers)
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            away = _distances(np.vstack(batch["vector"].to_numpy()), centers)
-            cell = away.argmin(1)
-            yield batch.assign(cell=cell.astype("int32"), away=away[np.arange(len(batch)), cell])
+            if len(batch):
+                away = _Rows(batch).distances(around)
+                cell = away.argmin(1)
+                yield batch.assign(cell=cell.astype("int32"), away=away[np.arange(len(batch)), cell])
 
-    schema = f"{_fields(distinct, ['vector', 'cid'])}, cell int, away double"
-    return cut_lineage(distinct.select("vector", "cid").mapInPandas(assign, schema))
+    columns = ["places", "vector", "cid"]
+    schema = f"{_fields(distinct, columns)}, cell int, away double"
+    return cut_lineage(distinct.select(*columns).mapInPandas(assign, schema))
 
 
-def _describe(placed: DataFrame, centers: np.ndarray, want: int, block_rows: int) -> _Cells:
+def _describe(placed: DataFrame, centers: pd.DataFrame, want: int, block_rows: int) -> _Cells:
     """Cell bounds: one small row per cell."""
     close = top_n_per_group(placed.select("cell", "away", "cid"), ["cell"],
                             [F.asc("away"), F.asc("cid")], want, "_n")
@@ -169,7 +235,7 @@ def _describe(placed: DataFrame, centers: np.ndarray, want: int, block_rows: int
     return _Cells(centers, near, far, close_by, blocks)
 
 
-def _visits(asked: DataFrame, cells: _Cells, want: int, block_rows: int) -> DataFrame:
+def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
     """Each query with every cell that can hold one of its neighbours."""
     filled = np.flatnonzero(cells.blocks > 0)
     offsets = np.concatenate([cells.close_by[c] for c in filled])
@@ -177,12 +243,13 @@ def _visits(asked: DataFrame, cells: _Cells, want: int, block_rows: int) -> Data
     slack = 1e-6  # float error in the distances
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        around = _Rows(cells.centers)
         for batch in batches:
             if len(batch) == 0:
                 continue
-            away = _distances(np.vstack(batch["vector"].to_numpy()), cells.centers)
+            away = _Rows(batch).distances(around)
             reach = away[:, owner] + offsets[None, :]
-            if reach.shape[1] > want:
+            if reach.shape[1] >= want:
                 limit = np.partition(reach, want - 1, axis=1)[:, want - 1]
             else:
                 limit = np.full(len(batch), np.inf)
@@ -191,44 +258,35 @@ def _visits(asked: DataFrame, cells: _Cells, want: int, block_rows: int) -> Data
             row, cell = np.nonzero(visit)
             yield batch.iloc[row].assign(cell=cell.astype("int32"))
 
-    schema = f"{_fields(asked, ['vector', 'qid'])}, cell int"
-    return asked.select("vector", "qid").mapInPandas(choose, schema)
+    columns = ["places", "vector", "qid"]
+    return asked.select(*columns).mapInPandas(choose, f"{_fields(asked, columns)}, cell int")
 
 
 def _compare(visits: DataFrame, placed: DataFrame, want: int, cells: _Cells,
              block_rows: int) -> DataFrame:
     """Dot products block by block; the best ``want`` per query and block."""
-    visits = cut_lineage(visits)
-    crowd = {r["cell"]: -(-r["n"] // block_rows)
-             for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    table = F.array(*[F.struct(
-        F.lit(int(cells.blocks[c])).alias("own"), F.lit(int(crowd.get(c, 0))).alias("asked"))
-        for c in range(len(cells.blocks))])
-    plan = F.get(table, F.col("cell"))
-
-    def spread(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), plan[{"cb": "own", "qb": "asked"}[mine]])) \
-            .withColumn(other, F.explode(F.expr(
-                f"sequence(0L, {'asked' if other == 'qb' else 'own'}_blocks - 1)")))
-
-    counted = placed.withColumn("own_blocks", plan["own"].cast("long")).withColumn(
-        "asked_blocks", plan["asked"].cast("long")).where("asked_blocks > 0")
-    right = spread(counted, "cid", "cb", "qb").select("cell", "cb", "qb", "cid", "vector")
-    counted = visits.withColumn("own_blocks", plan["own"].cast("long")).withColumn(
-        "asked_blocks", plan["asked"].cast("long"))
-    left = spread(counted, "qid", "qb", "cb").select("cell", "cb", "qb", "qid", "vector")
+    crowds = {r["cell"]: -(-r["n"] // block_rows)
+              for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    plan = F.get(F.array(*[
+        F.struct(F.lit(int(own)).alias("held"), F.lit(int(crowds.get(cell, 0))).alias("asked"))
+        for cell, own in enumerate(cells.blocks)]), F.col("cell"))
+    held_block = F.pmod(F.xxhash64("cid"), plan["held"]).cast("int")
+    asked_block = F.pmod(F.xxhash64("qid"), plan["asked"]).cast("int")
+    # every block of a cell's candidates meets every block of its visitors
+    left = visits.select("cell", asked_block.alias("qb"), F.explode(
+        F.sequence(F.lit(0), plan["held"] - 1)).alias("cb"), "qid", "places", "vector")
+    right = placed.where(plan["asked"] > 0).select("cell", held_block.alias("cb"), F.explode(
+        F.sequence(F.lit(0), plan["asked"] - 1)).alias("qb"), "cid", "places", "vector")
 
     def best_in_block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if len(asked) == 0 or len(held) == 0:
             return pd.DataFrame({"qid": [], "cid": [], "score": []})
         held = held.sort_values("cid", kind="stable")
-        scores = np.round(
-            np.vstack(asked["vector"].to_numpy()) @ np.vstack(held["vector"].to_numpy()).T, DIGITS)
+        scores = np.round(_Rows(asked).dot(_Rows(held)), DIGITS)
         # a stable sort keeps the lower id first among equal scores
         take = np.argsort(-scores, axis=1, kind="stable")[:, :want]
-        width = take.shape[1]
         return pd.DataFrame({
-            "qid": np.repeat(asked["qid"].to_numpy(), width),
+            "qid": np.repeat(asked["qid"].to_numpy(), take.shape[1]),
             "cid": held["cid"].to_numpy()[take.ravel()],
             "score": np.take_along_axis(scores, take, 1).ravel()})
 
@@ -247,7 +305,7 @@ def _fields(df: DataFrame, names: list[str]) -> str:
 
 def rating_neighbors(
     ratings: DataFrame, entity: str, feature: str, k: int = 10,
-    crowd: int = 1000, max_crowded: int = 256,
+    crowd: int = 1000, max_crowded: int = 65536, **blocking: int,
 ) -> DataFrame:
     """Exact top ``k`` neighbours by cosine over the user-item matrix.
 
@@ -256,11 +314,13 @@ def rating_neighbors(
     feature have a similarity above 0, and only those are returned.
 
     A feature that at most ``crowd`` entities share joins them directly: each
-    row meets at most ``crowd`` others. The few features with more entities
-    would form too many pairs; they become coordinates of a short vector per
+    row meets at most ``crowd`` others. A feature with more entities would form
+    too many pairs; these features become the places of a sparse vector per
     entity, and the nearest-vector search finds the best partners there. A pair
     that shares a less crowded feature is found by the join, any other pair has
-    all its similarity in the short vectors, so the two results are complete.
+    all its similarity in the sparse vectors, so the two results are complete.
+    (Should more than ``max_crowded`` features be crowded, the least crowded of
+    them are joined.)
     """
     rows = ratings.select(
         F.col(entity).alias("e"), F.col(feature).alias("f"), F.col("rating").alias("r")
@@ -268,43 +328,57 @@ def rating_neighbors(
     length = rows.groupBy("e").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("_len"))
     unit = cut_lineage(rows.join(length, "e").select("e", "f", (F.col("r") / F.col("_len")).alias("w")))
     sizes = unit.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-    crowded = [r["f"] for r in sizes.orderBy(F.desc("n"), "f").limit(max_crowded).collect()]
-
-    joined = unit.where(~F.col("f").isin(crowded)) if crowded else unit
-    other = joined.select(F.col("e").alias("o"), "f", F.col("w").alias("v"))
-    shared = (joined.join(other, "f").where(F.col("e") < F.col("o"))
-              .groupBy("e", "o").agg(F.sum(F.col("w") * F.col("v")).alias("score")))
-    if crowded:
-        short = _short_vectors(unit, crowded)
-        shared = (shared
-                  .join(short.select(F.col("id").alias("e"), F.col("vector").alias("_a")), "e", "left")
-                  .join(short.select(F.col("id").alias("o"), F.col("vector").alias("_b")), "o", "left")
-                  .withColumn("score", F.col("score") + _dot_or_zero("_a", "_b"))
-                  .drop("_a", "_b"))
-    both = shared.select(F.col("e").alias("source_id"), F.col("o").alias("neighbor_id"), "score") \
-        .unionByName(shared.select(
-            F.col("o").alias("source_id"), F.col("e").alias("neighbor_id"), "score"))
-    both = both.withColumn("similarity", F.round("score", DIGITS)).drop("score")
-    if crowded:
-        crowd_best = _nearest_by_dot(short, k)
-        both = both.unionByName(crowd_best).groupBy("source_id", "neighbor_id").agg(
-            F.max("similarity").alias("similarity"))
-    return similar_top_k(both.where(F.col("similarity") > 0), k)
-
-
-def _short_vectors(unit: DataFrame, crowded: list) -> DataFrame:
-    """One array over the crowded features (at most ``max_crowded``) per entity."""
-    weights = [F.coalesce(F.max(F.when(F.col("f") == c, F.col("w"))), F.lit(0.0)) for c in crowded]
-    return cut_lineage(unit.where(F.col("f").isin(crowded)).groupBy("e").agg(
-        F.array(*weights).alias("vector")).withColumnRenamed("e", "id"))
-
-
-def _dot_or_zero(a: str, b: str):
-    return F.coalesce(F.aggregate(
-        F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
-
-
-def _nearest_by_dot(short: DataFrame, k: int) -> DataFrame:
-    found = best_candidates(short, short, k + 1)
-    return found.where(F.col("source_id") != F.col("neighbor_id")).select(
+    crowded = id_map(sizes.orderBy(F.desc("n"), "f").limit(max_crowded), "f", "place")
+    if crowded.isEmpty():
+        return similar_top_k(_both_ways(_shared_products(unit)), k)
+
+    # at most max_crowded rows of two numbers, so they may be broadcast
+    crowded = F.broadcast(crowded)
+    short = cut_lineage(unit.join(crowded, "f").groupBy(F.col("e").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "w"))).alias("_s")).select(
+        "id", F.transform("_s", lambda s: s["place"]).alias("places"),
+        F.transform("_s", lambda s: s["w"]).alias("vector")))
+    shared = _shared_products(unit.join(crowded, "f", "left_anti"))
+    found = best_candidates(short, short, k, same_ids=True, **blocking).select(
         "source_id", "neighbor_id", F.round("score", DIGITS).alias("similarity"))
+    pairs = _both_ways(_add_crowded_part(shared, short)).unionByName(found)
+    whole = pairs.groupBy("source_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
+    return similar_top_k(whole.where(F.col("similarity") > 0), k)
+
+
+def _shared_products(unit: DataFrame) -> DataFrame:
+    """Dot product of each pair (e < o) over the features they share."""
+    other = unit.select(F.col("e").alias("o"), "f", F.col("w").alias("v"))
+    return (unit.join(other, "f").where(F.col("e") < F.col("o"))
+            .groupBy("e", "o").agg(F.sum(F.col("w") * F.col("v")).alias("score")))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    score = F.round("score", DIGITS).alias("similarity")
+    return pairs.select(F.col("e").alias("source_id"), F.col("o").alias("neighbor_id"), score).unionByName(
+        pairs.select(F.col("o").alias("source_id"), F.col("e").alias("neighbor_id"), score))
+
+
+def _add_crowded_part(pairs: DataFrame, short: DataFrame) -> DataFrame:
+    """Add the dot product of the pair's sparse vectors to its score."""
+    def side(key: str, name: str) -> DataFrame:
+        return short.select(F.col("id").alias(key), F.col("places").alias(f"{name}p"),
+                            F.col("vector").alias(f"{name}v"))
+
+    joined = pairs.join(side("e", "a"), "e", "left").join(side("o", "b"), "o", "left")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = batch["ap"].notna() & batch["bp"].notna()
+            some = batch[both]
+            if len(some):
+                a = _Rows(pd.DataFrame({"places": some["ap"], "vector": some["av"]}))
+                b = _Rows(pd.DataFrame({"places": some["bp"], "vector": some["bv"]}))
+                width = int(max(a.place.max(), b.place.max())) + 1
+                _, left, right = np.intersect1d(
+                    a.row * width + a.place, b.row * width + b.place, True, True)
+                extra = np.bincount(a.row[left], a.value[left] * b.value[right], len(some))
+                batch.loc[both, "score"] = some["score"].to_numpy() + extra
+            yield batch[["e", "o", "score"]]
+
+    return joined.mapInPandas(add, _fields(pairs, ["e", "o", "score"]))

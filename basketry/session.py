@@ -53,13 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the reloaded result.
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of the result.
 
-    The checkpoint survives the loss of executors, and it freezes results that
-    several later steps must see identically.
+    The written table survives the loss of executors, freezes results that
+    several later steps must see identically, and lets those steps read only
+    the columns they need, with its size known to the planner.
     """
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

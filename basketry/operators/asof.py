@@ -24,38 +24,34 @@ def historical_features(
 
     Time is cut into buckets and the work is spread by key and bucket, so a key
     with very many rows is shared by many tasks. Within a bucket a running
-    window finds the match; the newest row of earlier buckets comes from a
-    summary with one row per key and bucket. No pair of rows is ever formed.
+    window finds the match. The newest row of a bucket is also handed to the
+    buckets after it, as far as the time to live reaches, so every bucket has
+    all it needs: one shuffle, no join, and no pair of rows is ever formed.
     """
     payload = F.struct(
         F.col("event_timestamp").alias("feature_ts"), F.col("created_timestamp"),
         *[F.col(c) for c in columns])
-    extra = [c for c in entities.columns if c not in (key, "event_timestamp")]
-    asked = entities.select(
-        key, "event_timestamp", F.struct(F.lit(1).alias("_asked"), *extra).alias("_entity"),
-        F.lit(None).cast(features.select(payload).schema[0].dataType).alias("_feature"))
     given = features.where(F.col("event_timestamp").isNotNull()).select(
-        key, "event_timestamp",
-        F.lit(None).cast(asked.schema["_entity"].dataType).alias("_entity"),
-        payload.alias("_feature"))
-    epoch = F.to_date(F.lit("1970-01-01"))
-    bucket = F.floor(F.datediff("event_timestamp", epoch) / bucket_days)
-    rows = asked.unionByName(given).withColumn("_bucket", bucket)
-
-    newest = F.max(F.struct("_feature.feature_ts", "_feature.created_timestamp", "_feature"))
-    summary = rows.groupBy(key, "_bucket").agg(
-        newest.alias("_newest")).select(key, "_bucket", F.col("_newest._feature").alias("_own"))
-    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = summary.select(
-        key, "_bucket", F.last("_own", ignorenulls=True).over(earlier).alias("_carried"))
+        key, "event_timestamp", payload.alias("_feature"), _bucket(bucket_days))
+    newest = given.groupBy(key, "_bucket").agg(
+        F.max(F.struct("_feature.feature_ts", "_feature.created_timestamp", "_feature")).alias("_n"))
+    reach = -(-ttl_days // bucket_days)
+    later = F.sequence(F.col("_bucket") + 1, F.col("_bucket") + reach)
+    handed = newest.select(
+        key, F.col("_n.feature_ts").alias("event_timestamp"), F.col("_n._feature").alias("_feature"),
+        F.explode(later).alias("_bucket"))
 
+    extra = [c for c in entities.columns if c not in (key, "event_timestamp")]
+    asked = entities.select(
+        key, "event_timestamp", F.lit(None).cast(given.schema["_feature"].dataType).alias("_feature"),
+        _bucket(bucket_days), F.struct(F.lit(1).alias("_asked"), *extra).alias("_entity"))
+    rows = asked.unionByName(given, allowMissingColumns=True).unionByName(
+        handed, allowMissingColumns=True)
     so_far = (W.partitionBy(key, "_bucket")
               .orderBy("event_timestamp", F.col("_entity").isNotNull(), "_feature.created_timestamp")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    matched = (rows.withColumn("_match", F.last("_feature", ignorenulls=True).over(so_far))
-               .where(F.col("_entity").isNotNull())
-               .join(carried, [key, "_bucket"], "left")
-               .withColumn("_match", F.coalesce("_match", "_carried")))
+    matched = rows.withColumn("_match", F.last("_feature", ignorenulls=True).over(so_far)).where(
+        F.col("_entity").isNotNull())
     fresh = (F.col("_match.feature_ts")
              >= F.col("event_timestamp") - F.make_dt_interval(F.lit(ttl_days)))
     match = F.when(fresh, F.col("_match"))
@@ -65,6 +61,11 @@ def historical_features(
         *[match[c].alias(c) for c in columns])
 
 
+def _bucket(days: int) -> Column:
+    since = F.datediff("event_timestamp", F.to_date(F.lit("1970-01-01")))
+    return F.floor(since / days).alias("_bucket")
+
+
 def latest_features(features: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
     """The newest row of each key (not later than ``as_of``), all columns.
 

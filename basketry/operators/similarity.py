@@ -354,9 +354,13 @@ def _shared_products(unit: DataFrame) -> DataFrame:
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair as seen from either side, without computing it twice."""
     score = F.round("score", DIGITS).alias("similarity")
-    return pairs.select(F.col("e").alias("source_id"), F.col("o").alias("neighbor_id"), score).unionByName(
-        pairs.select(F.col("o").alias("source_id"), F.col("e").alias("neighbor_id"), score))
+
+    def seen(source: str, neighbor: str):
+        return F.struct(F.col(source).alias("source_id"), F.col(neighbor).alias("neighbor_id"), score)
+
+    return pairs.select(F.inline(F.array(seen("e", "o"), seen("o", "e"))))
 
 
 def _add_crowded_part(pairs: DataFrame, short: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.ranking import popular_items, top_n_per_group
+from basketry.session import cut_lineage, spread
 
 ANY = "\u0000any"  # stands for "no constraint" in a join key
 
@@ -35,14 +36,16 @@ def cold_start_recommendations(
     nodes plus the bands at its two ends, where every item is checked. So each
     profile meets at most ``n`` items per node, and the result is still exact.
     """
-    edges = _price_edges(catalog, price_edges)
-    levels = (2 * len(edges)).bit_length()
+    # read three times below, and often the result of a long aggregation
+    priced = cut_lineage(catalog.where(F.col("price").isNotNull()).select(
+        "item_id", "category", "brand", F.col("price").cast("double").alias("price"),
+        "rating", "review_count"))
+    bands = _Bands(_price_edges(priced, price_edges))
+    levels = bands.levels
     order = [F.desc("rating"), F.desc("review_count"), F.asc("item_id")]
 
-    priced = _with_band(
-        catalog.where(F.col("price").isNotNull()).withColumn("price", F.col("price").cast("double")),
-        "price", "band", edges)
-    keyed = priced.withColumn("category_key", F.explode(_key_options("category"))).withColumn(
+    banded = bands.number(spread(priced, "item_id"), "price", "band")
+    keyed = banded.withColumn("category_key", F.explode(_key_options("category"))).withColumn(
         "brand_key", F.explode(_key_options("brand")))
     # whole nodes: the best n of each (level, node, category, brand)
     nodes = keyed.select("*", F.posexplode(F.expr(
@@ -59,7 +62,7 @@ def cold_start_recommendations(
     asked = profiles.select(
         "user_id", "categories", "brands", low.alias("_low"), high.alias("_high"),
     ).where("_low <= _high")
-    asked = _with_band(_with_band(asked, "_low", "_a", edges), "_high", "_b", edges)
+    asked = bands.number(bands.number(asked, "_low", "_a"), "_high", "_b")
     wanted = (asked.withColumn("_piece", F.explode(F.expr(_RANGE_PIECES.format(levels=levels))))
               .withColumn("_category", F.explode(_wanted("categories")))
               .withColumn("_brand", F.explode(_wanted("brands"))))
@@ -118,22 +121,27 @@ def _price_edges(catalog: DataFrame, count: int) -> list[float]:
     """Distinct price quantiles: a fixed, small number of values."""
     shares = [i / count for i in range(count + 1)]
     row = catalog.agg(
-        F.percentile_approx(F.col("price").cast("double"), shares, 10 * count).alias("edges")).first()
+        F.percentile_approx("price", shares, 10 * count).alias("edges")).first()
     return sorted(set(row["edges"] or [0.0]))
 
 
-def _with_band(df: DataFrame, price: str, name: str, edges: list[float]) -> DataFrame:
+class _Bands:
     """Odd bands are single edge prices, even bands the gaps between them.
 
     A price that very many items share is an edge, so it has a band of its own
     and never has to be checked item by item.
     """
-    splits = [float("-inf"), *edges, float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol=price, outputCol="_slice").transform(df)
-    slot = F.col("_slice").cast("int")  # number of edges not above the price
-    listed = F.array(*[F.lit(e) for e in edges])
-    on_edge = F.coalesce(F.get(listed, slot - 1) == F.col(price), F.lit(False))
-    return sliced.withColumn(name, 2 * slot - on_edge.cast("int")).drop("_slice")
+
+    def __init__(self, edges: list[float]):
+        self.slicer = Bucketizer(splits=[float("-inf"), *edges, float("inf")], outputCol="_slice")
+        self.edges = F.expr("array(" + ", ".join(f"{e!r}D" for e in edges) + ")")
+        self.levels = (2 * len(edges)).bit_length()
+
+    def number(self, df: DataFrame, price: str, name: str) -> DataFrame:
+        slot = F.col("_slice").cast("int")  # number of edges not above the price
+        on_edge = F.coalesce(F.get(self.edges, slot - 1) == F.col(price), F.lit(False))
+        sliced = self.slicer.setInputCol(price).transform(df)
+        return sliced.withColumn(name, 2 * slot - on_edge.cast("int")).drop("_slice")
 
 
 def _key_options(column: str) -> Column:

@@ -73,7 +73,7 @@ def new_entries(requested: DataFrame, existing: DataFrame) -> DataFrame:
     """
     has_asin = F.coalesce(F.col("asin") != "", F.lit(False))
     by_asin = requested.where(has_asin).dropDuplicates(["user_id", "asin"]).join(
-        existing.where(has_asin).select("user_id", "asin"), ["user_id", "asin"], "left_anti")
+        existing.where(has_asin).select("user_id", "asin").distinct(), ["user_id", "asin"], "left_anti")
 
     cell = F.floor(F.col("price") / 0.01)
     listed = existing.select(

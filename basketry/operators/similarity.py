@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from basketry.functions.scalars import cosine, norm
 from basketry.operators.ids import id_map
 from basketry.operators.ranking import similar_top_k, top_n_per_group
-from basketry.session import cut_lineage
+from basketry.session import cut_lineage, spread
 
 # executors get these functions with the job and need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,7 +43,8 @@ def similar_items(vectors: DataFrame, k: int = 10, targets: DataFrame | None = N
         return df.where(length > 0).select(
             "id", F.transform("vector", lambda x: x / length).alias("vector"))
 
-    found = nearest(unit(targets if targets is not None else vectors), unit(vectors), k, **blocking)
+    candidates = unit(vectors)
+    found = nearest(unit(targets) if targets is not None else candidates, candidates, k, **blocking)
     return found.withColumnRenamed("score", "similarity")
 
 
@@ -151,6 +152,7 @@ def nearest(
     compares one block of both and returns k rows per query.
     """
     want = k + 1 if same_ids else k
+    all_pairs = queries is candidates
     queries, candidates = _with_places(queries), _with_places(candidates)
     same = ["places", "vector"]
     kept = top_n_per_group(candidates, same, [F.asc("id")], want, "_n").select(
@@ -166,7 +168,8 @@ def nearest(
     placed = _place(distinct, centers)
     cells = _describe(placed, centers, want, block_rows)
 
-    asked = cut_lineage(queries.groupBy(*same).agg(F.min("id").alias("qid")))
+    asked = (distinct.withColumnRenamed("cid", "qid") if all_pairs
+             else cut_lineage(queries.groupBy(*same).agg(F.min("id").alias("qid"))))
     visits = cut_lineage(_visits(asked, cells, want))
     best = top_n_per_group(
         _compare(visits, placed, want, cells, block_rows),
@@ -348,6 +351,7 @@ def rating_neighbors(
 
 def _shared_products(unit: DataFrame) -> DataFrame:
     """Dot product of each pair (e < o) over the features they share."""
+    unit = spread(unit, "f")
     other = unit.select(F.col("e").alias("o"), "f", F.col("w").alias("v"))
     return (unit.join(other, "f").where(F.col("e") < F.col("o"))
             .groupBy("e", "o").agg(F.sum(F.col("w") * F.col("v")).alias("score")))

@@ -19,7 +19,7 @@ def reviewed(t: Tables) -> DataFrame:
 
 @query("W3 A4 J1 J7", f"""
 WITH {INTERACTIONS}, {REVIEWED}
-SELECT item_id, title, category, brand, price, round(rating + {HALF}, 6) AS rating, review_count
+SELECT item_id, title, category, brand, price, round(round(rating, 9) + {HALF}, 6) AS rating, review_count
 FROM reviewed ORDER BY round(rating, 9) DESC, review_count DESC, item_id LIMIT 20""")
 def popular_items(t: Tables) -> DataFrame:
     ranked = reviewed(t).withColumn("rating", F.round("rating", 9))

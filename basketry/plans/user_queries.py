@@ -10,7 +10,7 @@ from basketry.plans.catalog_queries import reviewed
 from basketry.plans.feature_queries import AS_OF, USER_FEATURES
 from basketry.plans.registry import (
     ENTRIES, HALF, INTERACTIONS, ITEM_STATS, REVIEWED, moment, query, rounded)
-from basketry.session import scratch_path
+from basketry.session import cut_lineage, scratch_path
 from basketry.sources.profiles import entries_from_profiles, load_saved_profiles, save_profiles
 from basketry.sources.tables import Tables
 
@@ -144,8 +144,8 @@ preferences AS (
          CASE WHEN c_acctbal > 2000 THEN 950 + c_acctbal / 50 END AS max_price
   FROM customer LEFT JOIN part ON c_custkey = p_partkey WHERE c_custkey % 10 <> 9),
 allowed AS (
-  SELECT user_id, item_id, rating, review_count,
-         least(rating * 0.5 + CASE WHEN list_contains(categories, category) THEN 0.3 ELSE 0 END
+  SELECT user_id, item_id, round(rating, 9) AS rating, review_count,
+         least(round(rating, 9) * 0.5 + CASE WHEN list_contains(categories, category) THEN 0.3 ELSE 0 END
                + CASE WHEN list_contains(brands, brand) THEN 0.2 ELSE 0 END, 5.0) AS score,
          row_number() OVER (PARTITION BY user_id
            ORDER BY round(rating, 9) DESC, review_count DESC, item_id) AS rank
@@ -170,7 +170,7 @@ def cold_start(t: Tables) -> DataFrame:
 
 @query("M15 W3", f"""
 WITH {INTERACTIONS}, {REVIEWED}, {PREFERENCES},
-popular AS (SELECT item_id, rating, review_count, row_number() OVER (
+popular AS (SELECT item_id, round(rating, 9) AS rating, review_count, row_number() OVER (
               ORDER BY round(rating, 9) DESC, review_count DESC, item_id) AS rank
             FROM reviewed QUALIFY rank <= 10)
 SELECT user_id, item_id, round(rating + {HALF}, 6) AS rating, review_count, round(score + {HALF}, 6) AS score,
@@ -253,8 +253,9 @@ def similar_items_by_ratings(t: Tables) -> DataFrame:
 
 def two_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Two scores per user and item: how well rated, and how recent."""
-    per_pair = t.interactions(catalog=False).groupBy("user_id", "item_id").agg(
-        F.round(F.avg("rating"), 9).alias("rated"), F.max("ts").alias("last"))
+    # both lists need it, each with other columns: aggregate once
+    per_pair = cut_lineage(t.interactions(catalog=False).groupBy("user_id", "item_id").agg(
+        F.round(F.avg("rating"), 9).alias("rated"), F.max("ts").alias("last")))
     days = F.timestamp_diff("DAY", F.col("last"), moment(AS_OF))
     rated = per_pair.select("user_id", "item_id", F.col("rated").alias("score"))
     recent = per_pair.select(

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import result_key
-from basketry.session import scratch_path
+from basketry.operators.asof import latest_features
+from basketry.session import cut_lineage
 
 # Seconds a stored result stays valid.
 TTL_SECONDS = {
@@ -61,6 +62,14 @@ class ResultStore:
         rows = self.spark.read.parquet(self.path(table))
         return rows if as_of is None else still_valid(rows, as_of)
 
+    def read_if_present(self, table: str) -> DataFrame | None:
+        try:
+            return self.read(table)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def drop_rows(self, table: str, split_by: str, doomed: DataFrame, on: str) -> None:
         """Remove rows whose ``on`` is in ``doomed``; only touched partitions are rewritten.
 
@@ -71,20 +80,13 @@ class ResultStore:
         marked = rows.join(doomed.select(on).distinct().withColumn("_hit", F.lit(True)), on, "left")
         touched = marked.where("_hit").select(split_by).distinct()
         kept = marked.join(touched, split_by, "left_semi").where(F.col("_hit").isNull()).drop("_hit")
-        staged = scratch_path(self.spark, "kept")
-        kept.write.partitionBy(split_by).parquet(staged)
-        names = [r[0] for r in touched.collect()]  # one per partition folder
-        try:
-            left = self.spark.read.schema(rows.schema).parquet(staged)
-            self.write(table, left.select(rows.columns), split_by)
-            remaining = {r[0] for r in left.select(split_by).distinct().collect()}
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            remaining = set()
-        for name in names:
-            if name not in remaining:
-                self._remove_partition(table, split_by, name)
+        names = {r[0] for r in touched.collect()}  # one per partition folder
+        left = cut_lineage(kept.select(rows.columns))
+        remaining = {r[0] for r in left.select(split_by).distinct().collect()}
+        if remaining:
+            self.write(table, left, split_by)
+        for name in names - remaining:
+            self._remove_partition(table, split_by, name)
 
     def drop_partition(self, table: str, split_by: str, value: str) -> None:
         """Remove everything stored for one value of the split column."""
@@ -100,15 +102,19 @@ class ResultStore:
 def ingest_features(
     store: ResultStore, view: str, key: str, rows: DataFrame,
 ) -> DataFrame:
-    """Append feature rows to the history by day and refresh the latest rows."""
-    from basketry.operators.asof import latest_features
-
-    dated = rows.withColumn("event_date", F.to_date("event_timestamp"))
-    store.append(f"{view}_history", dated, "event_date")
-    history = store.read(f"{view}_history").drop("event_date")
-    latest = latest_features(history, key).withColumn(
-        "bucket", F.pmod(F.xxhash64(key), F.lit(64)))
-    store.write(f"{view}_latest", latest, "bucket")
+    """Append feature rows to the history by day and refresh the latest rows.
+
+    The latest rows come from the previous latest rows and the new ones; the
+    history, which only grows, is not read again.
+    """
+    fresh = cut_lineage(rows)
+    store.append(f"{view}_history", fresh.withColumn("event_date", F.to_date("event_timestamp")),
+                 "event_date")
+    known = store.read_if_present(f"{view}_latest")
+    candidates = fresh if known is None else fresh.unionByName(known.drop("bucket"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(64))
+    merged = cut_lineage(latest_features(candidates, key).withColumn("bucket", bucket))
+    store.write(f"{view}_latest", merged, "bucket")
     return store.read(f"{view}_latest").drop("bucket")
 
 

@@ -170,7 +170,7 @@ def nearest(
 
     asked = (distinct.withColumnRenamed("cid", "qid") if all_pairs
              else cut_lineage(queries.groupBy(*same).agg(F.min("id").alias("qid"))))
-    visits = cut_lineage(_visits(asked, cells, want))
+    visits = _visits(spread(asked, "qid"), cells, want)
     best = top_n_per_group(
         _compare(visits, placed, want, cells, block_rows),
         ["qid"], [F.desc("score"), F.asc("cid")], want, "_r")
@@ -267,7 +267,11 @@ def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
 
 def _compare(visits: DataFrame, placed: DataFrame, want: int, cells: _Cells,
              block_rows: int) -> DataFrame:
-    """Dot products block by block; the best ``want`` per query and block."""
+    """Dot products block by block; the best ``want`` per query and block.
+
+    The visits are worked out twice, once to count them: that costs less than
+    storing every query once per visited cell.
+    """
     crowds = {r["cell"]: -(-r["n"] // block_rows)
               for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = F.get(F.array(*[
@@ -278,26 +282,43 @@ def _compare(visits: DataFrame, placed: DataFrame, want: int, cells: _Cells,
     # every block of a cell's candidates meets every block of its visitors
     left = visits.select("cell", asked_block.alias("qb"), F.explode(
         F.sequence(F.lit(0), plan["held"] - 1)).alias("cb"), "qid", "places", "vector")
-    right = placed.where(plan["asked"] > 0).select("cell", held_block.alias("cb"), F.explode(
+    right = spread(placed, "cid").where(plan["asked"] > 0).select("cell", held_block.alias("cb"), F.explode(
         F.sequence(F.lit(0), plan["asked"] - 1)).alias("qb"), "cid", "places", "vector")
 
     def best_in_block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if len(asked) == 0 or len(held) == 0:
             return pd.DataFrame({"qid": [], "cid": [], "score": []})
         held = held.sort_values("cid", kind="stable")
-        scores = np.round(_Rows(asked).dot(_Rows(held)), DIGITS)
-        # a stable sort keeps the lower id first among equal scores
-        take = np.argsort(-scores, axis=1, kind="stable")[:, :want]
-        return pd.DataFrame({
-            "qid": np.repeat(asked["qid"].to_numpy(), take.shape[1]),
-            "cid": held["cid"].to_numpy()[take.ravel()],
-            "score": np.take_along_axis(scores, take, 1).ravel()})
+        others, parts = _Rows(held), []
+        for start in range(0, len(asked), 256):  # a slice of scores that stays in cache
+            some = asked.iloc[start:start + 256]
+            row, column, score = _best_per_row(_Rows(some).dot(others), want)
+            parts.append(pd.DataFrame({
+                "qid": some["qid"].to_numpy()[row], "cid": held["cid"].to_numpy()[column],
+                "score": score}))
+        return pd.concat(parts)
 
     keys = ["cell", "cb", "qb"]
     schema = f"{_fields(visits, ['qid'])}, {_fields(placed, ['cid'])}, score double"
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best_in_block, schema)
 
 
+def _best_per_row(scores: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of the ``want`` best per row, first column first."""
+    if scores.shape[1] > want:
+        last = np.partition(scores, -want, axis=1)[:, -want]
+        # what rounds to the same score as the last one in still counts
+        row, column = np.nonzero(scores >= last[:, None] - 2 * 10.0 ** -DIGITS)
+    else:
+        row, column = np.nonzero(np.ones(scores.shape, dtype=bool))
+    score = np.round(scores[row, column], DIGITS)
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < want
+    return row[keep], column[keep], score[keep]
+
+
 def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 

@@ -72,7 +72,7 @@ class CollaborativeModel:
     @classmethod
     def train(cls, indexed: DataFrame, mappings: Mappings, **params: Any) -> CollaborativeModel:
         shared_dir(indexed.sparkSession)  # long iterations checkpoint there
-        blocks = max(10, indexed.sparkSession.sparkContext.defaultParallelism)
+        blocks = min(500, max(10, indexed.sparkSession.sparkContext.defaultParallelism))
         settings = {"numUserBlocks": blocks, "numItemBlocks": blocks, **ALS_DEFAULTS, **params}
         return cls(_als(**settings).fit(indexed), mappings)
 

@@ -235,23 +235,17 @@ def registered_categories(t: Tables) -> DataFrame:
         F.col("c_custkey").alias("user_id"), "category")
 
 
-def early_entries(t: Tables) -> DataFrame:
-    """List entries of the first year, when many users had none yet."""
-    return t.profile_entries().where(F.col("added_at") < "1995-07-01")
-
-
 def targets(t: Tables) -> DataFrame:
     users = t.read("customer").select(F.col("c_custkey").alias("user_id"))
-    return target_categories(users, early_entries(t), registered_categories(t), t.catalog())
+    return target_categories(users, t.profile_entries(), registered_categories(t), t.catalog())
 
 
 TARGETS = f"""
 {ENTRIES},
-early AS (SELECT * FROM entries WHERE added_at < TIMESTAMP '1995-07-01'),
 named AS (SELECT c_custkey AS user_id, p_type AS category FROM customer JOIN part ON c_custkey = p_partkey
           WHERE c_acctbal > 0),
-bought AS (SELECT DISTINCT user_id, category FROM early WHERE kind = 'purchase'),
-wished AS (SELECT DISTINCT user_id, category FROM early WHERE kind = 'wishlist'),
+bought AS (SELECT DISTINCT user_id, category FROM entries WHERE kind = 'purchase'),
+wished AS (SELECT DISTINCT user_id, category FROM entries WHERE kind = 'wishlist'),
 labelled AS (
   SELECT user_id, category, 'purchase history' AS source FROM
     (SELECT * FROM bought UNION

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import stats
-from basketry.functions.scalars import plain_key, result_key
+from basketry.functions.scalars import hash_bucket, plain_key, result_key
 from basketry.operators import abtest, catalog, kpi
 from basketry.operators.abtest import TestConfig
 from basketry.plans.feature_queries import USER_SNAPSHOTS, user_snapshots
@@ -374,7 +374,8 @@ def result_keys(t: Tables) -> DataFrame:
 def _stored_lists(t: Tables) -> results.ResultStore:
     """Merged lists under two model names, each stored when the user last came."""
     lists = merged_lists(t)
-    lists = lists.withColumn("model", F.when(F.col("user_id") % 4 == 0, "hybrid").otherwise("collaborative"))
+    served = F.when(hash_bucket(F.col("user_id").cast("string")) < 25, "hybrid").otherwise("collaborative")
+    lists = lists.withColumn("model", served)
     rows = results.recommendation_rows(lists)
     seen = t.interactions(catalog=False).groupBy("user_id").agg(F.max("ts").alias("last_seen"))
     store = results.ResultStore(t.spark, scratch_path(t.spark, "results"))
@@ -387,7 +388,8 @@ def _stored_lists(t: Tables) -> results.ResultStore:
 STORED = """
 seen AS (SELECT user_id, max(ts) AS cached_at FROM interactions GROUP BY 1),
 stored AS (
-  SELECT m.user_id, CASE WHEN m.user_id % 4 = 0 THEN 'hybrid' ELSE 'collaborative' END AS model,
+  SELECT m.user_id, CASE WHEN ('0x' || substr(md5(m.user_id::VARCHAR), 1, 8))::BIGINT % 100 < 25
+              THEN 'hybrid' ELSE 'collaborative' END AS model,
          m.rank::INTEGER AS rank, m.item_id, cached_at
   FROM merged m JOIN seen USING (user_id))"""
 

@@ -1,7 +1,5 @@
 """Trained models. Results depend on the fit, so there is no SQL side."""
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,26 +35,14 @@ class Trained:
         return self._hybrid
 
 
-@lru_cache(maxsize=4)
-def _trained(application: str, root: str, t: "_Handle") -> Trained:
-    return Trained(t.tables)
-
-
-class _Handle:
-    """Keeps the tables out of the cache key."""
-
-    def __init__(self, tables: Tables):
-        self.tables = tables
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Handle)
+_TRAINED: dict[tuple[str, str], Trained] = {}
 
 
 def trained(t: Tables) -> Trained:
-    return _trained(t.spark.sparkContext.applicationId, t.root, _Handle(t))
+    key = (t.spark.sparkContext.applicationId, t.root)
+    if key not in _TRAINED:
+        _TRAINED[key] = Trained(t)
+    return _TRAINED[key]
 
 
 def _users(t: Tables) -> DataFrame:

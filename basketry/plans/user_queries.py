@@ -75,10 +75,10 @@ def lists_after_checkout(t: Tables) -> DataFrame:
         F.count("*").alias("entry_count"), F.max("added_at").alias("newest"))
 
 
-# Items of even size have an asin; the others are told apart by title and price.
+# Large items have an asin; the others are told apart by title and price.
 @query("J10", f"""
 WITH {INTERACTIONS}, {ENTRIES},
-marked AS (SELECT user_id, kind, CASE WHEN p_size % 2 = 0 THEN item_id::VARCHAR END AS asin, title,
+marked AS (SELECT user_id, kind, CASE WHEN p_size > 25 THEN item_id::VARCHAR END AS asin, title,
                   p_retailprice AS price
            FROM entries JOIN part ON item_id = p_partkey),
 wish AS (SELECT DISTINCT * FROM marked WHERE kind = 'wishlist'),
@@ -91,7 +91,7 @@ def new_wishlist_entries(t: Tables) -> DataFrame:
         t.read("part").select(F.col("p_partkey").alias("item_id"), "p_size",
                               F.col("p_retailprice").alias("price")), "item_id")
     marked = marked.withColumn(
-        "asin", F.when(F.col("p_size") % 2 == 0, F.col("item_id").cast("string")))
+        "asin", F.when(F.col("p_size") > 25, F.col("item_id").cast("string")))
     fields = ["user_id", "asin", "title", "price"]
     return profiles.new_entries(marked.where("kind = 'cart'").select(fields),
                                 marked.where("kind = 'wishlist'").select(fields))
@@ -121,28 +121,31 @@ def profile_documents(t: Tables) -> DataFrame:
 
 
 def stated_preferences(t: Tables) -> DataFrame:
-    """Preferences by customer: some name categories, brands or prices, some not."""
-    named = t.read("customer").join(
-        t.catalog(), F.col("c_custkey") == F.col("item_id"), "left").where(F.col("c_custkey") % 10 != 9)
+    """Preferences by customer: some name categories, brands or prices, some not.
+
+    Customers who owe money were not asked and have no profile.
+    """
+    named = t.read("customer").where("c_acctbal >= 0").join(
+        t.catalog(), F.col("c_custkey") == F.col("item_id"), "left")
     none = F.array().cast("array<string>")
     return named.select(
         F.col("c_custkey").alias("user_id"),
-        F.when(F.col("c_nationkey") % 3 != 0, F.array("category", F.lit("PROMO"))).otherwise(none)
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.array("category", F.lit("PROMO"))).otherwise(none)
         .alias("categories"),
-        F.when(F.col("c_nationkey") % 2 == 0, F.array("brand", F.lit("Brand#1"), F.lit("Brand#2")))
+        F.when(F.col("c_nationkey") < 12, F.array("brand", F.lit("Brand#1"), F.lit("Brand#2")))
         .otherwise(none).alias("brands"),
-        F.when(F.col("c_acctbal") > 0, 900 + F.col("c_acctbal") / 100).alias("min_price"),
+        F.when(F.col("c_acctbal") > 1000, 900 + F.col("c_acctbal") / 100).alias("min_price"),
         F.when(F.col("c_acctbal") > 2000, 950 + F.col("c_acctbal") / 50).alias("max_price"))
 
 
 PREFERENCES = """
 preferences AS (
   SELECT c_custkey AS user_id,
-         CASE WHEN c_nationkey % 3 <> 0 THEN [p_type, 'PROMO'] ELSE [] END AS categories,
-         CASE WHEN c_nationkey % 2 = 0 THEN [p_brand, 'Brand#1', 'Brand#2'] ELSE [] END AS brands,
-         CASE WHEN c_acctbal > 0 THEN 900 + c_acctbal / 100 END AS min_price,
+         CASE WHEN c_mktsegment <> 'MACHINERY' THEN [p_type, 'PROMO'] ELSE [] END AS categories,
+         CASE WHEN c_nationkey < 12 THEN [p_brand, 'Brand#1', 'Brand#2'] ELSE [] END AS brands,
+         CASE WHEN c_acctbal > 1000 THEN 900 + c_acctbal / 100 END AS min_price,
          CASE WHEN c_acctbal > 2000 THEN 950 + c_acctbal / 50 END AS max_price
-  FROM customer LEFT JOIN part ON c_custkey = p_partkey WHERE c_custkey % 10 <> 9),
+  FROM customer LEFT JOIN part ON c_custkey = p_partkey WHERE c_acctbal >= 0),
 allowed AS (
   SELECT user_id, item_id, round(rating, 9) AS rating, review_count,
          least(round(rating, 9) * 0.5 + CASE WHEN list_contains(categories, category) THEN 0.3 ELSE 0 END

@@ -28,6 +28,17 @@ CATEGORY_ICONS = {
 }
 DEFAULT_ICON = "📦"
 
+# Texts of an explanation and the bounds that call for them.
+SAYS_CATEGORY = "Matches your interest in "
+SAYS_CHEAP = "Good value for money"
+SAYS_PREMIUM = "Premium quality product"
+SAYS_RATED = "Highly rated (%.1f/5.0)"
+SAYS_POPULAR = "Popular among customers"
+SAYS_NOTHING = "Recommended based on your preferences"
+CHEAP_SENSITIVITY, CHEAP_PRICE = 0.7, 50
+PREMIUM_SENSITIVITY, PREMIUM_PRICE = 0.3, 200
+GOOD_RATING, GOOD_POPULARITY = 4.0, 10
+
 
 def hash_bucket(key: Column, buckets: int = 100) -> Column:
     """Stable bucket 0..buckets-1 from the first 32 bits of an md5."""
@@ -97,13 +108,13 @@ def explain_recommendation(
     parts = F.concat_ws(
         " | ",
         F.when((favorite != "") & (favorite == category),
-               F.concat(F.lit("Matches your interest in "), category)),
-        F.when((sensitivity > 0.7) & (price < 50), "Good value for money")
-        .when((sensitivity < 0.3) & (price > 200), "Premium quality product"),
-        F.when(avg_rating > 4.0, F.format_string("Highly rated (%.1f/5.0)", avg_rating)),
-        F.when(popularity > 10, "Popular among customers"),
+               F.concat(F.lit(SAYS_CATEGORY), category)),
+        F.when((sensitivity > CHEAP_SENSITIVITY) & (price < CHEAP_PRICE), SAYS_CHEAP)
+        .when((sensitivity < PREMIUM_SENSITIVITY) & (price > PREMIUM_PRICE), SAYS_PREMIUM),
+        F.when(avg_rating > GOOD_RATING, F.format_string(SAYS_RATED, avg_rating)),
+        F.when(popularity > GOOD_POPULARITY, SAYS_POPULAR),
     )
-    return F.when(parts == "", "Recommended based on your preferences").otherwise(parts)
+    return F.when(parts == "", SAYS_NOTHING).otherwise(parts)
 
 
 def result_key(prefix: str, identifier: Column, params: Mapping[str, object] | None = None) -> Column:

@@ -14,6 +14,17 @@ from basketry.functions.scalars import hash_bucket
 # Metrics analysed as proportions; all others are continuous.
 PROPORTION_METRICS = ("ctr", "conversion_rate", "bounce_rate")
 
+# Wording of verdicts and advice.
+VERDICT_BETTER = "Implement test group - shows significant improvement"
+VERDICT_WORSE = "Keep control group - test group performs worse"
+VERDICT_NONE = "No significant difference detected - continue testing or keep control"
+ADVICE_BETTER = "Implement the test variant - shows significant improvement"
+ADVICE_WORSE = "Keep control variant - test variant performs worse"
+ADVICE_NONE = "No significant difference detected"
+ADVICE_ENOUGH = "Test has adequate sample size - effects may be too small to detect"
+ADVICE_SMALL = "Consider increasing sample size"
+ADEQUATE_POWER = 0.8
+
 
 @dataclass(frozen=True)
 class TestConfig:
@@ -179,9 +190,8 @@ def analyze_tests(
         F.col("_head.test_statistic").alias("test_statistic"),
         F.col("_head.ci_lower").alias("ci_lower"), F.col("_head.ci_upper").alias("ci_upper"),
         "sample_size_control", "sample_size_test", "minimum_sample_size",
-        F.when(significant & (effect > 0), "Implement test group - shows significant improvement")
-        .when(significant & (effect < 0), "Keep control group - test group performs worse")
-        .otherwise("No significant difference detected - continue testing or keep control")
+        F.when(significant & (effect > 0), VERDICT_BETTER)
+        .when(significant & (effect < 0), VERDICT_WORSE).otherwise(VERDICT_NONE)
         .alias("recommendation"),
         completed_at.alias("completed_at"))
 
@@ -191,13 +201,9 @@ def report_recommendations(results: DataFrame) -> DataFrame:
     enough = F.col("sample_size_control") + F.col("sample_size_test") >= F.col("minimum_sample_size")
     advice = F.when(
         F.col("statistical_significance"),
-        F.array(F.when(F.col("effect_size") > 0,
-                       "Implement the test variant - shows significant improvement")
-                .otherwise("Keep control variant - test variant performs worse")),
+        F.array(F.when(F.col("effect_size") > 0, ADVICE_BETTER).otherwise(ADVICE_WORSE)),
     ).otherwise(F.array(
-        F.lit("No significant difference detected"),
-        F.when(enough, "Test has adequate sample size - effects may be too small to detect")
-        .otherwise("Consider increasing sample size")))
+        F.lit(ADVICE_NONE), F.when(enough, ADVICE_ENOUGH).otherwise(ADVICE_SMALL)))
     return results.withColumn("recommendations", advice)
 
 
@@ -221,7 +227,7 @@ def power_analysis(scenarios: DataFrame) -> DataFrame:
     """Power of a t test; scenarios: expected_improvement, sample_size, alpha."""
     power = stats.t_power_of(
         F.col("expected_improvement"), F.col("sample_size").cast("double"), F.col("alpha"))
-    return scenarios.withColumn("power", power).withColumn("adequate", F.col("power") >= 0.8)
+    return scenarios.withColumn("power", power).withColumn("adequate", F.col("power") >= ADEQUATE_POWER)
 
 
 def test_statuses(log: DataFrame) -> DataFrame:

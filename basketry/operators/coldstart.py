@@ -11,14 +11,17 @@ from basketry.session import cut_lineage, spread
 
 ANY = "\u0000any"  # stands for "no constraint" in a join key
 
+# Parts of the score and its upper bound.
+RATING_SHARE, CATEGORY_BONUS, BRAND_BONUS, TOP_SCORE = 0.5, 0.3, 0.2, 5.0
+
 
 def cold_start_score(rating: Column, category: Column, brand: Column,
                      categories: Column, brands: Column) -> Column:
     """Half the rating plus a bonus per matched preference, at most 5."""
-    score = (F.coalesce(rating, F.lit(0.0)) * 0.5
-             + F.when(F.array_contains(categories, category), 0.3).otherwise(0.0)
-             + F.when(F.array_contains(brands, brand), 0.2).otherwise(0.0))
-    return F.least(score, F.lit(5.0))
+    score = (F.coalesce(rating, F.lit(0.0)) * RATING_SHARE
+             + F.when(F.array_contains(categories, category), CATEGORY_BONUS).otherwise(0.0)
+             + F.when(F.array_contains(brands, brand), BRAND_BONUS).otherwise(0.0))
+    return F.least(score, F.lit(TOP_SCORE))
 
 
 def cold_start_recommendations(

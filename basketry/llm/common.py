@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.session import cut_lineage
+from basketry.session import cut_lineage, scratch_path  # noqa: F401
 
 # Python functions of this subpackage travel with the job: executors need the
 # libraries they import, but not this package.
@@ -25,6 +25,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hand texts to Python a few MB at a time, whatever their length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

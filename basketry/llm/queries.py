@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, simhash
-from basketry.llm.common import read_table, written
+from basketry.llm import chat, decontam, simhash, tokens
+from basketry.llm.common import read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,11 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.group(read_table(spark, folder, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
                        "component_id")
+
+
+@query()
+def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written to files and read back from them."""
+    out = tokens.fresh_folder(spark)
+    tokens.write_ids(read_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, out)
+    return tokens.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

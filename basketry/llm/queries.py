@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, simhash, tokens
+from basketry.llm import chat, decontam, packing, sharding, simhash, tokens
 from basketry.llm.common import read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,21 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     out = tokens.fresh_folder(spark)
     tokens.write_ids(read_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, out)
     return tokens.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
+
+
+@query()
+def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents shuffled into 40 shards. What is dealt is the digest of each."""
+    text = F.col("text").cast("binary")
+    rows = read_table(spark, folder, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"))
+    return sharding.shuffle(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, packing, sharding, simhash, tokens
+from basketry.llm import chat, decontam, mips, packing, sharding, simhash, tokens
 from basketry.llm.common import read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,19 @@ def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shuffle(rows).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best partners of every hundredth vector among all."""
+    rows = mips.scaled(read_table(spark, folder, "embeddings"))
+    found = mips.search(rows.filter(F.col("id") % 100 == 0), rows)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, mips, packing, sharding, simhash, tokens
-from basketry.llm.common import read_table, tokenizer_path, written
+from basketry.llm import chat, decontam, langid, mips, packing, quality, sharding, simhash, tokens
+from basketry.llm.common import crc_of_id, read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,3 +146,21 @@ def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
     rows = mips.scaled(read_table(spark, folder, "embeddings"))
     found = mips.search(rows.filter(F.col("id") % 100 == 0), rows)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query()
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    docs = read_table(spark, folder, "documents")
+    held = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
+    learned = docs.filter(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0).select("lang", "text")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(learned))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Log weight of every document, and whether it is selected."""
+    weighed = quality.weigh(read_table(spark, folder, "documents").select("doc_id", "text"),
+                            read_table(spark, folder, "labels")).select("doc_id", "labelled", "log_weight")
+    return quality.select(written(weighed, "weights")).select("doc_id", "log_weight", "key", "selected")

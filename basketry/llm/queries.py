@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, langid, mips, packing, quality, sharding, simhash, tokens
+from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, sharding, simhash, tokens
 from basketry.llm.common import crc_of_id, read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,15 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     weighed = quality.weigh(read_table(spark, folder, "documents").select("doc_id", "text"),
                             read_table(spark, folder, "labels")).select("doc_id", "labelled", "log_weight")
     return quality.select(written(weighed, "weights")).select("doc_id", "log_weight", "key", "selected")
+
+
+@query()
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents. Of seven parts one is only scored, and one deleted while
+    weights are learned; documents without an id are only scored."""
+    part = F.pmod(crc_of_id(F.col("doc_id")), F.lit(7))
+    role = F.when(part.isNull() | (part == 2), lmscore.SCORED).when(part == 6, lmscore.DELETED).otherwise(lmscore.LEARNED)
+    rows = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", role.alias("role"))
+    return lmscore.score(rows).select(
+        F.col("id").alias("doc_id"), (F.col("role") == lmscore.SCORED).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score")

@@ -100,12 +100,12 @@ def _looked_up(words: str, windows: list) -> Column:
 
 def _joined(docs: DataFrame, row: str, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """The hits per row from a join of all windows of all documents."""
-    every = F.flatten(F.array(*[
-        F.when(F.size("words") >= n, F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))),
-            lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("size"),
-                                    F.slice("words", i + 1, n).alias("window"))))
-        .otherwise(F.array().cast(f"array<{HIT}>")) for n in sizes]))
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+        return F.when(F.size("words") >= n, F.transform(starts, lambda i: F.struct(
+            i.alias("at"), F.lit(n).alias("size"), F.slice("words", i + 1, n).alias("window")))
+        ).otherwise(F.array().cast(f"array<{HIT}>"))
+    every = F.flatten(F.array(*map(of, sizes)))
     spread = docs.select(row, F.explode(every).alias("hit"))
     table = windows.select(F.xxhash64("window").alias("hash"), "window")
     both = spread.join(table, (F.xxhash64("hit.window") == table["hash"])
@@ -150,15 +150,27 @@ def spans_of(hits: Column) -> Column:
     return F.aggregate(hits, F.array().cast("array<struct<at:int,end:int>>"), step)
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def without_spans(text: Column, spans: Column) -> Column:
     """A text without the words in ``spans``, and without what stands between and after them."""
-    words, breaks = F.split(text, BREAKS, -1), F.regexp_extract_all(text, F.lit(f"({BREAKS})"), 1)
-    first = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)  # words are counted without empty ones
-    kept = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 1),
-        lambda i: F.when(F.exists(spans, lambda s: (i - first >= s["at"]) & (i - first < s["end"])), "")
-        .otherwise(F.concat(F.get(words, i), F.coalesce(F.get(breaks, i), F.lit("")))))
-    return F.array_join(kept, "")
+    def joined(x: Column) -> Column:
+        # words are counted without the empty one that stands before a leading break
+        first = F.when(F.get(x["words"], F.lit(0)) == "", 1).otherwise(0)
+        parts = F.zip_with(x["words"], x["breaks"], lambda w, b: F.concat(w, F.coalesce(b, F.lit(""))))
+
+        def kept(y: Column) -> Column:
+            begins = F.concat(F.array(F.lit(0)), F.transform(x["spans"], lambda s: s["end"] + first))
+            ends = F.concat(F.transform(x["spans"], lambda s: s["at"] + first), F.array(F.size(y)))
+            return F.array_join(F.flatten(F.zip_with(
+                begins, ends, lambda b, e: F.slice(y, b + 1, F.greatest(e - b, F.lit(0))))), "")
+        return _with(parts, kept)
+    return _with(F.struct(
+        F.split(text, BREAKS, -1).alias("words"),
+        F.regexp_extract_all(text, F.lit(f"({BREAKS})"), 1).alias("breaks"), spans.alias("spans")), joined)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", n: int = WINDOW,
@@ -171,6 +183,12 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", n: int
     windows = written(windows_of(benchmark, n), "windows")
     found = find(documents, windows, text, bound)
     n_words, hits = found.columns[-2:]
-    left = found.filter(covered(F.col(hits)) <= most * F.greatest(F.col(n_words), F.lit(1)))
-    cut = F.when(F.size(hits) > 0, without_spans(F.col(text), spans_of(F.col(hits)))).otherwise(F.col(text))
-    return left.withColumn(text, cut).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+    def verdict(h: Column) -> Column:
+        cut = F.when(F.size(h) > 0, without_spans(F.col(text), spans_of(h))).otherwise(F.col(text))
+        return F.struct((covered(h) <= most * F.greatest(F.col(n_words), F.lit(1))).alias("keep"), cut.alias("text"))
+    # exploding none or one row decides once; a filter would look for hits again
+    kept = F.filter(F.transform(F.array(F.col(hits)), verdict), lambda v: v["keep"])
+    out = free_name(found, "kept")
+    return found.withColumn(out, F.explode(kept)).withColumn(text, F.col(f"{out}.text")).select(
+        *[F.col(f"`{c}`") for c in documents.columns])

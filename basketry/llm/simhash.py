@@ -277,4 +277,6 @@ def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text", sh
     order = F.struct(F.col(id).isNull().alias("no_id"), F.col(id).alias("id"), F.col("\thash").alias("hash"))
     chosen = rows.groupBy("root").agg(F.min(order).alias("row")).select("row.id", "row.hash")
     kept = marked.join(chosen, marked[id].eqNullSafe(chosen["id"]) & (marked["\thash"] == chosen["hash"]), "left_semi")
-    return kept.dropDuplicates([id, "\thash"]).drop("\thash")
+    if rows.groupBy(id, "\thash").count().filter("count > 1").limit(1).count():  # rows that are equal throughout
+        kept = kept.dropDuplicates([id, "\thash"])
+    return kept.drop("\thash")

@@ -1,10 +1,9 @@
 """Token ids of texts, and a compressed file format for them.
 
 ``token_ids`` encodes whole texts with a tokenizer file of the tokenizers library.
-Every text is cut at single spaces and line ends between two characters that are
-not white space. Both supported kinds of pre-tokenizers start a new piece there, so
-the pieces can be encoded one by one, and frequent ones are remembered. Texts that
-contain one of the tokenizer's special strings are encoded whole.
+A tokenizer splits a text into pieces and its model encodes each on its own, so frequent
+pieces are encoded once and remembered. Texts that contain one of the tokenizer's special
+strings are encoded whole.
 
 The file format is a Parquet table of blocks, written and read by Spark only, so it
 lives in any store Spark can reach and survives lost executors. A block holds
@@ -22,7 +21,9 @@ gives a file without blocks, and a sample too small to train on gives no diction
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,35 @@ BLOCK = 1 << 18  # ids of a block, one document at least
 
 DOUBLE_SPACE = re.compile(r"^[ \n]|[ \n]$|\s[ \n]|[ \n]\s")
 PIECE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# The pattern of byte-level pre-tokenizers that name none: a fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# What classes of characters hold below U+0100, for use inside brackets.
+LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe",
+         r"\s": "\t-\r \x85\xa0"}
+
+
+def latin_pattern(pattern: str) -> re.Pattern:
+    """A pre-tokenizer's pattern for texts of characters below U+0100."""
+    out, inside = "", False
+    for part in re.findall(r"\\p\{[LN]\}|\\[sS]|.", pattern, re.S):
+        if part in LATIN:
+            out += LATIN[part] if inside else f"[{LATIN[part]}]"
+        elif part == r"\S":
+            out += "[^" + LATIN[r"\s"] + "]"
+        else:
+            inside = part == "[" or inside and part != "]"
+            out += part
+    return re.compile(out)
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian unsigned 32-bit integers; the pieces seen."""
+    """Ids of texts as little-endian unsigned 32-bit integers; it remembers pieces.
+
+    Texts of characters below U+0100 are split by the tokenizer's own pattern, and its model
+    encodes each new piece. Other texts are cut at white space first; cuts with other
+    characters go through the whole tokenizer. If the tokenizer is of a kind for which that is not known to
+    be right, or a probe differs, every cut does.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -52,28 +78,74 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.cuts: dict[str, bytes] = {}
+        self.prepare(path)
+
+    def prepare(self, path: str) -> None:
+        from tokenizers import pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        before = kind["pre_tokenizer"] or {}
+        steps = before.get("pretokenizers", [before])
+        patterns = [x["pattern"]["Regex"] for x in steps if x.get("type") == "Split"]
+        patterns += [BYTE_LEVEL for x in steps if x.get("type") == "ByteLevel" and x["use_regex"]]
+        rules = kind["normalizer"] or {}
+        rules = [x["type"] for x in rules.get("normalizers", [rules] if rules else [])]
+        self.pattern = None
+        if len(patterns) != 1 or not set(rules) <= {"NFC", "Replace", "Lowercase"}:
+            return
+        self.lower, self.model = "Lowercase" in rules, self.tokenizer.model
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+        self.pattern = latin_pattern(patterns[0])
+        probe = "".join(f"{chr(c)}a {chr(c)} \n{chr(c)}1{chr(c)}{chr(c)}Z'll" for c in range(256))
+        if self.latin(probe) != self.whole(probe):
+            self.pattern = None
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = array("I", [t.id for t in self.model.tokenize(piece.translate(self.table))]).tobytes()
         if len(piece) <= 48:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = ids
         return ids
 
+    def latin(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.pattern.findall(text.lower() if self.lower else text)))
+
+    def cut(self, part: str) -> bytes:
+        ids = self.cuts.get(part)
+        if ids is None:
+            ids = self.latin(part) if self.pattern and below_256(part) else self.whole(part)
+            if len(part) <= 48:
+                if len(self.cuts) >= REMEMBERED // 4:
+                    self.cuts.clear()
+                self.cuts[part] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         if self.special and self.special.search(text):
             return self.whole(text)
+        if self.pattern and below_256(text):
+            return self.latin(text)
         if DOUBLE_SPACE.search(text):
-            return b"".join(map(self.__getitem__, PIECE.split(text)))
-        lines = text.replace("\n", " \n").split(" ")
-        head, *rest = lines
-        return self[head] + b"".join(
-            [self[p] if p[:1] == "\n" else self[" " + p] for p in rest])
+            return b"".join(map(self.cut, PIECE.split(text)))
+        head, *rest = text.replace("\n", " \n").split(" ")
+        return self.cut(head) + b"".join([self.cut(p if p[:1] == "\n" else " " + p) for p in rest])
+
+
+def below_256(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def encoder(path: str) -> Encoder:
@@ -135,7 +207,9 @@ def write_ids(documents: DataFrame, path: str, end: int, folder: str, id: str =
     spark = documents.sparkSession
     width = _width(path)
     docs = documents.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
-    small = docs.orderBy(F.xxhash64("id", "text")).limit(SAMPLE).select(
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    chosen = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) < F.lit(int(share * 2 ** 53))
+    small = docs.filter(chosen).limit(2 * SAMPLE).select(
         F.lit(0).alias("id"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     sample = [np.frombuffer(r["ids"], "<u4").astype(f"<u{width}").tobytes()
               for r in token_ids(small, path, end).select(

@@ -96,8 +96,8 @@ def parse_image_list(text: Column) -> Column:
     quoted = F.regexp_extract_all(text, F.lit("'([^']*)'"), F.lit(1))
     return (F.when(~F.coalesce(F.ltrim(text).startswith("["), F.lit(False)),
                    F.when(F.length(F.trim(text)) > 0, F.array(text)))
-            .when(F.size(quoted) > 0, quoted)
-            .otherwise(as_json))
+            .when(as_json.isNotNull(), as_json)
+            .when(F.size(quoted) > 0, quoted))
 
 
 def explain_recommendation(

@@ -14,24 +14,27 @@ def historical_features(
     columns: list[str],
     ttl_days: int,
     bucket_days: int = 7,
+    heavy: int = 1_000_000,
 ) -> DataFrame:
     """For each entity row, the newest feature row not later than its time.
 
     Both frames carry ``key`` and ``event_timestamp``, features also
     ``created_timestamp``. A feature row counts from its own time up to and
     including ``ttl_days`` later; among rows of the same time the one created
-    last wins. Entity rows without a match keep nulls.
+    last wins. Entity rows without a match keep nulls; a null key matches nothing.
 
     Time is cut into buckets and the work is spread by key and bucket, so a key
     with very many rows is shared by many tasks. Within a bucket a running
     window finds the match. The newest row of a bucket is also handed to the
     buckets after it, as far as the time to live reaches, so every bucket has
-    all it needs: one shuffle, no join, and no pair of rows is ever formed.
+    all it needs: no pair of rows is ever formed. Entity rows of buckets with
+    more than ``heavy`` of them are dealt over several tasks, each of which gets
+    the bucket's features; so are those without a key.
     """
     payload = F.struct(
         F.col("event_timestamp").alias("feature_ts"), F.col("created_timestamp"),
         *[F.col(c) for c in columns])
-    given = features.where(F.col("event_timestamp").isNotNull()).select(
+    given = features.where(F.col("event_timestamp").isNotNull() & F.col(key).isNotNull()).select(
         key, "event_timestamp", payload.alias("_feature"), _bucket(bucket_days))
     newest = given.groupBy(key, "_bucket").agg(
         F.max(F.struct("_feature.feature_ts", "_feature.created_timestamp", "_feature")).alias("_n"))
@@ -45,9 +48,16 @@ def historical_features(
     asked = entities.select(
         key, "event_timestamp", F.lit(None).cast(given.schema["_feature"].dataType).alias("_feature"),
         _bucket(bucket_days), F.struct(F.lit(1).alias("_asked"), *extra).alias("_entity"))
-    rows = asked.unionByName(given, allowMissingColumns=True).unionByName(
-        handed, allowMissingColumns=True)
-    so_far = (W.partitionBy(key, "_bucket")
+    # few: at most one per ``heavy`` entity rows
+    parts = asked.where(F.col(key).isNotNull()).groupBy(key, "_bucket").count().where(
+        F.col("count") > heavy).select(key, "_bucket", F.ceil(F.col("count") / heavy).cast("int").alias("_parts"))
+    known = given.unionByName(handed).join(parts, [key, "_bucket"], "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    asked = asked.join(parts, [key, "_bucket"], "left").withColumn("_part", F.pmod(
+        F.xxhash64("event_timestamp", "_entity"),
+        F.coalesce("_parts", F.when(F.col(key).isNull(), 64), F.lit(1))).cast("int")).drop("_parts")
+    rows = asked.unionByName(known, allowMissingColumns=True)
+    so_far = (W.partitionBy(key, "_bucket", "_part")
               .orderBy("event_timestamp", F.col("_entity").isNotNull(), "_feature.created_timestamp")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     matched = rows.withColumn("_match", F.last("_feature", ignorenulls=True).over(so_far)).where(

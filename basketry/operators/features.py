@@ -11,9 +11,12 @@ TREND_WINDOWS = (7, 30, 90)
 
 
 def favorite_category(interactions: DataFrame) -> DataFrame:
-    """Most frequent category per user; the first by name among equals."""
+    """Most frequent category per user; the first by name among equals.
+
+    Interactions without a category don't count; who has only those is 'unknown'.
+    """
     counts = interactions.groupBy("user_id", "category").agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("rank"), "category"))
+    best = F.min(F.when(F.col("category").isNotNull(), F.struct((-F.col("n")).alias("rank"), "category")))
     return counts.groupBy("user_id").agg(best.alias("best")).select(
         "user_id", F.coalesce("best.category", F.lit("unknown")).alias("favorite_category"),
         (-F.col("best.rank")).alias("category_count"))
@@ -48,7 +51,8 @@ def user_features(interactions: DataFrame, as_of: Column) -> DataFrame:
         F.avg("price").alias("mean"),
         F.var_pop("price").alias("var"),
     )
-    favorite = F.min(F.struct((-F.col("rows")).alias("rank"), "category"))
+    favorite = F.min(F.when(
+        F.col("category").isNotNull(), F.struct((-F.col("rows")).alias("rank"), "category")))
     per_user = per_category.groupBy("user_id").agg(
         F.try_divide(F.sum("rating_sum"), F.sum("ratings")).alias("avg_rating"),
         F.sum("ratings").alias("rating_count"),

@@ -70,22 +70,38 @@ def new_entries(requested: DataFrame, existing: DataFrame) -> DataFrame:
     duplicate if the list holds that asin; one without, if the list holds the
     same title at a price less than 0.01 away. The price test joins on cells of
     0.01 and their neighbours, so equal titles are not all compared.
+
+    Requests are taken by price, then title, and count against later ones: of
+    several with an asin the cheapest is added, of several without, those at
+    least 0.01 above the last one added.
     """
     has_asin = F.coalesce(F.col("asin") != "", F.lit(False))
-    by_asin = requested.where(has_asin).dropDuplicates(["user_id", "asin"]).join(
+    columns = ["user_id", "asin", "title", "price"]
+    first = requested.where(has_asin).groupBy("user_id", "asin").agg(
+        F.min(F.struct("price", "title")).alias("_first"))
+    by_asin = first.select("user_id", "asin", "_first.title", "_first.price").join(
         existing.where(has_asin).select("user_id", "asin").distinct(), ["user_id", "asin"], "left_anti")
 
     cell = F.floor(F.col("price") / 0.01)
     listed = existing.select(
         "user_id", F.col("title").alias("_title"), F.col("price").alias("_price"),
         F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell")).distinct()
-    loose = requested.where(~has_asin).dropDuplicates(["user_id", "title", "price"])
+    loose = requested.where(~has_asin).groupBy("user_id", "title", "price").agg(
+        F.min("asin").alias("asin"))
     by_title = loose.withColumn("_c", cell).join(
         listed.withColumnRenamed("user_id", "_user"),
         (F.col("user_id") == F.col("_user")) & (F.col("title") == F.col("_title"))
         & (F.col("_c") == F.col("_cell")) & (F.abs(F.col("price") - F.col("_price")) < 0.01),
         "left_anti").drop("_c")
-    return by_asin.unionByName(by_title.select(by_asin.columns))
+    # the distinct prices of one title on one user's list of requests
+    nothing = F.array().cast("array<struct<price:double,asin:string>>")
+    entry = F.struct(F.col("price").cast("double").alias("price"), "asin")
+    spaced = F.aggregate("_all", nothing, lambda kept, e: F.when(
+        F.coalesce(e["price"] - F.try_element_at(kept, F.lit(-1))["price"] < 0.01, F.lit(False)), kept)
+        .otherwise(F.concat(kept, F.array(e))))
+    added = by_title.groupBy("user_id", "title").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    added = added.select("user_id", "title", F.inline(spaced))
+    return by_asin.select(columns).unionByName(added.select(columns))
 
 
 def target_categories(

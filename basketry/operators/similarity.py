@@ -243,21 +243,24 @@ def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
     filled = np.flatnonzero(cells.blocks > 0)
     offsets = np.concatenate([cells.close_by[c] for c in filled])
     owner = np.concatenate([np.full(len(cells.close_by[c]), c) for c in filled])
-    slack = 1e-6  # float error in the distances
+    far = float(np.max(cells.farthest[filled], initial=0.0))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         around = _Rows(cells.centers)
         for batch in batches:
             if len(batch) == 0:
                 continue
-            away = _Rows(batch).distances(around)
+            asked = _Rows(batch)
+            away = asked.distances(around)
             reach = away[:, owner] + offsets[None, :]
             if reach.shape[1] >= want:
                 limit = np.partition(reach, want - 1, axis=1)[:, want - 1]
             else:
                 limit = np.full(len(batch), np.inf)
             gap = np.maximum(away - cells.farthest[None, :], cells.nearest[None, :] - away)
-            visit = (gap <= limit[:, None] + slack) & (cells.blocks > 0)[None, :]
+            # float error of a distance: relative to the lengths it comes from
+            length = np.sqrt(max(asked.squares().max(), around.squares().max(), far ** 2))
+            visit = (gap <= limit[:, None] + 1e-6 * (1 + length)) & (cells.blocks > 0)[None, :]
             row, cell = np.nonzero(visit)
             yield batch.iloc[row].assign(cell=cell.astype("int32"))
 

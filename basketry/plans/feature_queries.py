@@ -235,10 +235,13 @@ def user_index(t: Tables) -> DataFrame:
 
 
 @query("P8", f"""
-WITH {INTERACTIONS}, {ITEM_STATS},
-top AS (SELECT item_id FROM item_stats ORDER BY round(popularity_score, 9) DESC, item_id LIMIT 100)
-SELECT user_id, count(*) AS n FROM interactions WHERE item_id IN (SELECT item_id FROM top) GROUP BY 1""")
+WITH {INTERACTIONS},
+known AS (SELECT DISTINCT item_id FROM interactions WHERE ts < TIMESTAMP '1998-01-01')
+SELECT user_id, count(*) AS n FROM interactions
+WHERE ts >= TIMESTAMP '1998-01-01' AND item_id IN (SELECT item_id FROM known) GROUP BY 1""")
 def interactions_with_known_items(t: Tables) -> DataFrame:
+    """Later interactions whose item is in the id map of the earlier ones."""
     rows = t.interactions(catalog=False)
-    known = popularity_ranking(rows, 100).select("item_id")
-    return rows.join(known, "item_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n"))
+    known = id_map(rows.where(F.col("ts") < moment("1998-01-01 00:00:00")), "item_id", "item_idx")
+    later = rows.where(F.col("ts") >= moment("1998-01-01 00:00:00"))
+    return later.join(known, "item_id").groupBy("user_id").agg(F.count("*").alias("n"))

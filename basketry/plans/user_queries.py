@@ -99,19 +99,17 @@ def new_wishlist_entries(t: Tables) -> DataFrame:
 
 @query("S6 S7", f"""
 WITH {INTERACTIONS}, {ENTRIES},
-best AS (SELECT DISTINCT user_id, kind, item_id, title, category FROM entries
-         QUALIFY dense_rank() OVER (PARTITION BY user_id, kind ORDER BY item_id) <= 3)
-SELECT user_id::VARCHAR AS user_id, kind, item_id::VARCHAR AS item_id, title, category FROM best""")
+listed AS (SELECT DISTINCT user_id, kind, item_id, title, category FROM entries)
+SELECT user_id::VARCHAR AS user_id, kind, item_id::VARCHAR AS item_id, title, category FROM listed""")
 def profile_documents(t: Tables) -> DataFrame:
-    """Write each user's first three entries per list as profiles, read them back."""
+    """Write each user's lists as profiles, read them back."""
     distinct = t.profile_entries().select("user_id", "kind", "item_id", "title", "category").distinct()
-    best = top_n_per_group(distinct, ["user_id", "kind"], [F.asc("item_id")], 3)
     entry = F.struct(F.col("item_id").cast("string").alias("item_id"), "title", "category")
 
     def listed(kind: str):
         return F.collect_list(F.when(F.col("kind") == kind, entry))
 
-    documents = best.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(
+    documents = distinct.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(
         listed("purchase").alias("purchase_history"), listed("wishlist").alias("wishlist"),
         listed("cart").alias("cart"))
     folder = scratch_path(t.spark, "profiles")
@@ -383,7 +381,7 @@ predicted AS (
 
 
 def baseline(t: Tables) -> DataFrame:
-    ratings = split_ratings(t)
+    ratings = cut_lineage(split_ratings(t), "split")
     terms = models.bias_terms(ratings.where("NOT held_out"))
     held = ratings.where("held_out").drop("held_out")
     return models.baseline_prediction(held, *terms).withColumnRenamed("baseline", "prediction")

@@ -43,7 +43,8 @@ def harmonise_products(df: DataFrame) -> DataFrame:
         if "asin" in have:
             df = df.withColumn("item_id", F.col("asin").cast("string"))
         else:
-            order = [c for c in ("title", "brand", "price") if c in df.columns]
+            # all columns, so that only equal rows can change places between runs
+            order = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
             df = with_contiguous_index(df, order, "row_index").withColumn(
                 "item_id", F.concat_ws("_", "category", "row_index")).drop("row_index")
     return df

@@ -19,7 +19,9 @@ def load_profiles(spark: SparkSession, folder: str, user: str | None = None) ->
             .option("mode", "DROPMALFORMED").option("pathGlobFilter", pattern)
             .json(folder))
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return rows.select(F.url_decode(name).alias("user_id"), *_with_defaults())
+    # only percent codes are decoded: a plus in a file name is a plus
+    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return rows.select(decoded.alias("user_id"), *_with_defaults())
 
 
 def _with_defaults() -> list:

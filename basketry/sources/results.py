@@ -93,10 +93,19 @@ class ResultStore:
         self._remove_partition(table, split_by, value)
 
     def _remove_partition(self, table: str, split_by: str, value) -> None:
+        """Delete the folder that holds the value, as the files there name it."""
+        rows = self.read(table)
+        mine = rows.where(F.col(split_by).eqNullSafe(F.lit(value).cast(rows.schema[split_by].dataType)))
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+        found = [r[0] for r in mine.select(folder).distinct().collect()]  # one folder holds a value
+        if not found:
+            raise KeyError(f"{table} has nothing for {split_by} = {value}")
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{split_by}={value}")
-        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        system.delete(path, True)
+        for name in found:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            if not system.delete(path, True):
+                raise OSError(f"could not delete {name}")
 
 
 def ingest_features(

@@ -2,7 +2,7 @@
 
 Reads $BENCH_SF_DIR (default /root/testdata/sf0.1), runs on local[$BENCH_CPUS],
 prints one JSON line. Every query runs once to warm up, then $BENCH_RUNS times
-(default 1); the median counts. The sink discards rows, so only the query is
+(default 3); the median counts. The sink discards rows, so only the query is
 timed.
 """
 
@@ -33,7 +33,7 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", **{
         "spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus,
         "spark.driver.memory": "16g", "spark.ui.enabled": "false",

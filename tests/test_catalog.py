@@ -174,10 +174,13 @@ def test_new_entries(spark):
     held = spark.createDataFrame([("u", "a", "T", 1.0), ("u", None, "Plain", 5.0)], fields)
     wanted = spark.createDataFrame([
         ("u", "a", "T", 1.0), ("u", "b", "T", 1.0), ("u", "b", "T", 1.0), ("v", "a", "T", 1.0),
-        ("u", None, "Plain", 5.005), ("u", None, "Plain", 5.02), ("u", None, "Other", 5.0)], fields)
+        ("u", None, "Plain", 5.005), ("u", None, "Plain", 5.02), ("u", None, "Other", 5.0),
+        ("w", None, "Near", 10.0), ("w", None, "Near", 10.005), ("w", None, "Near", 10.011), ("w", "c", "Y", 3.0),
+        ("w", "c", "X", 2.0), ("w", None, "Free", None), ("w", None, "Free", None)], fields)
     got = sorted((r["user_id"], r["asin"] or "", r["title"], r["price"])
                  for r in profiles.new_entries(wanted, held).collect())
-    assert got == [("u", "", "Other", 5.0), ("u", "", "Plain", 5.02), ("u", "b", "T", 1.0), ("v", "a", "T", 1.0)]
+    assert got == [("u", "", "Other", 5.0), ("u", "", "Plain", 5.02), ("u", "b", "T", 1.0), ("v", "a", "T", 1.0),
+                   ("w", "", "Free", None), ("w", "", "Near", 10.0), ("w", "", "Near", 10.011), ("w", "c", "X", 2.0)]
 
 
 def test_cold_start_against_brute_force(spark):
@@ -209,3 +212,22 @@ def test_cold_start_against_brute_force(spark):
             expected = [(it[0], round(min(it[4] * 0.5 + (0.3 if it[1] in cats else 0)
                                           + (0.2 if it[2] in brands else 0), 5.0), 9)) for it in fit[:7]]
             assert got.get(user, []) == expected, user
+
+
+def test_image_lists_with_apostrophes(spark):
+    from basketry.functions.scalars import parse_image_list
+
+    rows = [('["http://x/it\'s.jpg", "http://y/o\'z.jpg"]', ["http://x/it's.jpg", "http://y/o'z.jpg"]),
+            ("['a.jpg' 'b.jpg']", ["a.jpg", "b.jpg"]), ("['a.jpg'\n 'b.jpg']", ["a.jpg", "b.jpg"]), ("[]", []),
+            ("http://x", ["http://x"]), (" ", None), (None, None)]
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").select(
+        "i", parse_image_list(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in got] == [r[1] for r in rows]
+
+
+def test_plus_in_file_names(spark, tmp_path):
+    for name in ("a b", "a+b", "a%2Bc"):
+        (tmp_path / f"{name}.json").write_text('{"rec_seed": 1}')
+    (tmp_path / "bad.json").write_text("{no json")
+    got = sorted(r.user_id for r in profile_files.load_profiles(spark, str(tmp_path)).collect())
+    assert len(got) == len(set(got)) == 3

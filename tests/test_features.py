@@ -146,3 +146,25 @@ def test_latest_and_retention(spark):
     assert sorted(r["value"] for r in kept.collect()) == [0, 1, 2, 3]
     kept = asof.expire_features(rows, F.lit(t0 + timedelta(seconds=1)).cast("timestamp_ntz"), 90)
     assert sorted(r["value"] for r in kept.collect()) == [1, 2, 3]
+
+
+def test_missing_categories_never_win(spark):
+    rows = spark.createDataFrame(
+        [("u", None), ("u", None), ("u", "A"), ("v", None)], "user_id string, category string").withColumn(
+        "item_id", F.lit("i")).withColumn("rating", F.lit(3.0)).withColumn("price", F.lit(1.0)).withColumn(
+        "ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {r.user_id: r.favorite_category for r in features.favorite_category(rows).collect()}
+    assert got == {"u": "A", "v": "unknown"}
+    view = features.user_features(rows, F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert {r.user_id: r.favorite_category for r in view.collect()} == got
+
+
+def test_null_keys_and_heavy_buckets(spark):
+    at = F.col("at").cast("timestamp_ntz").alias("event_timestamp")
+    feats = spark.createDataFrame([(None, "2024-01-01", 9), ("k", "2024-01-02", 1), ("k", "2024-01-05", 2)], "id string, at string, v int")
+    feats = feats.select("id", at, F.col("at").cast("timestamp_ntz").alias("created_timestamp"), "v")
+    asked = spark.createDataFrame([(None, "2024-01-03", 0)] + [("k", f"2024-01-0{1 + i % 9}", i) for i in range(90)],
+                                  "id string, at string, n int").select("id", at, "n")
+    one, cut = (sorted(((r.n, r.id, r.v) for r in asof.historical_features(asked, feats, "id", ["v"], 30, heavy=h).collect()), key=str)
+                for h in (1_000_000, 5))
+    assert one == cut and len(one) == 91 and (0, None, None) in one

@@ -12,7 +12,7 @@ from basketry.plans.registry import INTERACTIONS, ITEM_STATS, moment, query, rou
 from basketry.plans.user_queries import MERGED, merged_lists
 from basketry.operators import features as feature_ops
 from basketry.operators.evaluation import popularity_ranking
-from basketry.session import scratch_path
+from basketry.session import cut_lineage, scratch_path
 from basketry.sources import results
 from basketry.sources.tables import Tables
 from basketry.streaming import jobs
@@ -150,6 +150,43 @@ def test_results(t: Tables) -> DataFrame:
         moment("2024-02-01 00:00:00"))
 
 
+@query("B3 B4 B5", f"""
+WITH {RECORDED},
+stats AS (
+  SELECT *, (x1 + x2) / (n1 + n2) AS pooled,
+         ((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2) AS v, n1 + n2 - 2 AS df FROM wide),
+tested AS (
+  SELECT test_id, metric, m2 - m1 AS d,
+    CASE WHEN metric IN ('ctr', 'conversion_rate') THEN (m2 - m1) / sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
+         ELSE (m2 - m1) / sqrt(v * (1 / n1 + 1 / n2)) END AS statistic,
+    CASE WHEN metric IN ('ctr', 'conversion_rate') THEN {Z95}
+         ELSE {Z95} + ({Z95} ** 3 + {Z95}) / (4 * df) + (5 * {Z95} ** 5 + 16 * {Z95} ** 3 + 3 * {Z95}) / (96 * df * df)
+    END AS critical FROM stats)
+SELECT test_id, metric, coalesce(abs(statistic) > critical, FALSE) AS significant, d > 0 AS test_is_higher FROM tested""")
+def ab_significance(t: Tables) -> DataFrame:
+    """Significance at 95 %, which in SQL is the statistic against a critical value."""
+    return metric_results(t).select(
+        "test_id", "metric", "significant", (F.col("difference") > 0).alias("test_is_higher"))
+
+
+@query("S10", f"""
+WITH {RECORDED} SELECT DISTINCT test_id, TRUE AS same FROM assigned""")
+def ab_export_round_trip(t: Tables) -> DataFrame:
+    """Whether results come back from JSON and from CSV as they were."""
+    path = scratch_path(t.spark, "export")
+    report = cut_lineage(abtest.report_recommendations(test_results(t)), "report")
+    abtest.export_results(report, f"{path}/json", "json")
+    abtest.export_results(report, f"{path}/csv", "csv")
+    back = t.spark.read.schema(report.schema).json(f"{path}/json")
+    text = t.spark.read.option("header", True).csv(f"{path}/csv").select(
+        F.col("test_id").alias("id"), F.col("recommendations").alias("advice"), F.col("effect_size").alias("effect"))
+    told = report.select("test_id", F.col("effect_size").alias("was"), F.col("recommendations").alias("advised"))
+    return told.join(back, "test_id").join(text, F.col("test_id") == F.col("id")).select(
+        "test_id", (F.col("was").eqNullSafe(F.col("effect_size")) & (F.col("advised") == F.col("recommendations"))
+                    & (F.from_json("advice", "array<string>") == F.col("advised"))
+                    & (F.col("effect").cast("double").eqNullSafe(F.col("was")))).alias("same"))
+
+
 @query("B5 B9")
 def ab_reports(t: Tables) -> DataFrame:
     return abtest.report_recommendations(test_results(t)).withColumn(

@@ -1,4 +1,6 @@
-"""Trained models. Results depend on the fit, so there is no SQL side."""
+"""Trained models. Fitted numbers have no SQL side; what must hold for every fit has one."""
+
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -6,43 +8,36 @@ from pyspark.sql import functions as F
 from basketry.operators import evaluation, features, models, recommend
 from basketry.operators.models import BiasedFactorModel, CollaborativeModel, FactorTreeModel
 from basketry.plans.feature_queries import AS_OF
-from basketry.plans.registry import moment, query
-from basketry.plans.user_queries import split_ratings
-from basketry.session import scratch_path
+from basketry.plans.registry import INTERACTIONS, moment, query
+from basketry.plans.user_queries import SPLIT, split_ratings
+from basketry.session import cut_lineage, scratch_path
 from basketry.sources.tables import Tables
 
 
 class Trained:
-    """Models fitted once per session and data set, shared by the queries."""
+    """The split ratings and the models a query asks for, each fitted once for it."""
 
     def __init__(self, t: Tables):
-        split = split_ratings(t)
+        split = cut_lineage(split_ratings(t), "split")
         indexed, self.mappings = models.prepare_ratings(split.where("NOT held_out"))
         self.train = indexed
         self.held = split.where("held_out")
-        self.cf = CollaborativeModel.train(indexed, self.mappings)
-
-    @property
-    def small(self) -> CollaborativeModel:
-        if not hasattr(self, "_small"):
-            self._small = CollaborativeModel.train(self.train, self.mappings, rank=10)
-        return self._small
-
-    @property
-    def hybrid(self) -> FactorTreeModel:
-        if not hasattr(self, "_hybrid"):
-            self._hybrid = FactorTreeModel.train(self.train, self.small, on_residual=True)
-        return self._hybrid
 
+    @cached_property
+    def cf(self) -> CollaborativeModel:
+        return CollaborativeModel.train(self.train, self.mappings)
 
-_TRAINED: dict[tuple[str, str], Trained] = {}
+    @cached_property
+    def trees(self) -> FactorTreeModel:
+        return FactorTreeModel.train(self.train, self.cf)
 
+    @cached_property
+    def hybrid(self) -> FactorTreeModel:
+        return FactorTreeModel.train(self.train, self.cf, on_residual=True)
 
-def trained(t: Tables) -> Trained:
-    key = (t.spark.sparkContext.applicationId, t.root)
-    if key not in _TRAINED:
-        _TRAINED[key] = Trained(t)
-    return _TRAINED[key]
+    @cached_property
+    def biased(self) -> BiasedFactorModel:
+        return BiasedFactorModel.train(self.train, self.mappings)
 
 
 def _users(t: Tables) -> DataFrame:
@@ -55,17 +50,17 @@ def _items(t: Tables) -> DataFrame:
 
 @query("M1 M4 P8")
 def als_items_for_users(t: Tables) -> DataFrame:
-    return trained(t).cf.recommend_for_users(_users(t), 10)
+    return Trained(t).cf.recommend_for_users(_users(t), 10)
 
 
 @query("M5")
 def als_users_for_items(t: Tables) -> DataFrame:
-    return trained(t).cf.recommend_for_items(_items(t), 10)
+    return Trained(t).cf.recommend_for_items(_items(t), 10)
 
 
 @query("M2")
 def als_validation(t: Tables) -> DataFrame:
-    model = trained(t)
+    model = Trained(t)
     return evaluation.rating_errors(model.cf.predict(model.held))
 
 
@@ -73,55 +68,54 @@ def als_validation(t: Tables) -> DataFrame:
 def als_factor_similarity(t: Tables) -> DataFrame:
     items = _items(t)
     pairs = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
-    return trained(t).cf.similarity(pairs, users=False)
+    return Trained(t).cf.similarity(pairs, users=False)
 
 
 @query("M3")
 def als_tuning(t: Tables) -> DataFrame:
-    grid = {"rank": [5, 10], "regParam": [0.1, 0.5], "maxIter": [5]}
-    return models.tune(trained(t).train, grid, folds=3)[1]
+    """All points of the grid."""
+    return models.tune(Trained(t).train, folds=3, parallelism=4)[1]
 
 
 @query("S9")
 def als_reloaded(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "model")
-    trained(t).cf.save(path)
+    Trained(t).cf.save(path)
     return CollaborativeModel.load(t.spark, path).recommend_for_users(_users(t), 5)
 
 
 @query("M10 M14")
 def biased_factor_predictions(t: Tables) -> DataFrame:
-    model = BiasedFactorModel.train(trained(t).train, trained(t).mappings)
-    return model.predict(trained(t).held).select("user_id", "item_id", "rating", "prediction")
+    model = Trained(t)
+    return model.biased.predict(model.held).select("user_id", "item_id", "rating", "prediction")
 
 
 @query("M11 M13 M14")
 def factor_tree_predictions(t: Tables) -> DataFrame:
-    model = FactorTreeModel.train(trained(t).train, trained(t).small)
-    return model.predict(trained(t).held).select("user_id", "item_id", "rating", "prediction")
+    model = Trained(t)
+    return model.trees.predict(model.held).select("user_id", "item_id", "rating", "prediction")
 
 
 @query("M12 M13 M14")
 def factor_and_tree_predictions(t: Tables) -> DataFrame:
-    return trained(t).hybrid.predict(trained(t).held).select(
-        "user_id", "item_id", "rating", "prediction")
+    model = Trained(t)
+    return model.hybrid.predict(model.held).select("user_id", "item_id", "rating", "prediction")
 
 
 @query("J6 W1")
 def best_by_factor_product(t: Tables) -> DataFrame:
-    return recommend.score_by_factors(trained(t).small, _users(t), _items(t), 10)
+    return recommend.score_by_factors(Trained(t).cf, _users(t), _items(t), 10)
 
 
 @query("M17 J6 J8 J11")
 def batch_recommendations(t: Tables) -> DataFrame:
-    model = trained(t)
+    model = Trained(t)
     interactions = t.interactions(catalog=False)
     users = features.user_features(t.interactions(), moment(AS_OF))
     items = features.item_features(t.items(), interactions, moment(AS_OF))
-    candidates = recommend.popular_candidates(interactions, 100)
     lists = {
         kind: recommend.batch_recommend(
-            kind, _users(t), 10, cf=model.cf, deep=model.hybrid, candidates=candidates,
+            kind, _users(t), 10, cf=model.cf, deep=model.hybrid, candidates=_items(t),
             user_features=users, item_features=items).drop("model")
         for kind in ("collaborative", "deep_learning", "hybrid")
     }
@@ -130,10 +124,9 @@ def batch_recommendations(t: Tables) -> DataFrame:
 
 @query("M18")
 def model_comparison(t: Tables) -> DataFrame:
-    model = trained(t)
+    model = Trained(t)
     relevant = model.held.where("rating >= 3")
-    candidates = recommend.popular_candidates(model.train, 100)
-    deep = recommend.score_candidates(model.hybrid, _users(t), candidates, 20)
+    deep = cut_lineage(recommend.score_candidates(model.hybrid, _users(t), _items(t), 20), "lists")
     cf = model.cf.recommend_for_users(_users(t), 20)
     top = evaluation.popularity_ranking(model.train, 20)
     return evaluation.compare_models({
@@ -143,3 +136,83 @@ def model_comparison(t: Tables) -> DataFrame:
         "hybrid": evaluation.ranking_metrics(
             evaluation.hits_of_lists(relevant, recommend.merge_scores(cf, deep, 20))),
     })
+
+
+KNOWN = f"""
+{INTERACTIONS}, {SPLIT},
+known_users AS (SELECT DISTINCT user_id FROM ratings WHERE NOT held_out),
+known_items AS (SELECT DISTINCT item_id FROM ratings WHERE NOT held_out),
+held AS (SELECT r.* FROM ratings r SEMI JOIN known_users USING (user_id) SEMI JOIN known_items USING (item_id)
+         WHERE held_out)"""
+
+
+def _sound(lists: DataFrame, key: str, listed: str, known: DataFrame) -> DataFrame:
+    """Per list: its length, and whether it is ranked 1 to n by falling score, without
+    repeats, over known ids."""
+    marked = lists.join(known.select(listed).distinct().withColumn("_known", F.lit(True)), listed, "left")
+    entry = F.array_sort(F.collect_list(F.struct("rank", F.col(listed), "score")))
+    return marked.groupBy(key).agg(
+        F.count("*").alias("entries"), F.every(F.coalesce("_known", F.lit(False))).alias("all_known"),
+        entry.alias("_list")).select(
+        key, "entries", "all_known",
+        (F.transform("_list", lambda e: e["rank"].cast("int")) == F.sequence(
+            F.lit(1), F.col("entries").cast("int"))).alias("ranked"),
+        (F.size(F.array_distinct(F.transform("_list", lambda e: e[listed]))) == F.col("entries")).alias("distinct_ids"),
+        (F.transform("_list", lambda e: e["score"]) == F.reverse(F.array_sort(
+            F.transform("_list", lambda e: e["score"])))).alias("by_score"))
+
+
+@query("M1 M4 P8", f"""
+WITH {KNOWN} SELECT user_id, 10::BIGINT AS entries, TRUE AS all_known, TRUE AS ranked, TRUE AS distinct_ids, TRUE AS by_score
+FROM known_users""")
+def als_user_lists_sound(t: Tables) -> DataFrame:
+    model = Trained(t)
+    return _sound(model.cf.recommend_for_users(_users(t), 10), "user_id", "item_id", model.train)
+
+
+@query("M5", f"""
+WITH {KNOWN} SELECT item_id, 10::BIGINT AS entries, TRUE AS all_known, TRUE AS ranked, TRUE AS distinct_ids, TRUE AS by_score
+FROM known_items""")
+def als_item_lists_sound(t: Tables) -> DataFrame:
+    model = Trained(t)
+    return _sound(model.cf.recommend_for_items(_items(t), 10), "item_id", "user_id", model.train)
+
+
+@query("M17 J6 J8", f"""
+WITH {KNOWN} SELECT user_id, 10::BIGINT AS entries, TRUE AS all_known, TRUE AS ranked, TRUE AS distinct_ids, TRUE AS by_score
+FROM known_users""")
+def hybrid_lists_sound(t: Tables) -> DataFrame:
+    """Merged lists over the whole catalog."""
+    model = Trained(t)
+    lists = recommend.batch_recommend("hybrid", _users(t), 10, cf=model.cf, deep=model.hybrid, candidates=_items(t))
+    return _sound(lists, "user_id", "item_id", model.train)
+
+
+@query("S9", f"""
+WITH {KNOWN} SELECT count(*) * 5 AS entries, 0::BIGINT AS different FROM known_users""")
+def als_reload_is_equal(t: Tables) -> DataFrame:
+    """Lists of a saved and reloaded model that the model itself does not give."""
+    path, model = scratch_path(t.spark, "model"), Trained(t)
+    model.cf.save(path)
+    own = model.cf.recommend_for_users(_users(t), 5).withColumnRenamed("score", "own")
+    again = CollaborativeModel.load(t.spark, path).recommend_for_users(_users(t), 5)
+    return own.join(again, ["user_id", "item_id", "rank"], "full").agg(
+        F.count("*").alias("entries"), F.count_if(~F.col("own").eqNullSafe(F.col("score"))).alias("different"))
+
+
+@query("M2 M10 M11 M12 M13 M14", f"""
+WITH {KNOWN}, n AS (SELECT count(*) AS pairs FROM held), a AS (SELECT count(*) AS pairs FROM ratings WHERE held_out)
+SELECT * FROM (SELECT 'als' AS model, pairs FROM n UNION ALL SELECT 'trees', pairs FROM n UNION ALL
+               SELECT 'factors and trees', pairs FROM n UNION ALL SELECT 'biased factors', pairs FROM a),
+              (SELECT TRUE AS in_range)""")
+def predictions_cover_held_pairs(t: Tables) -> DataFrame:
+    """Held-out pairs each model predicts, and whether its mean absolute error is below the ratings' range."""
+    model = Trained(t)
+    parts = {"als": model.cf, "trees": model.trees, "factors and trees": model.hybrid, "biased factors": model.biased}
+    made = None
+    for name, m in parts.items():
+        one = m.predict(model.held).agg(
+            F.count("prediction").alias("pairs"),
+            (F.avg(F.abs(F.col("prediction") - F.col("rating"))) < 4).alias("in_range")).withColumn("model", F.lit(name))
+        made = one if made is None else made.unionByName(one)
+    return made

@@ -38,7 +38,8 @@ PENALTY = 12.0  # nats for a switch of language
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01  # of a language's letters that make a script one of its own
 LANGUAGES = 1000  # at most
-CHARACTERS = 1 << 20  # handled at once
+CHARACTERS = 1 << 20  # of a text handled at once
+LABELLED = 1 << 22  # characters of the texts that are labelled together
 UNKNOWN = "und"
 # Unicode blocks by script (first, last): fixed values.
 SCRIPTS = {
@@ -269,7 +270,7 @@ def label(model: dict, texts: list[str | None], penalty: float = PENALTY) -> lis
 def identify(documents: DataFrame, model: dict, text: str = "text", penalty: float = PENALTY) -> DataFrame:
     """Documents with ``lang_pred``, ``score`` and ``spans`` (begin, end, lang), in characters."""
     spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     shared = spark.sparkContext.broadcast(model)
     names = [free_name(documents, c) for c in ("lang_pred", "score", "spans")]
     schema = documents.select(
@@ -281,7 +282,7 @@ def identify(documents: DataFrame, model: dict, text: str = "text", penalty: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, made = batch.column(place).to_pylist(), []
-            for a, b in blocks((len(t or "") for t in texts), CHARACTERS):
+            for a, b in blocks((len(t or "") for t in texts), LABELLED):
                 made += label(shared.value, texts[a:b], penalty)
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()),

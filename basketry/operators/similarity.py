@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -134,7 +135,7 @@ class _Rows:
 
 def nearest(
     queries: DataFrame, candidates: DataFrame, k: int, same_ids: bool = True,
-    block_rows: int = 2048, max_cells: int = 64,
+    block_rows: int = 2048, cells_per_root: float = 0.5,
 ) -> DataFrame:
     """Exact top ``k`` candidates by dot product for every query.
 
@@ -147,9 +148,10 @@ def nearest(
     so only the first few ids can be in a result. Distinct candidates fall into
     cells around reference vectors. Distances to those vectors bound, for each
     query, how far its k-th neighbour can be and how near a cell can get; the
-    query goes only to cells that can hold a neighbour. Cells and the queries
-    that visit them are cut into blocks of about ``block_rows``, each task
-    compares one block of both and returns k rows per query.
+    query goes only to cells that can hold a neighbour. The number of cells grows
+    with the root of the number of vectors. Cells and the queries that visit them
+    are cut into blocks of about ``block_rows``, each task compares one block of
+    both and returns k rows per query.
     """
     want = k + 1 if same_ids else k
     all_pairs = queries is candidates
@@ -164,7 +166,7 @@ def nearest(
             F.col("id").alias("source_id"), F.col("id").alias("neighbor_id"),
             F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
 
-    centers = _pick_centers(distinct, min(max_cells, max(1, total // block_rows)))
+    centers = _pick_centers(distinct, max(1, math.ceil(cells_per_root * math.sqrt(total))))
     placed = _place(distinct, centers)
     cells = _describe(placed, centers, want, block_rows)
 
@@ -199,7 +201,7 @@ def _on_same_vector(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _pick_centers(distinct: DataFrame, count: int) -> pd.DataFrame:
-    """A seeded handful of vectors (at most ``max_cells``) to build cells on."""
+    """Seeded vectors, in proportion to the root of their number, to build cells on."""
     rows = distinct.orderBy(F.md5(F.col("cid").cast("string")), "cid").limit(count).collect()
     return pd.DataFrame({"places": [r["places"] for r in rows], "vector": [r["vector"] for r in rows]},
                         dtype=object)

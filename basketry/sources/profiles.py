@@ -39,6 +39,7 @@ def save_profiles(profiles: DataFrame, folder: str) -> None:
     safe = F.regexp_replace(F.regexp_replace("user_id", r"[/\\]", "_"), r"\.\.", "_")
     (profiles.withColumn("user_id", safe)
      .withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(256)))
+     .hint("rebalance", F.col("bucket"))  # few files per folder
      .write.mode("overwrite").partitionBy("bucket").json(folder))
 
 

@@ -40,6 +40,11 @@ def recommendation_rows(lists: DataFrame) -> DataFrame:
     return grouped.withColumn("key", key)
 
 
+def _gathered(rows: DataFrame, split_by: str) -> DataFrame:
+    """Rows of a partition together, so that it gets few files; large ones are split."""
+    return rows.hint("rebalance", F.col(split_by))
+
+
 class ResultStore:
     """Parquet tables below one folder, each split by one column."""
 
@@ -52,11 +57,11 @@ class ResultStore:
 
     def write(self, table: str, rows: DataFrame, split_by: str) -> None:
         """Replace the partitions that ``rows`` has; leave the others alone."""
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (_gathered(rows, split_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(split_by).parquet(self.path(table)))
 
     def append(self, table: str, rows: DataFrame, split_by: str) -> None:
-        rows.write.mode("append").partitionBy(split_by).parquet(self.path(table))
+        _gathered(rows, split_by).write.mode("append").partitionBy(split_by).parquet(self.path(table))
 
     def read(self, table: str, as_of: Column | None = None) -> DataFrame:
         rows = self.spark.read.parquet(self.path(table))

@@ -26,14 +26,14 @@ def lists(df):
     return out
 
 
-@pytest.mark.parametrize("block_rows,max_cells", [(2048, 64), (16, 8)])
-def test_similar_items_exact_with_copies(spark, block_rows, max_cells):
+@pytest.mark.parametrize("block_rows,cells_per_root", [(2048, 0.1), (16, 1.0)])
+def test_similar_items_exact_with_copies(spark, block_rows, cells_per_root):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(5, 6)) * 4
     matrix = centers[rng.integers(0, 5, 150)] + rng.normal(size=(150, 6)) * 0.3
     matrix[40:90] = matrix[40]  # a third of all rows are copies
     unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
-    found = similarity.similar_items(frame(spark, matrix), 5, block_rows=block_rows, max_cells=max_cells)
+    found = similarity.similar_items(frame(spark, matrix), 5, block_rows=block_rows, cells_per_root=cells_per_root)
     assert lists(found) == brute(unit @ unit.T, 5)
 
 
@@ -48,7 +48,7 @@ def test_zero_vectors(spark):
 def test_best_candidates_by_dot_product(spark):
     rng = np.random.default_rng(2)
     users, items = rng.normal(size=(40, 5)), rng.normal(size=(70, 5)) * rng.uniform(0.1, 5, (70, 1))
-    found = similarity.best_candidates(frame(spark, users), frame(spark, items), 4, block_rows=16, max_cells=6)
+    found = similarity.best_candidates(frame(spark, users), frame(spark, items), 4, block_rows=16, cells_per_root=0.8)
     assert lists(found) == brute(users @ items.T, 4, skip_self=False)
 
 

@@ -238,6 +238,20 @@ def ab_power(t: Tables) -> DataFrame:
         "day", "sample_size", F.lit(0.2).alias("expected_improvement"), F.lit(0.05).alias("alpha")))
 
 
+@query("B7", """
+WITH sizes AS (SELECT ts::DATE::VARCHAR AS label, count(*) AS sample_size FROM events GROUP BY 1
+               UNION ALL SELECT event_type, count(*) FROM events GROUP BY 1)
+SELECT label, sample_size, sample_size >= 394 AS adequate FROM sizes""")
+def ab_power_adequate(t: Tables) -> DataFrame:
+    """Whether groups of these sizes show an effect of 0.2 with a power of 0.8: from 394 on."""
+    labels = (F.to_date("ts").cast("string"), F.col("event_type"))
+    sizes = [t.events().groupBy(c.alias("label")).agg(F.count("*").alias("sample_size")) for c in labels]
+    scenarios = sizes[0].unionByName(sizes[1])
+    return abtest.power_analysis(scenarios.select(
+        "label", "sample_size", F.lit(0.2).alias("expected_improvement"), F.lit(0.05).alias("alpha"))).select(
+        "label", "sample_size", "adequate")
+
+
 def test_log(t: Tables) -> DataFrame:
     """Events as a log of test actions, one test per value of k."""
     action = (F.when(F.col("event_type") == "signup", "created")

@@ -106,6 +106,23 @@ def user_behavior(t: Tables) -> DataFrame:
                    avg_price=4, min_price=4, max_price=4)
 
 
+@query("A5", f"""
+WITH hours AS (SELECT user_id, h FROM (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL)
+               QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h) = 1),
+days AS (SELECT user_id, d FROM (SELECT user_id, isodow(ts) - 1 AS d, count(*) AS n FROM events GROUP BY ALL)
+         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, d) = 1)
+SELECT user_id, any_value(h) AS preferred_hour, any_value(d) AS preferred_day,
+       count(*) AS total_interactions, count(DISTINCT event_type) AS category_diversity
+FROM events JOIN hours USING (user_id) JOIN days USING (user_id) WHERE user_id IS NOT NULL GROUP BY user_id""")
+def user_event_hours(t: Tables) -> DataFrame:
+    """Preferred hours over events, which unlike orders happen at all times of a day."""
+    rows = t.events().where(F.col("user_id").isNotNull()).select(
+        "user_id", F.lit(1.0).alias("rating"), F.col("value").alias("price"),
+        F.col("event_type").alias("category"), "ts")
+    return features.user_behavior(rows, moment(AS_OF)).select(
+        "user_id", "preferred_hour", "preferred_day", "total_interactions", "category_diversity")
+
+
 def _trend_sql(days: int) -> str:
     inside = f"ts >= TIMESTAMP '{LAST_ORDERS}' - INTERVAL {days} DAY"
     return f"""

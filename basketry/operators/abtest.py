@@ -152,11 +152,13 @@ def analyze_metrics(grouped: DataFrame, configs: DataFrame) -> DataFrame:
         F.array_contains("metrics", F.col("metric")))
     t, df = F.col("test_statistic"), F.col("degrees_of_freedom")
     tail = 1 - (1 - F.col("confidence_level")) / 2
-    # apart, because a Python function would run for the rows of either branch
-    scored = joined.where(df.isNull()).withColumn("p_value", stats.normal_p_value(t)).withColumn(
-        "critical", stats.normal_quantile_of(tail)).unionByName(
-        joined.where(df.isNotNull()).withColumn("p_value", stats.t_p_value(t, df)).withColumn(
-            "critical", stats.t_quantile_of(tail, df)))
+    # Python functions run for the rows of either branch; without degrees of freedom
+    # the costly ones return at once
+    scored = (joined
+              .withColumn("p_value", F.when(df.isNull(), stats.normal_p_value(t))
+                          .otherwise(stats.t_p_value(t, df)))
+              .withColumn("critical", F.when(df.isNull(), stats.normal_quantile_of(tail))
+                          .otherwise(stats.t_quantile_of(tail, df))))
     margin = F.col("critical") * F.col("unpooled_error")
     return scored.select(
         "test_id", "metric", F.when(df.isNull(), "proportion").otherwise("continuous").alias("kind"),
@@ -217,11 +219,12 @@ def required_sample_sizes(scenarios: DataFrame) -> DataFrame:
     alpha = 1 - F.col("confidence_level")
     quantiles = stats.normal_quantile_of(1 - alpha / 2) + stats.normal_quantile_of(F.col("power"))
     rates = F.try_divide(2 * mean * (1 - mean) * quantiles * quantiles, (p2 - p1) * (p2 - p1))
-    means = stats.t_sample_size_of(F.col("expected_improvement"), alpha, F.col("power"))
     proportion = F.coalesce(F.col("metric").isin(*PROPORTION_METRICS), F.lit(False))
-    # apart, because a Python function would run for the rows of either branch
-    return scenarios.where(proportion).withColumn("sample_size", F.ceil(rates)).unionByName(
-        scenarios.where(~proportion).withColumn("sample_size", F.ceil(means)))
+    # a Python function runs for the rows of either branch, and returns at once for null
+    effect = F.when(~proportion, F.col("expected_improvement"))
+    means = stats.t_sample_size_of(effect, alpha, F.col("power"))
+    return scenarios.withColumn(
+        "sample_size", F.when(proportion, F.ceil(rates)).otherwise(F.ceil(means)))
 
 
 def power_analysis(scenarios: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import small_batches, written
 
-BATCH = 2_000_000  # tokens of a batch, one text at least
-RANGE = 1_500_000  # keys asked for in a range, about
+BATCH = 1_000_000  # tokens of a batch, one text at least
+RANGE = 1_000_000  # keys asked for in a range, about
 START = (0.3, 0.6, 0.1)  # weights of pairs, words and the uniform word before learning
 STEP = 0.25  # of a power of two, by which estimates are counted for learning
 NEVER = 255  # stands for an estimate of zero there

@@ -16,6 +16,7 @@ from basketry.session import cut_lineage, scratch_path  # noqa: F401
 # libraries they import, but not this package.
 cloudpickle.register_pickle_by_value(sys.modules["basketry.llm"])
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 512  # rows of an Arrow batch: a few MB of ordinary texts
 
 written = cut_lineage
@@ -34,7 +35,7 @@ def tokenizer_path(name: str) -> str:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hand texts to Python a few MB at a time, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set(ARROW_ROWS, str(rows))
 
 
 def worker_cache() -> dict:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import small_batches, written
+from basketry.llm.common import ARROW_ROWS, small_batches, written
 
 BATCH = 1_000_000  # tokens of a batch, one text at least
 RANGE = 1_000_000  # keys asked for in a range, about
@@ -251,6 +251,7 @@ def score(documents: DataFrame) -> DataFrame:
     left out of the counts while the weights are learned. All are scored.
     """
     spark = documents.sparkSession
+    batch_rows = spark.conf.get(ARROW_ROWS)
     store = written(tokenized(documents), "tokens")
     small_batches(spark, 4)
 
@@ -288,6 +289,7 @@ def score(documents: DataFrame) -> DataFrame:
         answers.filter("learned IS NOT NULL").groupBy("batch")).applyInArrow(
         events, "class long, pair long, word long, n long")
     histogram = gone.groupBy("class", "pair", "word").agg(F.sum("n").alias("n")).collect()
+    small_batches(spark, int(batch_rows))  # what is left comes by groups
     weights = learn(sorted(map(tuple, histogram)), uniform)
 
     def scored(batch: pa.Table, found: pa.Table) -> pa.Table:

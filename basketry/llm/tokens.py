@@ -287,7 +287,7 @@ def read_ids(spark: SparkSession, folder: str, only: int | None = None) -> DataF
         blocks = blocks.filter((F.col("first") <= only) & (F.col("last") >= only))
     placed = blocks.join(starts, "part").select(
         (F.col("base") + F.col("before")).alias("start"), "ids", "ends", "counts", "frames", "hash")
-    small_batches(spark, 8)
+    small_batches(spark, 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, sharding, simhash, tokens
-from basketry.llm.common import crc_of_id, read_table, tokenizer_path, written
+from basketry.llm.common import crc_of_id, free_name, read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,13 +122,14 @@ def op7_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents shuffled into 40 shards. What is dealt is the digest of each."""
-    text = F.col("text").cast("binary")
-    rows = read_table(spark, folder, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"))
-    return sharding.shuffle(rows).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+    """All documents, whole, shuffled into 40 written shards. The digests are of what the shards hold."""
+    docs = read_table(spark, folder, "documents")
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    kept = sharding.write_shards(sharding.shuffle(docs), shard, slot)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return kept.select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -10,8 +10,9 @@ shard, and sizes are exact: the shards' numbers of rows differ by one at most (l
 Only the matrix is drawn on the driver: one row of counts per block of about ``block``
 rows. Ranks within blocks and shards are window functions over bounded groups: a shard is
 permuted in ranges of a second random key, whose counts are added up to
-gapless slots. All of it is DataFrame functions, so a query that needs no texts
-moves none.
+gapless slots. All of it is DataFrame functions. The counts come from a table of the rows'
+random keys alone; the rows themselves, with all their columns, move twice, into blocks and
+into shards, and ``write_shards`` keeps them in one folder a shard, in the order of slots.
 
 Equal texts are no groups here: they are spread like any other rows, so a text with a third
 of all rows does not matter. (A law that kept them together could not have equal sizes.)
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import free_name, written
+from basketry.llm.common import free_name, scratch_path, written
 
 SHARDS = 40
 BLOCK = 50_000
@@ -91,26 +92,41 @@ def shuffle(rows: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int
     shard, slot = free_name(rows, "shard"), free_name(rows, "slot")
     count = rows.count()
     n_blocks = max(1, math.ceil(count / block))
-    dealt = rows.withColumn("\tblock", F.pmod(_hash(seed, hashed), F.lit(n_blocks)).cast("int"))
-    sizes = dict(dealt.groupBy("\tblock").count().collect())  # one row per block
+    ranges = max(1, math.ceil(count / shards / block))
+    key = _hash(seed + 2, hashed)
+    place = F.floor((F.shiftrightunsigned(key, 11).cast("double") / 2.0 ** 53) * ranges).cast("int")
+    dealt = (rows.withColumn("\tblock", F.pmod(_hash(seed, hashed), F.lit(n_blocks)).cast("int"))
+             .withColumn("\tfirst", _hash(seed + 1, hashed)).withColumn("\ttie", _hash(seed + 3, hashed))
+             .withColumn("\tkey", key).withColumn("\trange", place))
+    light = written(dealt.select("\tblock", "\tfirst", "\ttie", "\trange"), "shard-keys")
+    sizes = dict(light.groupBy("\tblock").count().collect())  # one row per block
     order = sorted(sizes)
     drawn = matrix([sizes[b] for b in order],
                    [count // shards + (i < count % shards) for i in range(shards)], seed)
     ends = spark.createDataFrame(
         [(b, [int(x) for x in np.cumsum(row)]) for b, row in zip(order, drawn)], "`\tblock` int, ends array<long>")
-    # first permutation: a row's rank in its block says to which shard it goes
-    permuted = dealt.withColumn("\trank", F.row_number().over(
-        Window.partitionBy("\tblock").orderBy(_hash(seed + 1, hashed), *hashed)))
-    sent = permuted.join(ends, "\tblock").withColumn(
-        shard, F.size(F.filter("ends", lambda e: e < F.col("\trank")))).select(*names, shard)
-    # second permutation: in ranges of another random key
-    ranges = max(1, math.ceil(count / shards / block))
-    key = _hash(seed + 2, hashed)
-    place = F.floor((F.shiftrightunsigned(key, 11).cast("double") / 2.0 ** 53) * ranges).cast("int")
-    sent = written(sent.withColumn("\trange", place), "shards")
-    counts = sent.groupBy(shard, "\trange").agg(F.count("*").alias("\tn"))
+
+    def sent(df: DataFrame, *ties: Column) -> DataFrame:
+        """First permutation: a row's rank in its block says to which shard it goes."""
+        rank = F.row_number().over(Window.partitionBy("\tblock").orderBy("\tfirst", "\ttie", *ties))
+        return df.withColumn("\trank", rank).join(ends, "\tblock").withColumn(
+            shard, F.size(F.filter("ends", lambda e: e < F.col("\trank"))))
+
+    # Rows that tie in both keys have equal hashes throughout (equal rows, or nulls in other columns) and so
+    # the same range: whichever of them goes to a shard, the counts are the same.
+    counts = sent(light).groupBy(shard, "\trange").agg(F.count("*").alias("\tn"))
     before = Window.partitionBy(shard).orderBy("\trange").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("\tbefore", F.coalesce(F.sum("\tn").over(before), F.lit(0))).drop("\tn")
-    rank = F.row_number().over(Window.partitionBy(shard, "\trange").orderBy(key, *hashed))
-    return sent.withColumn("\trank", rank).join(counts, [shard, "\trange"]).select(
-        *names, shard, (F.col("\trank") - 1 + F.col("\tbefore")).cast("long").alias(slot))
+    counts = written(counts.withColumn("\tbefore", F.coalesce(F.sum("\tn").over(before), F.lit(0))).drop("\tn"),
+                     "shard-counts")
+    # second permutation: in ranges of another random key
+    rank = F.row_number().over(Window.partitionBy(shard, "\trange").orderBy("\tkey", *hashed))
+    return (sent(dealt, *hashed).select(*names, shard, "\trange", "\tkey").withColumn("\trank", rank)
+            .join(counts, [shard, "\trange"]).select(
+                *names, shard, (F.col("\trank") - 1 + F.col("\tbefore")).cast("long").alias(slot)))
+
+
+def write_shards(shuffled: DataFrame, shard: str, slot: str) -> DataFrame:
+    """Keep shuffled rows in the shared folder, one folder a shard; gives a reader of them."""
+    spark, path = shuffled.sparkSession, scratch_path(shuffled.sparkSession, "shards")
+    shuffled.sortWithinPartitions(shard, slot).write.option("compression", "zstd").partitionBy(shard).parquet(path)
+    return spark.read.schema(shuffled.schema).parquet(path)

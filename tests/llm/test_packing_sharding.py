@@ -1,9 +1,10 @@
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from basketry.llm import packing, sharding
+from basketry.llm import packing, queries, sharding
 
 
 @pytest.mark.parametrize("select", ["norm", "dot"])
@@ -66,3 +67,21 @@ def test_places_are_uniform(spark):
     by_shard = Counter(s for s, _ in got)
     assert all(abs(v - 325) < 80 for v in by_shard.values())
     assert abs(np.mean([slot for _, slot in got]) - 499.5) < 40
+
+
+def test_shards_are_written_with_their_texts(spark, tmp_path, monkeypatch):
+    """Folders hold every document, whole and in the order of slots, and the digests are theirs."""
+    rows = [(i if i % 7 else None, f"text {i} " * (1 + 3000 * (i == 5)) if i % 11 else None, "hot") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sharding, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = queries.op8_shard(spark, str(tmp_path)).collect()
+    kept = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in kept) == Counter(rows)
+    assert Counter(r.shard for r in kept) == {s: 8 if s < 20 else 7 for s in range(40)}
+    for folder in tmp_path.glob("shards/shard=*"):
+        slots = [r.slot for r in spark.read.parquet(str(folder)).collect()]
+        assert slots == list(range(len(slots)))
+    told = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got)
+    assert told == Counter((r.doc_id, len(r.text or "") + 16, zlib.crc32((r.text or "").encode()), r.shard, r.slot)
+                           for r in kept)

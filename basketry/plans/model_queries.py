@@ -126,15 +126,18 @@ def batch_recommendations(t: Tables) -> DataFrame:
 def model_comparison(t: Tables) -> DataFrame:
     model = Trained(t)
     relevant = model.held.where("rating >= 3")
-    deep = cut_lineage(recommend.score_candidates(model.hybrid, _users(t), _items(t), 20), "lists")
-    cf = model.cf.recommend_for_users(_users(t), 20)
-    top = evaluation.popularity_ranking(model.train, 20)
+    n = 20
+    # the merged lists take the best 2 n of each side
+    deep = cut_lineage(recommend.score_candidates(model.hybrid, _users(t), _items(t), 2 * n), "lists")
+    cf = cut_lineage(model.cf.recommend_for_users(_users(t), 2 * n), "lists")
+    top = evaluation.popularity_ranking(model.train, n)
     return evaluation.compare_models({
         "popularity": evaluation.ranking_metrics(evaluation.hits_of_shared_list(relevant, top)),
-        "collaborative": evaluation.ranking_metrics(evaluation.hits_of_lists(relevant, cf)),
-        "deep_learning": evaluation.ranking_metrics(evaluation.hits_of_lists(relevant, deep)),
+        "collaborative": evaluation.ranking_metrics(evaluation.hits_of_lists(relevant, cf.where(F.col("rank") <= n))),
+        "deep_learning": evaluation.ranking_metrics(
+            evaluation.hits_of_lists(relevant, deep.where(F.col("rank") <= n))),
         "hybrid": evaluation.ranking_metrics(
-            evaluation.hits_of_lists(relevant, recommend.merge_scores(cf, deep, 20))),
+            evaluation.hits_of_lists(relevant, recommend.merge_scores(cf, deep, n))),
     })
 
 

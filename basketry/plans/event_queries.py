@@ -555,3 +555,44 @@ def sessions_stream(t: Tables) -> DataFrame:
     return rounded(rows.select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_end").cast("timestamp_ntz").alias("session_end"), "event_count", "total_value"))
+
+
+@query("T1", f"""
+WITH {RECORDED}
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, test_id, metric, grp AS "group", count(*) AS n,
+       round(sum(value), 4) AS total, round(sum(value * value), 4) AS squares
+FROM metric_rows GROUP BY ALL""")
+def ab_metrics_stream_to_end(t: Tables) -> DataFrame:
+    """All windows of the log, the open ones as far as they have come."""
+    out = scratch_path(t.spark, "ab-stream")
+    stream = jobs.windowed_metrics(abtest.record_interactions(measured(_replay(t)), TESTS))
+    jobs.run_updates_to_files(stream, f"{out}/rows", f"{out}/state")
+    rows = jobs.latest_of_batches(t.spark, f"{out}/rows", "window_start", "test_id", "metric", "group")
+    return rounded(rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)
+
+
+@query("T2 W2", """
+SELECT user_id, ts AS event_timestamp, event_type, value AS last_value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC NULLS LAST) = 1""")
+def pushed_events_stream(t: Tables) -> DataFrame:
+    """The last event of every user, of any type, kept in a latest table."""
+    update = _replay(t).select("user_id", F.col("ts").alias("event_timestamp"), "event_type",
+                               F.col("value").alias("last_value"))
+    out = scratch_path(t.spark, "push")
+    jobs.upsert_latest(update, "user_id", f"{out}/latest", f"{out}/state")
+    latest = jobs.latest_upserted(t.spark, f"{out}/latest")
+    return latest.select("user_id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"),
+                         "event_type", "last_value")
+
+
+@query("T5", f"""
+WITH {SESSIONS}
+SELECT user_id, session_start, session_end, event_count, round(total_value, 6) AS total_value FROM sessions""")
+def sessions_stream_to_end(t: Tables) -> DataFrame:
+    """All sessions of the log, those open at its end too."""
+    out = scratch_path(t.spark, "sessions")
+    jobs.run_to_end(t.spark, t.path("event[s]"), jobs.session_stream, f"{out}/rows", f"{out}/state")
+    rows = t.spark.read.parquet(f"{out}/rows")
+    return rounded(rows.select(
+        "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+        F.col("session_end").cast("timestamp_ntz").alias("session_end"), "event_count", "total_value"))

@@ -91,12 +91,59 @@ def push_features(updates: DataFrame, key: str, out: str, checkpoint: str) -> St
     return run_to_files(distinct_updates(updates, key), out, checkpoint)
 
 
-def latest_of_batches(spark: SparkSession, out: str, key: str) -> DataFrame:
+def latest_of_batches(spark: SparkSession, out: str, *keys: str) -> DataFrame:
     """The last emitted row of each key from ``run_updates_to_files``."""
     rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in (key, "batch", "b")]
-    return rows.groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("_r")).select(
-        key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    rest = [c for c in rows.columns if c not in (*keys, "batch", "b")]
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_r")).select(
+        *keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def run_to_end(spark: SparkSession, path: str, make, out: str, checkpoint: str, beyond: str = "1 day") -> None:
+    """Replay a log that has ended through ``make``, and append what is still open at its end, too.
+
+    After the log, a copy of its last event follows ``beyond`` later, which has to be more than the
+    lateness and the width or gap together: it moves the watermark past everything that is open. Its
+    own window or session stays open and is never given out.
+    """
+    log = spark.read.schema(schemas.EVENTS).parquet(path)
+    log.limit(0).write.parquet(f"{checkpoint}-end")
+
+    def run() -> None:
+        events = event_stream(spark, path).unionByName(event_stream(spark, f"{checkpoint}-end"))
+        run_to_files(make(events), out, checkpoint)
+    run()
+    last = log.where("ts IS NOT NULL").orderBy(F.desc("ts")).limit(1)
+    last.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {beyond}")).write.mode("append").parquet(f"{checkpoint}-end")
+    run()
+
+
+def upsert_latest(updates: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Refresh the latest table with every batch of feature updates: per key the newest row, of equally
+    new ones the highest.
+
+    Two versions take turns, so a batch that is tried again finds the one before it as it was. Updates that
+    come twice or late change nothing that is newer, so no watermark leaves any out.
+    """
+    rest = [c for c in updates.columns if c not in (key, "event_timestamp")]
+
+    def save(rows: DataFrame, batch: int) -> None:
+        if batch:
+            before = rows.sparkSession.read.parquet(f"{out}/v={(batch - 1) % 2}").drop("batch")
+            rows = rows.unionByName(before)
+        rows.groupBy(key).agg(F.max(F.struct("event_timestamp", *rest)).alias("_r")).select(
+            key, "_r.*", F.lit(batch).alias("batch")).write.mode("overwrite").parquet(f"{out}/v={batch % 2}")
+
+    query = (updates.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
+def latest_upserted(spark: SparkSession, out: str) -> DataFrame:
+    """The table that ``upsert_latest`` keeps."""
+    rows = spark.read.parquet(out)
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch", "v")
 
 
 def latest_pushed(spark: SparkSession, out: str, key: str) -> DataFrame:

@@ -140,6 +140,27 @@ def test_pushed_twice_counts_once(spark, tmp_path):
     assert jobs.latest_pushed(spark, f"{tmp_path}/out", "user_id").first()["value"] == 4.0
 
 
+def test_every_type_and_late_updates_reach_the_latest_table(spark, tmp_path):
+    path = batches(
+        spark, tmp_path / "in",
+        [(minutes(0), 1, "view", 1.0), (minutes(9), 1, "click", 2.0), (T0 + timedelta(days=3), 2, "view", 3.0)],
+        [(minutes(5), 3, "purchase", 4.0), (minutes(4), 1, "view", 5.0)],
+        [(minutes(5), 3, "purchase", 4.0), (minutes(10), 1, "view", 6.0)])
+    stream = jobs.event_stream(spark, path, files_per_trigger=1).select(
+        "user_id", F.col("ts").alias("event_timestamp"), "value")
+    jobs.upsert_latest(stream, "user_id", f"{tmp_path}/out", f"{tmp_path}/state")
+    rows = jobs.latest_upserted(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["user_id"], r["value"]) for r in rows) == [(1, 6.0), (2, 3.0), (3, 4.0)]
+
+
+def test_replay_to_the_end_gives_open_sessions(spark, tmp_path):
+    path = batches(spark, tmp_path / "in", [(minutes(0), 1, "view", 1.0), (minutes(300), 1, "view", 1.0),
+                                            (minutes(310), 1, "view", 1.0)])
+    jobs.run_to_end(spark, path, jobs.session_stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["event_count"] for r in rows) == [1, 2]
+
+
 def test_scratch_follows_the_named_folder(spark):
     from basketry.session import scratch_path
 

@@ -239,6 +239,12 @@ def best_paths(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 def label(model: dict, texts: list[str | None], penalty: float = PENALTY) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text; a span is (begin, end, lang) in characters."""
+    return [m[:3] for m in label_and_share(model, texts, penalty)]
+
+
+def label_and_share(model: dict, texts: list[str | None],
+                    penalty: float = PENALTY) -> list[tuple[str, float, list[dict], float]]:
+    """The same with the share of letters in any of the languages, the score being that of the main one."""
     kind, _ = tables()
     found = []
     scored = [word_scores(model, t or "") for t in texts] if model["names"] else [None] * len(texts)
@@ -253,7 +259,7 @@ def label(model: dict, texts: list[str | None], penalty: float = PENALTY) -> lis
             paths |= dict(zip(mixed, best_paths([scored[i][0] for i in mixed], penalty)))
     for i, text in enumerate(texts):
         if i not in paths or not (kind[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")] == 2).any():
-            found.append((UNKNOWN, 0.0, []))
+            found.append((UNKNOWN, 0.0, [], 0.0))
             continue
         _, some, begin, end = scored[i]
         path, size = paths[i], end - begin
@@ -263,19 +269,22 @@ def label(model: dict, texts: list[str | None], penalty: float = PENALTY) -> lis
         spans = [{"begin": int(begin[a]), "end": int(end[b]), "lang": model["names"][path[a]]}
                  for a, b in zip(edge, stop)] if some.any() else []
         best = int(letters.argmax()) if some.any() else model["common"]
-        found.append((model["names"][best], float(letters[best] / size.sum()), spans))
+        found.append((model["names"][best], float(letters[best] / size.sum()), spans, float(letters.sum() / size.sum())))
     return found
 
 
-def identify(documents: DataFrame, model: dict, text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """Documents with ``lang_pred``, ``score`` and ``spans`` (begin, end, lang), in characters."""
+def identify(documents: DataFrame, model: dict, text: str = "text", penalty: float = PENALTY,
+             share: bool = False) -> DataFrame:
+    """Documents with ``lang_pred``, ``score`` and ``spans`` (begin, end, lang), in characters; if asked for,
+    with ``share``, of letters in any of the languages."""
     spark = documents.sparkSession
     small_batches(spark, 1024)
     shared = spark.sparkContext.broadcast(model)
-    names = [free_name(documents, c) for c in ("lang_pred", "score", "spans")]
+    names = [free_name(documents, c) for c in ("lang_pred", "score", "spans", "share")]
     schema = documents.select(
         "*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]),
-        F.array().cast("array<struct<begin:int,end:int,lang:string>>").alias(names[2])).schema
+        F.array().cast("array<struct<begin:int,end:int,lang:string>>").alias(names[2]),
+        *[F.lit(0.0).alias(names[3])] * share).schema
     place = documents.columns.index(text)
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -283,8 +292,9 @@ def identify(documents: DataFrame, model: dict, text: str = "text", penalty: flo
         for batch in batches:
             texts, made = batch.column(place).to_pylist(), []
             for a, b in blocks((len(t or "") for t in texts), LABELLED):
-                made += label(shared.value, texts[a:b], penalty)
+                made += label_and_share(shared.value, texts[a:b], penalty)
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()),
-                pa.array([m[2] for m in made], span)], names=schema.names)
+                pa.array([m[2] for m in made], span),
+                *[pa.array([m[3] for m in made], pa.float64())] * share], names=schema.names)
     return documents.mapInArrow(run, schema)

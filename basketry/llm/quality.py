@@ -39,6 +39,7 @@ PLACES = 1 << 17  # for words, and as many for pairs
 SAMPLE = 50_000  # labels used, about
 SMOOTHING = 2.0  # counts added to each place of both models, at the target's size
 PASSAGE = 32  # words
+LOWEST = -500.0  # weights from here down count as one in fitting the threshold
 LOSS = 30.0  # a lost good document weighs as much as so many kept bad ones
 SEED = 61
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+")
@@ -145,11 +146,14 @@ def weigh(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
 
 
 def threshold(weighed: DataFrame, weight: str = "log_weight", good: str = "labelled", loss: float = LOSS) -> float:
-    """The weight that parts good from bad labelled rows at the least cost, 0 at most."""
-    step = F.floor(F.least(F.greatest(F.col(weight), F.lit(-500.0)), F.lit(0.0)) * 4)
+    """The weight that parts good from bad labelled rows at the least cost, 0 at most.
+
+    Minus infinity if no row is bad, or if the cut is below all weights told apart.
+    """
+    step = F.floor(F.least(F.greatest(F.col(weight), F.lit(LOWEST)), F.lit(0.0)) * 4)
     counts = weighed.filter(F.col(good).isNotNull()).groupBy(step.alias("step")).agg(
         F.count(F.when(F.col(good), 1)).alias("good"), F.count(F.when(~F.col(good), 1)).alias("bad")).collect()
-    if not counts:
+    if not any(r["bad"] for r in counts):
         return float("-inf")
     counts = sorted((r["step"], r["good"], r["bad"]) for r in counts)
     goods, bads = max(1, sum(c[1] for c in counts)), max(1, sum(c[2] for c in counts))
@@ -157,7 +161,7 @@ def threshold(weighed: DataFrame, weight: str = "log_weight", good: str = "label
     for step, n_good, n_bad in counts:
         best = min(best, (loss * lost / goods + kept / bads, step / 4))
         lost, kept = lost + n_good, kept - n_bad
-    return best[1]
+    return best[1] if best[1] > LOWEST else float("-inf")
 
 
 def kth_highest(rows: DataFrame, value: Column, k: int, gathered: int = 10_000) -> float:

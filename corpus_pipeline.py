@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketry.llm import decontam, langid, packing, quality, simhash
 from basketry.llm.common import read_table, tokenizer_path, written
 
-LEAST_SHARE = 0.5  # of a document's letters in its main language
+LEAST_SHARE = 0.5  # of a document's letters in languages that are known
 END = 1  # id after every document
 
 
@@ -21,13 +21,13 @@ def _only(found: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents mainly in one of the languages that ``lang`` names. If it names none, those with letters."""
+    """Documents mainly in languages that ``lang`` names, one or several. If it names none, those with letters."""
     model = langid.train(docs.select("lang", "text"))
     if not model["names"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model)
-    label, score, _ = found.columns[-3:]
-    return _only(found.filter((F.col(label) != langid.UNKNOWN) & (F.col(score) >= LEAST_SHARE)), docs)
+    found = langid.identify(docs, model, share=True)
+    label, _, _, share = found.columns[-4:]
+    return _only(found.filter((F.col(label) != langid.UNKNOWN) & (F.col(share) >= LEAST_SHARE)), docs)
 
 
 def importance(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

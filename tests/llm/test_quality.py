@@ -83,3 +83,15 @@ def test_without_labels_or_documents(spark, corpus):
     got = quality.select(quality.weigh(docs, labels.limit(0)).cache()).collect()
     assert all(r.selected and r.log_weight == 0 for r in got)
     assert quality.weigh(docs.limit(0), labels).count() == 0
+
+
+def test_threshold_keeps_very_low_good_rows(spark):
+    """Weights at or below the lowest step, and labels without a bad row, set no cut."""
+    def weighed(*rows):
+        return spark.createDataFrame(rows, "doc_id long, log_weight double, labelled boolean")
+    low = weighed((1, -900.0, True), (2, -600.0, True), (3, -2.0, True), (4, -1.0, False), (5, -800.0, None))
+    assert quality.threshold(low) == float("-inf")
+    assert all(r.selected for r in quality.select(low).collect())
+    good = weighed((1, -3.0, True), (2, -9.0, None))
+    assert quality.threshold(good) == float("-inf")
+    assert all(r.selected for r in quality.select(good).collect())

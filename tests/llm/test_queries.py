@@ -48,3 +48,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             left = queries.written(stage(spark, left, str(tmp_path)), "stage")
         ids = [r.doc_id for r in left.collect()]
         assert (sorted(set(ids), key=str) == [1, 2, 6, None] or set(ids) <= {1, 2, 6, None}) if some is docs else ids == []
+
+
+def test_language_stage_keeps_texts_in_several_known_languages(spark):
+    words = {"aa": ["kalimo", "tarevo", "sidumo", "penalo"], "bb": ["thwick", "scrunth", "blorgh", "grimps"],
+             "cc": ["yqzaux", "queaux", "zuiyou", "xeauqu"]}
+    rows = [(i * 10 + j, " ".join(w * 10), lang, "s") for i, (lang, w) in enumerate(words.items()) for j in range(8)]
+    # each of the three has under half of the letters
+    mixed = " ".join([*words["aa"] * 18, *words["bb"] * 12, *words["cc"] * 12])
+    rows += [(100, mixed, None, "s"), (101, "\u4f60\u597d\u4e16\u754c " * 20, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = queries.langid.identify(docs, queries.langid.train(docs.select("lang", "text"))).filter("doc_id = 100").first()
+    assert found.score < 0.5 and {x.lang for x in found.spans} == set(words)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, FOLDER).collect()}
+    assert 100 in kept and 101 not in kept

@@ -10,7 +10,8 @@ enough, a new one begins.
 
 Pieces are dealt into groups of about ``group`` pieces by a hash, each packed by one
 task. A group's few unfilled sequences are the price of packing in parallel: under one in
-a thousand pieces. Only ids and lengths are dealt; tokens stay where they are.
+a thousand pieces. Only row numbers and lengths are dealt; ``pack_documents`` then brings the ids of each
+sequence together and writes the sequences.
 
 Edge cases: a null text is empty and has the end id only. Rows of equal id are
 packed row by row. Pieces beyond a capacity on their own (more tokens or cost than a sequence
@@ -124,9 +125,26 @@ def pack(rows: DataFrame, length: str = "length", tokens: int = LENGTH, document
     return dealt.repartition("\tgroup").sortWithinPartitions("\tgroup", *names).mapInArrow(run, schema)
 
 
-def pack_documents(documents: DataFrame, path: str, end: int, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of all pieces."""
-    cut = pieces(documents, path, end, length)
-    light = written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+def pack_documents(documents: DataFrame, path: str, end: int, length: int = LENGTH, most: int | None = None,
+                   cost: int | None = None) -> DataFrame:
+    """The written sequences of all pieces: sequence_id, ids (binary, 4 bytes an id) and placed, an array of
+    (offset, doc_id, piece, start, length) in the order of offsets. ``most`` documents and ``cost`` as in ``pack``."""
+    cut = written(pieces(documents, path, end, length).withColumn("\trow", F.monotonically_increasing_id()), "pieces")
     small_batches(documents.sparkSession, 10_000)
-    return pack(light, tokens=length)
+    placed = written(pack(cut.select("doc_id", "piece", "start", "length", "\trow"), tokens=length, documents=most,
+                          cost=cost).select("\trow", "sequence_id", "offset"), "placed")
+    # the ids are joined by row: equal documents are places of their own
+    entry = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))
+    made = cut.join(placed, "\trow").groupBy("sequence_id").agg(entry.alias("e"))
+    return written(made.select(
+        "sequence_id", F.aggregate("e", F.lit(b""), lambda all_ids, e: F.concat(all_ids, e["ids"])).alias("ids"),
+        F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in (
+            "offset", "doc_id", "piece", "start", "length")])).alias("placed")), "sequences")
+
+
+def placements(sequences: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of all pieces, as the sequences hold them."""
+    rows = sequences.select("sequence_id", "ids", F.explode("placed").alias("p"))
+    own = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    return rows.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(own).alias("ids_crc32"),
+                       "sequence_id", "p.offset")

@@ -14,6 +14,8 @@ from basketry.llm.common import read_table, tokenizer_path, written
 
 LEAST_SHARE = 0.5  # of a document's letters in languages that are known
 END = 1  # id after every document
+MOST = 64  # documents of a sequence
+COST = packing.LENGTH ** 2 // 2  # attention cost of a sequence; a longer piece has one of its own
 
 
 def _only(found: DataFrame, documents: DataFrame) -> DataFrame:
@@ -52,8 +54,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and its place there."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), END)
+    """The pieces of all documents, each with its place in the written sequences."""
+    return packing.placements(packing.pack_documents(
+        docs, tokenizer_path("word_bpe_49k.json"), END, most=MOST, cost=COST))
 
 
 STAGES = [

@@ -85,3 +85,24 @@ def test_shards_are_written_with_their_texts(spark, tmp_path, monkeypatch):
     told = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got)
     assert told == Counter((r.doc_id, len(r.text or "") + 16, zlib.crc32((r.text or "").encode()), r.shard, r.slot)
                            for r in kept)
+
+
+def test_sequences_are_written_with_their_ids(spark):
+    """Every document's ids stand in the sequences, equal rows and nulls too, and the limits bind."""
+    rows = [(i % 50 or None, f"word {i % 5} and more " * (1 + i % 40)) for i in range(200)] + [(7, None)] * 3
+    rows += [(8, "the same long text " * 3000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    made = packing.pack_documents(docs, path, 1, most=5, cost=4096 ** 2 // 2)
+    kept = made.collect()
+    for s in kept:
+        sizes = [p.length for p in s.placed]
+        assert [p.offset for p in s.placed] == [sum(sizes[:i]) for i in range(len(sizes))]
+        assert len(s.ids) == 4 * sum(sizes) <= 4 * 4096 and len(sizes) <= 5
+        assert len(sizes) == 1 or sum(n * n for n in sizes) <= 4096 ** 2 // 2
+    found = Counter((p.doc_id, p.piece, p.start, bytes(s.ids[4 * p.offset:4 * (p.offset + p.length)]))
+                    for s in kept for p in s.placed)
+    cut = Counter((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in packing.pieces(docs, path, 1).collect())
+    assert found == cut
+    told = Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in packing.placements(made).collect())
+    assert told == Counter({(d, p, s, zlib.crc32(i)): n for (d, p, s, i), n in cut.items()})

@@ -17,7 +17,8 @@ Bounds are widened by far more than rounding, so the result is exact.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor
 do those whose squared length reaches 2^62 (their products need not fit a long). Vectors meet
-only vectors of as many components. Fully equal rows count once; rows with a query's id count as
+only vectors of as many components. Fully equal rows count once in ``search``, and ``every_row`` then ranks each
+of them, as SQL does; rows with a query's id count as
 its own and are no candidates for it; equal vectors of other ids are all ranked, ties by smaller id. Null ids take no part.
 Queries without candidates give no rows, and so do empty tables. Other columns are not read.
 """
@@ -222,3 +223,34 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     found = _met(candidates, _visits(_query_blocks(bounded), classes, probe=False), classes, k, pruned=True)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "id", "score")
+
+
+def every_row(found: DataFrame, queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+    """What ``search`` found, with repeated rows as rows of their own: a pair of which the query has m rows and
+    the candidate n is ranked m x n times.
+
+    Any row among the k highest then belongs to a pair that is found, so only the found pairs with
+    an id of several rows are scored again.
+    """
+    again = [rows.groupBy("id").count().filter("count > 1").select("id") for rows in (queries, candidates)]
+    again = written(again[0].unionAll(again[1]).distinct(), "repeated")
+    if again.isEmpty():
+        return found
+    found = written(found, "found")
+    pairs = found.select("query_id", "id").distinct()
+    touched = pairs.join(again, "id", "left_semi").unionAll(pairs.join(
+        again.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select("query_id", "id")).distinct()
+
+    def counted(rows: DataFrame, *names: str) -> DataFrame:
+        return rows.groupBy("id", "vec").agg(F.count("*")).toDF(*names)
+    product = F.aggregate(F.zip_with("q", "c", lambda a, b: a.cast("long") * b.cast("long")),
+                          F.lit(0).cast("long"), lambda s, x: s + x)
+    copies = F.least(F.col("m") * F.col("n"), F.lit(k)).cast("int")
+    scored = (touched.join(counted(queries, "query_id", "q", "m"), "query_id")
+              .join(counted(candidates, "id", "c", "n"), "id").where("size(q) = size(c)")
+              .select("query_id", "id", product.alias("score"), F.explode(F.array_repeat(F.lit(0), copies)).alias("_"))
+              .drop("_"))
+    rest = found.join(touched, ["query_id", "id"], "left_anti").select("query_id", "id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rest.unionByName(scored).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "id", "score")

@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 import pytest
 
-from basketry.llm import mips
+from basketry.llm import mips, queries
 
 
 def brute(vectors, k, every):
@@ -46,3 +47,15 @@ def test_empty(spark):
     assert mips.search(scaled, scaled).collect() == []
     one = mips.scaled(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"))
     assert mips.search(one, one).collect() == []
+
+
+def test_repeated_rows_are_ranked_as_the_sql_does(spark, tmp_path):
+    """Queries and candidates in several rows, equal ones and others of the same id."""
+    rand = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rand.normal(size=4)]) for i in range(400)]
+    rows += [rows[100]] * 2 + [r for r in rows if r[1][0] > 1] * 2 + [(7, [3.0, 3.0, 3.0, 3.0])] * 3 + [(200, [1.0, -2.0, 0.5, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    told = [tuple(r) for r in queries.op5_top_k(spark, str(tmp_path)).collect()]
+    assert sorted(told) == sorted(engine.execute(queries.SQL["op5_top_k"]).fetchall())

@@ -9,7 +9,7 @@ from basketry.operators import abtest, catalog, kpi
 from basketry.operators.abtest import TestConfig
 from basketry.plans.feature_queries import USER_SNAPSHOTS, user_snapshots
 from basketry.plans.registry import INTERACTIONS, ITEM_STATS, moment, query, rounded
-from basketry.plans.user_queries import MERGED, merged_lists
+from basketry.plans.user_queries import BASELINE, MERGED, SPLIT, baseline, merged_lists
 from basketry.operators import features as feature_ops
 from basketry.operators.evaluation import popularity_ranking
 from basketry.session import cut_lineage, scratch_path
@@ -484,6 +484,52 @@ def warmed_item_features(t: Tables) -> DataFrame:
         "item_id", "avg_rating", "review_count", "ttl_seconds"))
 
 
+@query("R4 R2", f"""
+WITH {INTERACTIONS}
+SELECT user_id, round(avg(rating), 6) AS avg_rating, count(*) AS rating_count, 1800 AS ttl_seconds
+FROM interactions GROUP BY 1 ORDER BY rating_count DESC, user_id LIMIT 100""")
+def warmed_user_features(t: Tables) -> DataFrame:
+    """Features of the most active users, beside those of other users that have expired."""
+    stats = t.interactions(catalog=False).groupBy("user_id").agg(
+        F.avg("rating").alias("avg_rating"), F.count("*").alias("rating_count"))
+    active = stats.orderBy(F.desc("rating_count"), "user_id").limit(100)
+    store = results.ResultStore(t.spark, scratch_path(t.spark, "warm"))
+    cold = stats.join(active, "user_id", "left_anti")
+    rows = results.stamped(results.warm(stats, active, "user_id"), "features", moment("2001-09-01 00:00:00")).unionByName(
+        results.stamped(cold, "features", moment("2001-08-31 23:50:00"))).withColumn("kind", F.lit("user"))
+    store.write("features", rows, "kind")
+    return rounded(store.read("features", moment("2001-09-01 00:20:00")).select(
+        "user_id", "avg_rating", "rating_count", "ttl_seconds"))
+
+
+@query("R2 T4", f"""
+WITH {INTERACTIONS}, {SPLIT}, {BASELINE}
+SELECT user_id, item_id, round(prediction, 6) AS prediction, 7200 AS ttl_seconds FROM predicted
+WHERE user_id % 2 = 0""")
+def stored_predictions(t: Tables) -> DataFrame:
+    """Batch predictions read back an hour later; those of odd users are three hours old by then."""
+    stored = F.when(F.col("user_id") % 2 == 0, moment("2001-09-01 00:00:00")).otherwise(moment("2001-08-31 22:00:00"))
+    rows = results.stamped(baseline(t).select("user_id", "item_id", "prediction"), "predictions", stored)
+    store = results.ResultStore(t.spark, scratch_path(t.spark, "predictions"))
+    store.write("predictions", rows.withColumn("model", F.lit("bias")), "model")
+    return rounded(store.read("predictions", moment("2001-09-01 01:00:00")).select(
+        "user_id", "item_id", "prediction", "ttl_seconds"))
+
+
+@query("R2 T4", f"""
+WITH {RECORDED}
+SELECT test_id, metric, grp AS "group", n, round(total, 4) AS total, 86400 AS ttl_seconds FROM grouped
+WHERE metric <> 'ctr'""")
+def stored_ab_results(t: Tables) -> DataFrame:
+    """A/B results read back twelve hours later; those of one metric are older than a day by then."""
+    stored = F.when(F.col("metric") != "ctr", moment("2001-09-01 00:00:00")).otherwise(moment("2001-08-31 00:00:00"))
+    rows = results.stamped(abtest.metric_stats(recorded(t)), "ab_test", stored)
+    store = results.ResultStore(t.spark, scratch_path(t.spark, "ab"))
+    store.write("ab_test", rows, "test_id")
+    return rounded(store.read("ab_test", moment("2001-09-01 12:00:00")).select(
+        "test_id", "metric", "group", "n", "total", "ttl_seconds"), total=4)
+
+
 @query("S8 W2", f"""
 WITH {INTERACTIONS}, {USER_SNAPSHOTS}
 SELECT user_id, event_timestamp, round(avg_rating, 6) AS avg_rating, rating_count FROM snapshots

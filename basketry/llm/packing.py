@@ -8,21 +8,26 @@ as a share of its capacity and weighted: the smallest norm of the residual, or t
 largest product of the piece's demand with the residual. If none is open
 enough, a new one begins.
 
-Pieces are dealt into groups of about ``group`` pieces by a hash, each packed by one
-task. A group's few unfilled sequences are the price of packing in parallel: under one in
-a thousand pieces. Only row numbers and lengths are dealt; ``pack_documents`` then brings the ids of each
-sequence together and writes the sequences.
+Pieces are dealt with their ids, 2 bytes each if the vocabulary allows, into groups of about
+``group`` pieces or ``GROUP_BYTES`` of text. One task packs a group and gives out its finished sequences, so
+there is one shuffle, and nothing is joined. A group's few unfilled sequences are the price of packing in
+parallel: under one in a thousand pieces.
+
+The deal goes by place in the input, so that copies of one document spread over all groups. ``documents``
+should therefore be a table (files), whose rows come in the same order if a lost executor's work is repeated.
 
 Edge cases: a null text is empty and has the end id only. Rows of equal id are
 packed row by row. Pieces beyond a capacity on their own (more tokens or cost than a sequence
 has) get a sequence of their own and break no other's limit. Empty input gives an
-empty result. Clashing column names: results are named as given, other columns
-are kept only if asked for.
+empty result. Clashing column names: only ``id`` and ``text`` are read by ``pieces`` and ``pack_documents``,
+and results are named as given.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +35,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import tokens
-from basketry.llm.common import small_batches, written
+from basketry.llm.common import text_or_empty, written
 
 LENGTH = 4096
 GROUP = 20_000
+GROUP_BYTES = 1 << 26
 
 
 def pieces(documents: DataFrame, path: str, end: int, length: int = LENGTH, id: str = "doc_id",
            text: str = "text") -> DataFrame:
-    """``id``, piece (from 0), start (its document's ids before it), length and ids
-    (binary, 4 bytes an id). Only documents of more than ``length`` ids are cut."""
-    encoded = tokens.token_ids(documents.select(id, text), path, end, text)
-    n = (F.octet_length("ids") / 4).cast("long")
-    starts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(length).cast("long"))
-    cut = encoded.select(id, "ids", F.posexplode(starts).alias("piece", "start"))
-    return cut.select(
-        id, F.col("piece"), "start", F.least(F.lit(length).cast("long"), n - F.col("start")).alias("length"),
-        F.substring("ids", (F.col("start") * 4 + 1).cast("int"), F.lit(4 * length)).alias("ids"))
+    """doc_id, piece (from 0), start (its document's ids before it), length, place (running, in the input's
+    partition) and ids (binary, of the width that ``tokens.bytes_of_id`` names). Only documents of more than
+    ``length`` ids are cut."""
+    kind = f"<u{tokens.bytes_of_id(path)}"
+    kept = documents.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        encode, place = tokens.encoder(path).encode, TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            owner, number, starts, lengths, ids = [], [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                mine = np.append(np.frombuffer(encode(text.as_py()), "<u4"), end).astype(kind).tobytes()
+                n = len(mine) // int(kind[2:])
+                for k, start in enumerate(range(0, n, length)):
+                    owner.append(i)
+                    number.append(k)
+                    starts.append(start)
+                    lengths.append(min(length, n - start))
+                    ids.append(mine[start * int(kind[2:]):(start + length) * int(kind[2:])])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()),
+                pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
+                pa.array(range(place, place + len(ids)), pa.int64()), pa.array(ids, pa.binary())],
+                names=["doc_id", "piece", "start", "length", "place", "ids"])
+            place += len(ids)
+    own = documents.schema[id].dataType.simpleString()
+    return kept.mapInArrow(
+        run, f"doc_id {own}, piece int, start long, length long, place long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float],
@@ -100,51 +127,92 @@ def pack(rows: DataFrame, length: str = "length", tokens: int = LENGTH, document
     schema = rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
     dealt = rows.withColumn("\tgroup", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)))
 
+    def packed(number: int, table: pa.Table) -> pa.Table:
+        sequence, offset = best_fit(table.column(length).to_numpy(), capacity, weights, select)
+        return table.append_column("sequence_id", pa.array(sequence * groups + number)).append_column(
+            "offset", pa.array(offset))
+    return dealt.repartition("\tgroup").sortWithinPartitions("\tgroup", *names).mapInArrow(by_group(packed), schema)
+
+
+def by_group(made):
+    """For mapInArrow over rows sorted by their last column, a group's number: ``made(number, table)`` of each
+    group, where the table has the other columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of some groups, sorted by group."""
-        def packed(table: pa.Table) -> pa.Table:
-            number = table.column("\tgroup")[0].as_py()
-            sequence, offset = best_fit(table.column(length).to_numpy(), capacity, weights, select)
-            return table.drop_columns(["\tgroup"]).append_column(
-                "sequence_id", pa.array(sequence * groups + number)).append_column("offset", pa.array(offset))
-
-        waiting: list[pa.RecordBatch] = []
+        number, waiting = None, []
         for batch in batches:
-            begin = 0
             marks = batch.column(batch.num_columns - 1).to_numpy()
-            for cut in [*(np.flatnonzero(np.diff(marks)) + 1).tolist(), None]:
-                part = batch.slice(begin, None if cut is None else cut - begin)
-                if waiting and part.num_rows and waiting[0].column(part.num_columns - 1)[0].as_py() != marks[begin]:
-                    yield from packed(pa.Table.from_batches(waiting)).to_batches()
-                    waiting = []
-                if part.num_rows:
-                    waiting.append(part)
-                begin = cut
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if waiting and marks[a] != number:
+                        yield from done(number, waiting)
+                        waiting = []
+                    number = int(marks[a])
+                    waiting.append(batch.slice(a, b - a))
         if waiting:
-            yield from packed(pa.Table.from_batches(waiting)).to_batches()
-    return dealt.repartition("\tgroup").sortWithinPartitions("\tgroup", *names).mapInArrow(run, schema)
+            yield from done(number, waiting)
+
+    def done(number: int, waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(waiting)
+        yield from made(number, table.drop_columns([table.column_names[-1]])).to_batches()
+    return run
 
 
 def pack_documents(documents: DataFrame, path: str, end: int, length: int = LENGTH, most: int | None = None,
-                   cost: int | None = None) -> DataFrame:
-    """The written sequences of all pieces: sequence_id, ids (binary, 4 bytes an id) and placed, an array of
-    (offset, doc_id, piece, start, length) in the order of offsets. ``most`` documents and ``cost`` as in ``pack``."""
-    cut = written(pieces(documents, path, end, length).withColumn("\trow", F.monotonically_increasing_id()), "pieces")
-    small_batches(documents.sparkSession, 10_000)
-    placed = written(pack(cut.select("doc_id", "piece", "start", "length", "\trow"), tokens=length, documents=most,
-                          cost=cost).select("\trow", "sequence_id", "offset"), "placed")
-    # the ids are joined by row: equal documents are places of their own
-    entry = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))
-    made = cut.join(placed, "\trow").groupBy("sequence_id").agg(entry.alias("e"))
-    return written(made.select(
-        "sequence_id", F.aggregate("e", F.lit(b""), lambda all_ids, e: F.concat(all_ids, e["ids"])).alias("ids"),
-        F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in (
-            "offset", "doc_id", "piece", "start", "length")])).alias("placed")), "sequences")
+                   cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
+                   select: str = "norm", group: int = GROUP) -> DataFrame:
+    """The written sequences of all pieces: sequence_id, width (bytes of an id), ids (binary) and placed, an array
+    of (offset, doc_id, piece, start, length) in the order of offsets. ``most`` documents and ``cost`` as in ``pack``."""
+    rows, size = documents.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, math.ceil(max(rows / group, (size or 0) / GROUP_BYTES)))
+    capacity, width = (length, most or length, cost or length * length), tokens.bytes_of_id(path)
+    cut = pieces(documents, path, end, length)
+    dealt = cut.withColumn("\tgroup", F.pmod("place", F.lit(groups))).drop("place")
+    own = cut.schema["doc_id"].dataType.simpleString()
+
+    def sequences(number: int, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sequence, offset = best_fit(table.column("length").to_numpy(), capacity, weights, select)
+        order = np.lexsort((offset, sequence))
+        table = table.take(pa.array(order))
+        begins = np.flatnonzero(np.diff(sequence[order], prepend=-1))
+        ids, place = table.column("ids"), pa.array(offset[order])
+        ends = np.r_[begins[1:], len(order)]
+        joined = [b"".join(ids.slice(a, b - a).to_pylist()) for a, b in zip(begins.tolist(), ends.tolist())]
+        names = ["doc_id", "piece", "start", "length"]
+        entry = pa.StructArray.from_arrays(
+            [place, *(table.column(n).combine_chunks() for n in names)], ["offset", *names])
+        return pa.table({
+            "sequence_id": pa.array(sequence[order][begins] * groups + number),
+            "width": pa.array(np.full(len(begins), width, np.int32)), "ids": pa.array(joined, pa.binary()),
+            "placed": pa.ListArray.from_arrays(pa.array(np.r_[begins, len(order)].astype(np.int32)), entry)})
+    schema = (f"sequence_id long, width int, ids binary, "
+              f"placed array<struct<offset:long,doc_id:{own},piece:int,start:long,length:long>>")
+    # the order inside a group is one of content, whatever order its rows arrive in
+    ordered = dealt.repartition("\tgroup").sortWithinPartitions("\tgroup", "doc_id", "piece", "ids")
+    return written(ordered.mapInArrow(by_group(sequences), schema), "sequences")
 
 
 def placements(sequences: DataFrame) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of all pieces, as the sequences hold them."""
-    rows = sequences.select("sequence_id", "ids", F.explode("placed").alias("p"))
-    own = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
-    return rows.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(own).alias("ids_crc32"),
-                       "sequence_id", "p.offset")
+    """doc_id, piece, start, length, ids_crc32 (of 4 bytes an id), sequence_id and offset of all pieces, as the
+    sequences hold them."""
+    own = sequences.schema["placed"].dataType.elementType["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            placed = batch.column(3)
+            entries = placed.flatten()
+            counts = np.diff(placed.offsets.to_numpy())
+            offset, length = (entries.field(n).to_numpy() for n in ("offset", "length"))
+            begins = np.r_[0, np.cumsum(counts)].tolist()
+            sums = np.empty(len(offset), np.int64)
+            for i, (width, ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                wide = np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4")
+                for j in range(begins[i], begins[i + 1]):
+                    sums[j] = crc32(wide[offset[j]:offset[j] + length[j]])
+            yield pa.RecordBatch.from_arrays([
+                *(entries.field(n) for n in ("doc_id", "piece", "start", "length")), pa.array(sums),
+                batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), entries.field("offset")],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+    return sequences.select("sequence_id", "width", "ids", "placed").mapInArrow(
+        run, f"doc_id {own}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

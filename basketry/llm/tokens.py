@@ -190,7 +190,7 @@ def _trained(sample: list[bytes]) -> bytes:
         return b""
 
 
-def _width(path: str) -> int:
+def bytes_of_id(path: str) -> int:
     """Bytes of a serialized id."""
     from tokenizers import Tokenizer
 
@@ -205,7 +205,7 @@ def write_ids(documents: DataFrame, path: str, end: int, folder: str, id: str =
     ``folder/blocks`` the blocks.
     """
     spark = documents.sparkSession
-    width = _width(path)
+    width = bytes_of_id(path)
     docs = documents.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
     share = min(1.0, SAMPLE / max(1, docs.count()))
     chosen = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) < F.lit(int(share * 2 ** 53))

@@ -98,11 +98,48 @@ def test_sequences_are_written_with_their_ids(spark):
     for s in kept:
         sizes = [p.length for p in s.placed]
         assert [p.offset for p in s.placed] == [sum(sizes[:i]) for i in range(len(sizes))]
-        assert len(s.ids) == 4 * sum(sizes) <= 4 * 4096 and len(sizes) <= 5
+        assert s.width == 2 and len(s.ids) == 2 * sum(sizes) <= 2 * 4096 and len(sizes) <= 5
         assert len(sizes) == 1 or sum(n * n for n in sizes) <= 4096 ** 2 // 2
-    found = Counter((p.doc_id, p.piece, p.start, bytes(s.ids[4 * p.offset:4 * (p.offset + p.length)]))
+    found = Counter((p.doc_id, p.piece, p.start, bytes(s.ids[2 * p.offset:2 * (p.offset + p.length)]))
                     for s in kept for p in s.placed)
     cut = Counter((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in packing.pieces(docs, path, 1).collect())
     assert found == cut
     told = Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in packing.placements(made).collect())
-    assert told == Counter({(d, p, s, zlib.crc32(i)): n for (d, p, s, i), n in cut.items()})
+    assert told == Counter({(d, p, s, zlib.crc32(np.frombuffer(i, "<u2").astype("<u4"))): n
+                            for (d, p, s, i), n in cut.items()})
+
+
+def test_documents_are_cut_as_the_tokenizer_says(spark):
+    """Against ids taken straight from the tokenizer, for ids of other types and names too; no rows give no rows."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    encode = packing.tokens.encoder(path).tokenizer.encode
+    rows = [("a", "one two three " * 3000, 1), ("b", None, 2), (None, "", 3), ("c", "short", 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, place int")
+    want = []
+    for key, text, _ in rows:
+        ids = [*encode(text or "", add_special_tokens=False).ids, 1]
+        want += [(key, k, start, len(ids[start:start + 4096]), zlib.crc32(np.array(ids[start:start + 4096], "<u4")))
+                 for k, start in enumerate(range(0, len(ids), 4096))]
+    got = packing.placements(packing.pack_documents(docs, path, 1)).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(want)
+    assert packing.placements(packing.pack_documents(docs.limit(0), path, 1)).collect() == []
+
+
+def test_best_fit_against_plain_lists():
+    """The same choices as a loop over lists of open sequences, by the smallest norm of what is left."""
+    rand = np.random.default_rng(5)
+    for capacity in ((50, 4, 900), (50, 50, 2500)):
+        lengths, weights = rand.integers(1, 51, 120), (1.0, 0.3, 0.2)
+        bins = []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            need = np.array([lengths[i], 1, lengths[i] ** 2])
+            fits = [b for b in bins if (b["room"] >= need).all()]
+            rest = [sum((w * x / c) ** 2 for w, x, c in zip(weights, b["room"] - need, capacity)) for b in fits]
+            chosen = fits[int(np.argmin(rest))] if fits else {"room": np.array(capacity), "has": []}
+            if not fits:
+                bins.append(chosen)
+            chosen["room"] = chosen["room"] - need
+            chosen["has"].append(int(lengths[i]))
+        sequence, _ = packing.best_fit(lengths, capacity, weights)
+        made = [sorted(lengths[sequence == s].tolist()) for s in range(sequence.max() + 1)]
+        assert sorted(made) == sorted(sorted(b["has"]) for b in bins)

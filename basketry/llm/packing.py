@@ -39,7 +39,8 @@ from basketry.llm.common import text_or_empty, written
 
 LENGTH = 4096
 GROUP = 20_000
-GROUP_BYTES = 1 << 26
+GROUP_BYTES = 1 << 25
+GIVEN = 256  # sequences given out at once
 
 
 def pieces(documents: DataFrame, path: str, end: int, length: int = LENGTH, id: str = "doc_id",
@@ -127,16 +128,16 @@ def pack(rows: DataFrame, length: str = "length", tokens: int = LENGTH, document
     schema = rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
     dealt = rows.withColumn("\tgroup", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)))
 
-    def packed(number: int, table: pa.Table) -> pa.Table:
+    def packed(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         sequence, offset = best_fit(table.column(length).to_numpy(), capacity, weights, select)
-        return table.append_column("sequence_id", pa.array(sequence * groups + number)).append_column(
-            "offset", pa.array(offset))
+        yield from table.append_column("sequence_id", pa.array(sequence * groups + number)).append_column(
+            "offset", pa.array(offset)).to_batches()
     return dealt.repartition("\tgroup").sortWithinPartitions("\tgroup", *names).mapInArrow(by_group(packed), schema)
 
 
 def by_group(made):
-    """For mapInArrow over rows sorted by their last column, a group's number: ``made(number, table)`` of each
-    group, where the table has the other columns."""
+    """For mapInArrow over rows sorted by their last column, a group's number: the batches that ``made(number, table)``
+    gives for each group, where the table has the other columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting = None, []
         for batch in batches:
@@ -154,7 +155,7 @@ def by_group(made):
 
     def done(number: int, waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(waiting)
-        yield from made(number, table.drop_columns([table.column_names[-1]])).to_batches()
+        yield from made(number, table.drop_columns([table.column_names[-1]]))
     return run
 
 
@@ -170,26 +171,26 @@ def pack_documents(documents: DataFrame, path: str, end: int, length: int = LENG
     dealt = cut.withColumn("\tgroup", F.pmod("place", F.lit(groups))).drop("place")
     own = cut.schema["doc_id"].dataType.simpleString()
 
-    def sequences(number: int, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    def sequences(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         sequence, offset = best_fit(table.column("length").to_numpy(), capacity, weights, select)
         order = np.lexsort((offset, sequence))
-        table = table.take(pa.array(order))
-        begins = np.flatnonzero(np.diff(sequence[order], prepend=-1))
-        ids, place = table.column("ids"), pa.array(offset[order])
-        ends = np.r_[begins[1:], len(order)]
-        joined = [b"".join(ids.slice(a, b - a).to_pylist()) for a, b in zip(begins.tolist(), ends.tolist())]
+        begins = np.r_[np.flatnonzero(np.diff(sequence[order], prepend=-1)), len(order)]
         names = ["doc_id", "piece", "start", "length"]
-        entry = pa.StructArray.from_arrays(
-            [place, *(table.column(n).combine_chunks() for n in names)], ["offset", *names])
-        return pa.table({
-            "sequence_id": pa.array(sequence[order][begins] * groups + number),
-            "width": pa.array(np.full(len(begins), width, np.int32)), "ids": pa.array(joined, pa.binary()),
-            "placed": pa.ListArray.from_arrays(pa.array(np.r_[begins, len(order)].astype(np.int32)), entry)})
+        for i in range(0, len(begins) - 1, GIVEN):
+            cuts = begins[i:i + GIVEN + 1]
+            some = order[cuts[0]:cuts[-1]]
+            part, cuts = table.take(pa.array(some)).combine_chunks(), cuts - cuts[0]
+            ids = part.column("ids").to_pylist()
+            entry = pa.StructArray.from_arrays(
+                [pa.array(offset[some]), *(part.column(n).combine_chunks() for n in names)], ["offset", *names])
+            yield from pa.table({
+                "sequence_id": pa.array(sequence[some][cuts[:-1]] * groups + number),
+                "width": pa.array(np.full(len(cuts) - 1, width, np.int32)),
+                "ids": pa.array([b"".join(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                "placed": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), entry)}).to_batches()
     schema = (f"sequence_id long, width int, ids binary, "
               f"placed array<struct<offset:long,doc_id:{own},piece:int,start:long,length:long>>")
-    # the order inside a group is one of content, whatever order its rows arrive in
-    ordered = dealt.repartition("\tgroup").sortWithinPartitions("\tgroup", "doc_id", "piece", "ids")
+    ordered = dealt.repartition("\tgroup").sortWithinPartitions("\tgroup")
     return written(ordered.mapInArrow(by_group(sequences), schema), "sequences")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, sharding, simhash, tokens
+from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, repair, sharding, simhash, tokens
 from basketry.llm.common import crc_of_id, free_name, read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,31 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lmscore.score(rows).select(
         F.col("id").alias("doc_id"), (F.col("role") == lmscore.SCORED).alias("held_out"), "n_tokens", "n_known",
         "train_tokens", "base_score", "score")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of conversation and turn; nulls are one space."""
+    space = F.lit(" ")
+    kind = F.crc32(F.concat(*[F.coalesce(x, space) for x in (
+        F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))])) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    return rows.filter(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("_")).drop("_")
+
+
+@query()
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged and then repaired."""
+    given = read_table(spark, folder, "conversations")
+    made = repair.repair(damaged(given))
+    told = made.audits.join(repair.digests(made.rows).toDF("conv", "repaired_sha256"),
+                            F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    every = given.select(F.col("conv_id").alias("conv")).distinct()
+    found = every.join(told, F.col("conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+        "gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(b""), 256)
+    return found.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))

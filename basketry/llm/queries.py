@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, repair, sharding, simhash, tokens
+from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, repair, sharding, simhash, tokens, vectorcodes
 from basketry.llm.common import crc_of_id, free_name, read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,40 @@ def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
     nothing = F.sha2(F.lit(b""), 256)
     return found.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def _codes_sql() -> str:
+    """K-means by rows of (vector, part, position), with one table of entries a round."""
+    steps = ["""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, (i - 1) // (len(v) // 8) AS part, (i - 1) % (len(v) // 8) AS pos, v[i] AS x
+  FROM (SELECT r, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= 16)"""]
+    for i in range(7):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+    SELECT r, part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN c{i} USING (part, pos) GROUP BY r, part, entry)
+  GROUP BY r, part)""")
+        if i < 6:
+            steps.append(f"""
+s{i} AS (SELECT part, best.entry AS entry, pos, sum(x) AS s, count(*) AS n FROM x JOIN a{i} USING (r, part) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{i} LEFT JOIN s{i} USING (part, entry, pos))""")
+    return ",".join(steps) + """,
+coded AS (
+  SELECT r, string_agg(format('{:02x}', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c6) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors, their errors and the codebooks' digest."""
+    return vectorcodes.compress(read_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id").drop("label")

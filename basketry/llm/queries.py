@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, repair, sharding, simhash, tokens, vectorcodes
+from basketry.llm import chat, decontam, langid, lmscore, mips, packing, quality, repair, sharding, simhash, tokens, vecdedup, vectorcodes
 from basketry.llm.common import crc_of_id, free_name, read_table, tokenizer_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +244,28 @@ FROM kept JOIN coded USING (r)"""
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of all vectors, their errors and the codebooks' digest."""
     return vectorcodes.compress(read_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id").drop("label")
+
+
+@query("""
+WITH RECURSIVE kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sized AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM kept),
+linked AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM sized a JOIN sized b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reached AS (SELECT r AS a, r AS b FROM kept UNION SELECT x.a, l.b FROM reached x JOIN linked l ON x.b = l.a),
+found AS (SELECT x.a AS r, min(k.vec_id) AS component_id FROM reached x JOIN kept k ON k.r = x.b GROUP BY x.a),
+counted AS (SELECT a AS r, count(*) AS n_links FROM linked GROUP BY a),
+alone AS (
+  SELECT vec_id, 0 AS n_links, vec_id AS component_id FROM embeddings
+  WHERE label IS NULL OR embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+    OR len(list_filter(embedding, lambda x: x <> 0)) = 0),
+told AS (SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id FROM kept JOIN found USING (r) LEFT JOIN counted USING (r)
+         UNION ALL SELECT * FROM alone)
+SELECT *, vec_id IS NOT DISTINCT FROM component_id AS kept FROM told""")
+def op11_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors within their labels."""
+    return vecdedup.near_duplicates(read_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")

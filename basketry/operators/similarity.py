@@ -1,4 +1,4 @@
-"""Similar users and items: given pairs, nearest vectors, shared ratings."""
+"""Similar users and items: given pairs, and nearest vectors."""
 
 from __future__ import annotations
 
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import cosine, norm
-from basketry.operators.ids import id_map
-from basketry.operators.ranking import similar_top_k, top_n_per_group
+from basketry.operators.ranking import top_n_per_group
 from basketry.session import cut_lineage, spread
 
 # executors get these functions with the job and need not have the package
@@ -36,19 +35,26 @@ def similar_items(vectors: DataFrame, k: int = 10, targets: DataFrame | None = N
                   **blocking: int) -> DataFrame:
     """The ``k`` nearest items by cosine for each target (default: each item).
 
-    ``vectors`` and ``targets`` have id and vector. Vectors without length have
-    no direction and take no part.
+    ``vectors`` and ``targets`` have id and vector. Vectors without length have no direction, and those with a
+    component that is null or not finite none that is known: they take no part.
     """
-    def unit(df: DataFrame) -> DataFrame:
-        length = norm(F.col("vector"))
-        return df.where(length > 0).select(
-            "id", F.transform("vector", lambda x: x / length).alias("vector"))
-
-    candidates = unit(vectors)
-    found = nearest(unit(targets) if targets is not None else candidates, candidates, k, **blocking)
+    candidates = unit_vectors(vectors)
+    found = nearest(unit_vectors(targets) if targets is not None else candidates, candidates, k, **blocking)
     return found.withColumnRenamed("score", "similarity")
 
 
+def finite_vectors(df: DataFrame) -> DataFrame:
+    """Rows whose vector has only known, finite components."""
+    return df.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (
+        F.abs(x) < float("inf"))))
+
+
+def unit_vectors(df: DataFrame) -> DataFrame:
+    """id and vector, scaled to length 1; rows whose vector has no direction go."""
+    length = norm(F.col("vector"))
+    return finite_vectors(df).where(length > 0).select("id", F.transform("vector", lambda x: x / length).alias("vector"))
+
+
 def best_candidates(
     users: DataFrame, candidates: DataFrame, k: int = 10, same_ids: bool = False, **blocking: int,
 ) -> DataFrame:
@@ -59,20 +65,11 @@ def best_candidates(
     with the highest dot product.
     """
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    sparse = "places" in candidates.columns
-    bounds = [F.max(squares).alias("longest")]
-    if sparse:
-        bounds.append(F.max(F.array_max("places")).alias("last"))
-    limit = candidates.agg(*bounds).first()
-    pad = F.array(F.sqrt(F.greatest(F.lit(limit["longest"] or 0.0) - squares, F.lit(0.0))))
-    if sparse:
-        place = F.array(F.lit((limit["last"] or 0) + 1))
-        padded = candidates.select(
-            "id", F.concat("places", place).alias("places"), F.concat("vector", pad).alias("vector"))
-        asked = users.select("id", "places", "vector")
-    else:
-        padded = candidates.select("id", F.concat("vector", pad).alias("vector"))
-        asked = users.select("id", F.concat("vector", F.array(F.lit(0.0))).alias("vector"))
+    users, candidates = finite_vectors(users), finite_vectors(candidates)
+    longest = candidates.agg(F.max(squares)).first()[0] or 0.0
+    pad = F.array(F.sqrt(F.greatest(F.lit(longest) - squares, F.lit(0.0))))
+    padded = candidates.select("id", F.concat("vector", pad).alias("vector"))
+    asked = users.select("id", F.concat("vector", F.array(F.lit(0.0))).alias("vector"))
     return nearest(asked, padded, k, same_ids=same_ids, **blocking)
 
 
@@ -92,41 +89,16 @@ class _Cells:
 
 
 class _Rows:
-    """The vectors of a batch: full rows, or values at given places."""
+    """The vectors of a batch."""
 
     def __init__(self, batch: pd.DataFrame):
-        self.count = len(batch)
-        self.full = None
-        if batch["places"].iloc[0] is None:
-            self.full = np.vstack(batch["vector"].to_numpy()).astype(float)
-            return
-        sizes = batch["places"].str.len().to_numpy()
-        self.row = np.repeat(np.arange(self.count), sizes)
-        self.place = np.concatenate(batch["places"].to_numpy()).astype(np.int64)
-        self.value = np.concatenate(batch["vector"].to_numpy()).astype(float)
-
-    def columns(self, wanted: np.ndarray) -> np.ndarray:
-        """Full rows over the wanted places only (sorted)."""
-        at = np.searchsorted(wanted, self.place)
-        known = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == self.place)
-        out = np.zeros((self.count, len(wanted)))
-        out[self.row[known], at[known]] = self.value[known]
-        return out
-
-    def dot(self, other: _Rows, step: int = 2048) -> np.ndarray:
-        if self.full is not None:
-            return self.full @ other.full.T
-        shared = np.intersect1d(self.place, other.place)
-        total = np.zeros((self.count, other.count))
-        for start in range(0, len(shared), step):
-            part = shared[start:start + step]
-            total += self.columns(part) @ other.columns(part).T
-        return total
+        self.full = np.vstack(batch["vector"].to_numpy()).astype(float)
+
+    def dot(self, other: _Rows) -> np.ndarray:
+        return self.full @ other.full.T
 
     def squares(self) -> np.ndarray:
-        if self.full is not None:
-            return (self.full ** 2).sum(1)
-        return np.bincount(self.row, self.value ** 2, self.count)
+        return (self.full ** 2).sum(1)
 
     def distances(self, other: _Rows) -> np.ndarray:
         squared = self.squares()[:, None] + other.squares()[None, :] - 2.0 * self.dot(other)
@@ -139,8 +111,7 @@ def nearest(
 ) -> DataFrame:
     """Exact top ``k`` candidates by dot product for every query.
 
-    Rows have id and vector, a full array of doubles, or, with the array column
-    ``places``, the values at those places only. All candidate vectors must
+    Rows have id and vector, an array of finite doubles. All candidate vectors must
     have the same length, so the highest dot product is the smallest distance.
     Returns source_id, neighbor_id, score, rank.
 
@@ -149,14 +120,14 @@ def nearest(
     cells around reference vectors. Distances to those vectors bound, for each
     query, how far its k-th neighbour can be and how near a cell can get; the
     query goes only to cells that can hold a neighbour. The number of cells grows
-    with the root of the number of vectors. Cells and the queries that visit them
+    with the root of the number of vectors, but a cell has a block's worth of them at least: a
+    query is sent once per cell it visits. Cells and the queries that visit them
     are cut into blocks of about ``block_rows``, each task compares one block of
     both and returns k rows per query.
     """
     want = k + 1 if same_ids else k
     all_pairs = queries is candidates
-    queries, candidates = _with_places(queries), _with_places(candidates)
-    same = ["places", "vector"]
+    same = ["vector"]
     kept = top_n_per_group(candidates, same, [F.asc("id")], want, "_n").select(
         *same, F.col("id").alias("neighbor_id"))
     distinct = cut_lineage(candidates.groupBy(*same).agg(F.min("id").alias("cid")))
@@ -166,7 +137,8 @@ def nearest(
             F.col("id").alias("source_id"), F.col("id").alias("neighbor_id"),
             F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
 
-    centers = _pick_centers(distinct, max(1, math.ceil(cells_per_root * math.sqrt(total))))
+    count = min(math.ceil(cells_per_root * math.sqrt(total)), total // block_rows)
+    centers = _pick_centers(distinct, max(1, count))
     placed = _place(distinct, centers)
     cells = _describe(placed, centers, want, block_rows)
 
@@ -189,22 +161,14 @@ def nearest(
         rows, ["source_id"], [F.desc("score"), F.asc("neighbor_id")], k).drop("qid")
 
 
-def _with_places(df: DataFrame) -> DataFrame:
-    places = F.col("places") if "places" in df.columns else F.lit(None).cast("array<int>")
-    return df.select("id", places.alias("places"), "vector")
-
-
 def _on_same_vector(left: DataFrame, right: DataFrame) -> DataFrame:
-    other = right.select(F.col("places").alias("_p"), F.col("vector").alias("_v"),
-                         *[c for c in right.columns if c not in ("places", "vector")])
-    return left.join(other, F.col("places").eqNullSafe(F.col("_p")) & (F.col("vector") == F.col("_v")))
+    return left.join(right, "vector")
 
 
 def _pick_centers(distinct: DataFrame, count: int) -> pd.DataFrame:
     """Seeded vectors, in proportion to the root of their number, to build cells on."""
     rows = distinct.orderBy(F.md5(F.col("cid").cast("string")), "cid").limit(count).collect()
-    return pd.DataFrame({"places": [r["places"] for r in rows], "vector": [r["vector"] for r in rows]},
-                        dtype=object)
+    return pd.DataFrame({"vector": [r["vector"] for r in rows]}, dtype=object)
 
 
 def _place(distinct: DataFrame, centers: pd.DataFrame) -> DataFrame:
@@ -216,7 +180,7 @@ def _place(distinct: DataFrame, centers: pd.DataFrame) -> DataFrame:
                 cell = away.argmin(1)
                 yield batch.assign(cell=cell.astype("int32"), away=away[np.arange(len(batch)), cell])
 
-    columns = ["places", "vector", "cid"]
+    columns = ["vector", "cid"]
     schema = f"{_fields(distinct, columns)}, cell int, away double"
     return cut_lineage(distinct.select(*columns).mapInPandas(assign, schema))
 
@@ -266,7 +230,7 @@ def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
             row, cell = np.nonzero(visit)
             yield batch.iloc[row].assign(cell=cell.astype("int32"))
 
-    columns = ["places", "vector", "qid"]
+    columns = ["vector", "qid"]
     return asked.select(*columns).mapInPandas(choose, f"{_fields(asked, columns)}, cell int")
 
 
@@ -286,9 +250,9 @@ def _compare(visits: DataFrame, placed: DataFrame, want: int, cells: _Cells,
     asked_block = F.pmod(F.xxhash64("qid"), plan["asked"]).cast("int")
     # every block of a cell's candidates meets every block of its visitors
     left = visits.select("cell", asked_block.alias("qb"), F.explode(
-        F.sequence(F.lit(0), plan["held"] - 1)).alias("cb"), "qid", "places", "vector")
+        F.sequence(F.lit(0), plan["held"] - 1)).alias("cb"), "qid", "vector")
     right = spread(placed, "cid").where(plan["asked"] > 0).select("cell", held_block.alias("cb"), F.explode(
-        F.sequence(F.lit(0), plan["asked"] - 1)).alias("qb"), "cid", "places", "vector")
+        F.sequence(F.lit(0), plan["asked"] - 1)).alias("qb"), "cid", "vector")
 
     def best_in_block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if len(asked) == 0 or len(held) == 0:
@@ -326,93 +290,3 @@ def _best_per_row(scores: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray
 
 def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
-
-
-# --------------------------------------------------------------------------
-# shared ratings
-
-
-def rating_neighbors(
-    ratings: DataFrame, entity: str, feature: str, k: int = 10,
-    crowd: int = 1000, max_crowded: int = 65536, **blocking: int,
-) -> DataFrame:
-    """Exact top ``k`` neighbours by cosine over the user-item matrix.
-
-    ``ratings`` holds one value per (entity, feature) in column rating; entities
-    are users or items, features the other side. Only pairs that share a
-    feature have a similarity above 0, and only those are returned.
-
-    A feature that at most ``crowd`` entities share joins them directly: each
-    row meets at most ``crowd`` others. A feature with more entities would form
-    too many pairs; these features become the places of a sparse vector per
-    entity, and the nearest-vector search finds the best partners there. A pair
-    that shares a less crowded feature is found by the join, any other pair has
-    all its similarity in the sparse vectors, so the two results are complete.
-    (Should more than ``max_crowded`` features be crowded, the least crowded of
-    them are joined.)
-    """
-    rows = ratings.select(
-        F.col(entity).alias("e"), F.col(feature).alias("f"), F.col("rating").alias("r")
-    ).where(F.col("r") != 0)
-    length = rows.groupBy("e").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("_len"))
-    unit = cut_lineage(rows.join(length, "e").select("e", "f", (F.col("r") / F.col("_len")).alias("w")))
-    sizes = unit.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-    crowded = id_map(sizes.orderBy(F.desc("n"), "f").limit(max_crowded), "f", "place")
-    if crowded.isEmpty():
-        return similar_top_k(_both_ways(_shared_products(unit)), k)
-
-    # at most max_crowded rows of two numbers, so they may be broadcast
-    crowded = F.broadcast(crowded)
-    short = cut_lineage(unit.join(crowded, "f").groupBy(F.col("e").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("place", "w"))).alias("_s")).select(
-        "id", F.transform("_s", lambda s: s["place"]).alias("places"),
-        F.transform("_s", lambda s: s["w"]).alias("vector")))
-    shared = _shared_products(unit.join(crowded, "f", "left_anti"))
-    found = best_candidates(short, short, k, same_ids=True, **blocking).select(
-        "source_id", "neighbor_id", F.round("score", DIGITS).alias("similarity"))
-    pairs = _both_ways(_add_crowded_part(shared, short)).unionByName(found)
-    whole = pairs.groupBy("source_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
-    return similar_top_k(whole.where(F.col("similarity") > 0), k)
-
-
-def _shared_products(unit: DataFrame) -> DataFrame:
-    """Dot product of each pair (e < o) over the features they share."""
-    unit = spread(unit, "f")
-    other = unit.select(F.col("e").alias("o"), "f", F.col("w").alias("v"))
-    return (unit.join(other, "f").where(F.col("e") < F.col("o"))
-            .groupBy("e", "o").agg(F.sum(F.col("w") * F.col("v")).alias("score")))
-
-
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    """Each pair as seen from either side, without computing it twice."""
-    score = F.round("score", DIGITS).alias("similarity")
-
-    def seen(source: str, neighbor: str):
-        return F.struct(F.col(source).alias("source_id"), F.col(neighbor).alias("neighbor_id"), score)
-
-    return pairs.select(F.inline(F.array(seen("e", "o"), seen("o", "e"))))
-
-
-def _add_crowded_part(pairs: DataFrame, short: DataFrame) -> DataFrame:
-    """Add the dot product of the pair's sparse vectors to its score."""
-    def side(key: str, name: str) -> DataFrame:
-        return short.select(F.col("id").alias(key), F.col("places").alias(f"{name}p"),
-                            F.col("vector").alias(f"{name}v"))
-
-    joined = pairs.join(side("e", "a"), "e", "left").join(side("o", "b"), "o", "left")
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = batch["ap"].notna() & batch["bp"].notna()
-            some = batch[both]
-            if len(some):
-                a = _Rows(pd.DataFrame({"places": some["ap"], "vector": some["av"]}))
-                b = _Rows(pd.DataFrame({"places": some["bp"], "vector": some["bv"]}))
-                width = int(max(a.place.max(), b.place.max())) + 1
-                _, left, right = np.intersect1d(
-                    a.row * width + a.place, b.row * width + b.place, True, True)
-                extra = np.bincount(a.row[left], a.value[left] * b.value[right], len(some))
-                batch.loc[both, "score"] = some["score"].to_numpy() + extra
-            yield batch[["e", "o", "score"]]
-
-    return joined.mapInPandas(add, _fields(pairs, ["e", "o", "score"]))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import coldstart, evaluation, features, models, profiles, recommend
-from basketry.operators import similarity
+from basketry.operators import shared_ratings, similarity
 from basketry.operators.ranking import top_items_per_user, top_n_per_group
 from basketry.plans.catalog_queries import reviewed
 from basketry.plans.feature_queries import AS_OF, USER_FEATURES
@@ -239,13 +239,13 @@ FROM scored QUALIFY rank <= 10"""
 @query("M9", _neighbors_sql("user_id", "item_id"))
 def similar_users_by_ratings(t: Tables) -> DataFrame:
     ratings = features.user_item_ratings(t.interactions(catalog=False))
-    return rounded(similarity.rating_neighbors(ratings, "user_id", "item_id", 10), lift=HALF)
+    return rounded(shared_ratings.rating_neighbors(ratings, "user_id", "item_id", 10), lift=HALF)
 
 
 @query("M9", _neighbors_sql("item_id", "user_id"))
 def similar_items_by_ratings(t: Tables) -> DataFrame:
     ratings = features.user_item_ratings(t.interactions(catalog=False))
-    return rounded(similarity.rating_neighbors(ratings, "item_id", "user_id", 10), lift=HALF)
+    return rounded(shared_ratings.rating_neighbors(ratings, "item_id", "user_id", 10), lift=HALF)
 
 
 # --------------------------------------------------------------------------

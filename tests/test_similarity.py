@@ -45,6 +45,13 @@ def test_zero_vectors(spark):
     assert rows[1] == 0.0 and rows[9] == 0.0 and rows[2] == pytest.approx(2 ** -0.5)
 
 
+def test_vectors_that_are_not_finite_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, None), (6, [0.2, 1.0])]
+    vectors = spark.createDataFrame(rows, VECTORS)
+    assert lists(similarity.similar_items(vectors, 5)) == {0: [1, 6], 1: [0, 6], 6: [1, 0]}
+    assert lists(similarity.best_candidates(vectors, vectors, 1)) == {0: [0], 1: [1], 6: [6]}
+
+
 def test_best_candidates_by_dot_product(spark):
     rng = np.random.default_rng(2)
     users, items = rng.normal(size=(40, 5)), rng.normal(size=(70, 5)) * rng.uniform(0.1, 5, (70, 1))
@@ -57,24 +64,3 @@ def test_fewer_candidates_than_asked(spark):
     assert lists(found) == {0: [1], 1: [0]}
     empty = similarity.similar_items(frame(spark, [[0, 0]]), 10)
     assert empty.collect() == []
-
-
-@pytest.mark.parametrize("crowd", [1000, 6, 1])
-def test_rating_neighbors_with_crowded_items(spark, crowd):
-    rng = np.random.default_rng(4)
-    matrix = (rng.random((40, 15)) < 0.2) * rng.integers(1, 6, (40, 15))
-    matrix[:, 0] = np.where(rng.random(40) < 0.6, 5, 0)  # one item most users share
-    matrix[30:35] = matrix[30]
-    rows = [(int(u), int(i), float(matrix[u, i])) for u, i in zip(*np.nonzero(matrix))]
-    ratings = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
-    found = similarity.rating_neighbors(ratings, "user_id", "item_id", 5, crowd=crowd)
-    length = np.linalg.norm(matrix, axis=1)
-    seen = np.flatnonzero(length)
-    unit = matrix[seen] / length[seen][:, None]
-    scores = np.round(unit @ unit.T, 9)
-    expected = {}
-    for a, row in enumerate(scores):
-        order = [j for j in np.lexsort((seen, -row)) if j != a and row[j] > 0][:5]
-        if order:
-            expected[int(seen[a])] = [int(seen[j]) for j in order]
-    assert lists(found) == expected

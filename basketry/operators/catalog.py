@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scalars import image_or_icon, price_label, seeded_order, shorten, stars
 from basketry.operators.ranking import seeded_sample, top_n_per_group
+from basketry.session import cut_lineage
 
 DEFAULT_RATING = 4.0
 PAGE_SIZE = 20
@@ -105,20 +106,21 @@ def items_for_categories(
     """
     order = [F.desc(F.size("valid_image_urls") > 0),
              F.asc(seeded_order(seed, F.col("item_id"))), F.asc("item_id")]
-    shortlist = top_n_per_group(items, ["category"], order, n, "_r").drop("_r")
-    general = shortlist.orderBy(*order).limit(n).withColumn("category_key", F.lit(None).cast("string"))
-    lists = shortlist.withColumn("category_key", F.col("category")).unionByName(general)
+    # n items per category: small beside the catalog, and read three times
+    shortlist = cut_lineage(top_n_per_group(items, ["category"], order, n, "_r").drop("_r"), "shortlist")
+    # items without a category stand on the general list only
+    lists = shortlist.where("category IS NOT NULL").withColumn("_key", F.col("category")).withColumn("targeted", F.lit(True))
+    general = shortlist.orderBy(*order).limit(n).withColumn("_key", F.lit("")).withColumn("targeted", F.lit(False))
 
-    known = items.select(F.col("category").alias("_known")).distinct()
+    known = lists.select(F.col("category").alias("_known")).distinct()
     wanted = targets.select("user_id", F.explode_outer(F.array_distinct("categories")).alias("_wanted"))
     matched = (wanted.join(known, F.col("_wanted") == F.col("_known"), "left")
                .groupBy("user_id").agg(F.collect_set("_known").alias("_keys")))
-    keys = matched.select("user_id", F.explode(
-        F.when(F.size("_keys") > 0, F.col("_keys"))
-        .otherwise(F.array(F.lit(None).cast("string")))).alias("_key"))
-    drawn = keys.join(lists, F.col("_key").eqNullSafe(F.col("category_key")))
-    return top_n_per_group(drawn, ["user_id"], order, n).select(
-        "user_id", "item_id", "category", F.col("category_key").isNotNull().alias("targeted"), "rank")
+    chosen = F.transform("_keys", lambda c: F.struct(c.alias("_key"), F.lit(True).alias("targeted")))
+    whole = F.array(F.struct(F.lit("").alias("_key"), F.lit(False).alias("targeted")))
+    keys = matched.select("user_id", F.inline(F.when(F.size("_keys") > 0, chosen).otherwise(whole)))
+    drawn = keys.join(lists.unionByName(general), ["_key", "targeted"])
+    return top_n_per_group(drawn, ["user_id"], order, n).select("user_id", "item_id", "category", "targeted", "rank")
 
 
 def category_share(interactions: DataFrame) -> DataFrame:

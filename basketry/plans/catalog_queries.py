@@ -278,3 +278,20 @@ SELECT user_id, item_id, category, targeted, rank::INTEGER AS rank FROM ranked W
 def items_for_target_categories(t: Tables) -> DataFrame:
     return catalog.items_for_categories(
         targets(t).select("user_id", "categories"), t.items_with_images(), 10)
+
+
+@query("P5 W6 M16", f"""
+WITH {INTERACTIONS}, {TARGETS}, {IMAGES},
+gaps AS (SELECT * REPLACE (CASE WHEN item_id % 5 = 0 THEN NULL ELSE category END AS category) FROM pictured),
+ranked AS (
+  SELECT t.user_id, p.item_id, p.category, t.categories <> '' AS targeted,
+         row_number() OVER (PARTITION BY t.user_id
+           ORDER BY has_image DESC, md5('42:' || p.item_id), p.item_id) AS rank
+  FROM targets t JOIN gaps p
+    ON t.categories = '' OR list_contains(string_split(t.categories, ','), p.category))
+SELECT user_id, item_id, category, targeted, rank::INTEGER AS rank FROM ranked WHERE rank <= 10""")
+def items_beside_uncategorised_ones(t: Tables) -> DataFrame:
+    """A catalog in which a fifth of the items has no category: those stand on the general list only, and once."""
+    category = F.when(F.col("item_id") % 5 != 0, F.col("category"))
+    return catalog.items_for_categories(
+        targets(t).select("user_id", "categories"), t.items_with_images().withColumn("category", category), 10)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import coldstart, evaluation, features, models, profiles, recommend
-from basketry.operators import shared_ratings, similarity
+from basketry.operators import hashed_search, shared_ratings, similarity
 from basketry.operators.ranking import top_items_per_user, top_n_per_group
 from basketry.plans.catalog_queries import reviewed
 from basketry.plans.feature_queries import AS_OF, USER_FEATURES
@@ -207,6 +207,34 @@ def similar_items(t: Tables) -> DataFrame:
     return rounded(similarity.similar_items(_vectors(t), 10), lift=HALF)
 
 
+@query("M8 W5", f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 7 <> 3),
+pairs AS (
+  SELECT a.vec_id AS source_id, b.vec_id AS neighbor_id,
+         list_inner_product(a.e, b.e)
+           / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) AS similarity
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT source_id, neighbor_id, round(round(similarity, 9) + {HALF}, 6) AS similarity,
+       (row_number() OVER (PARTITION BY source_id
+          ORDER BY round(similarity, 9) DESC, neighbor_id))::INTEGER AS rank
+FROM pairs QUALIFY rank <= 5""")
+def similar_items_beside_broken_ones(t: Tables) -> DataFrame:
+    """Every seventh vector has a component that is no number, is infinite or unknown, and takes no part."""
+    broken = F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, F.lit(float("inf")))
+    damaged = F.concat(F.array(broken), F.slice("vector", 2, 1_000_000))
+    vectors = _vectors(t).withColumn("vector", F.when(F.col("id") % 7 == 3, damaged).otherwise(F.col("vector")))
+    return rounded(similarity.similar_items(vectors, 5), lift=HALF)
+
+
+@query("M8", """
+SELECT count(*) AS sources, 10 * count(*) AS entries, 0::BIGINT AS wrong, TRUE AS recall_reached FROM embeddings""")
+def hashed_search_recall(t: Tables) -> DataFrame:
+    """The lists of the hashed search against the exact ones: nine in ten entries at least, with their true similarity."""
+    hashed = hashed_search.hash_vectors(_vectors(t), 10)
+    found = hashed_search.recall_of(hashed_search.hashed_neighbors(hashed, 10), similarity.similar_items(_vectors(t), 10))
+    return found.select("sources", "entries", "wrong", (F.col("found") >= 0.9 * F.col("entries")).alias("recall_reached"))
+
+
 @query("M7", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.vec_id AS a, a.vec_id + 1 AS b,

@@ -5,10 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import FMRegressor, GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,6 +252,78 @@ class BiasedFactorModel:
                    CollaborativeModel.load(spark, f"{path}/residual"))
 
 
+# Fixed bound: bytes of a joint model's parameters. Every step sends them to all tasks and adds up gradients of that size.
+JOINT_BYTES = 1 << 30
+
+
+@dataclass
+class JointFactorModel:
+    """Rating = mean + user bias + item bias + user vector . item vector, all fitted together.
+
+    A factorisation machine over one-hot users and items is this very form: sparse rows with two ones, one gradient
+    descent for biases and vectors. Spark keeps the parameters of such a model on the driver and sends
+    them out each step, so their size is checked; beyond ``JOINT_BYTES`` take ``BiasedFactorModel``, which is distributed
+    throughout. What was fitted becomes tables by user and item, like those of the other models.
+    """
+
+    mean: DataFrame        # one row: the mean rating with the fitted intercept
+    user_terms: DataFrame  # user_id, user_bias, _uf
+    item_terms: DataFrame  # item_id, item_bias, _if
+
+    @classmethod
+    def train(cls, indexed: DataFrame, mappings: Mappings, rank: int = 8, steps: int = 200, step_size: float = 0.05,
+              reg: float = 0.0001, seed: int = 42) -> JointFactorModel:
+        """``indexed`` as ``prepare_ratings`` gives it."""
+        users, items = mappings.users.count(), mappings.items.count()
+        if (users + items) * (rank + 1) * 8 > JOINT_BYTES:
+            raise ValueError(f"{users + items} users and items are too many for a joint fit of rank {rank}")
+        spark = indexed.sparkSession
+        mean = indexed.agg(F.avg("rating")).first()[0] or 0.0
+        rows = indexed.select("user_idx", "item_idx", (F.col("rating") - mean).alias("label"))
+        coded = Pipeline(stages=[
+            OneHotEncoder(inputCols=["user_idx", "item_idx"], outputCols=["_u", "_i"], dropLast=False),
+            VectorAssembler(inputCols=["_u", "_i"], outputCol="features")]).fit(
+            spark.range(1).select(F.lit(users - 1).alias("user_idx"), F.lit(items - 1).alias("item_idx")))
+        machine = FMRegressor(
+            factorSize=rank, maxIter=steps, stepSize=step_size, regParam=reg, initStd=0.1, tol=1e-5, seed=seed,
+            solver="adamW", featuresCol="features", labelCol="label").fit(
+            coded.transform(rows).select("features", "label"))
+        bias, vectors = machine.linear.toArray(), machine.factors.toArray()
+
+        def terms(known: DataFrame, key: str, name: str, vector: str, a: int, b: int) -> DataFrame:
+            table = spark.createDataFrame(pd.DataFrame({
+                "_at": np.arange(b - a), name: bias[a:b], vector: list(vectors[a:b].astype(float))}),
+                f"_at int, {name} double, {vector} array<double>")
+            return cut_lineage(known.join(table, F.col(f"{key}_idx") == F.col("_at")).select(f"{key}_id", name, vector), "terms")
+        overall = spark.range(1).select(F.lit(float(mean + machine.intercept)).alias("mean"))
+        return cls(overall, terms(mappings.users, "user", "user_bias", "_uf", 0, users),
+                   terms(mappings.items, "item", "item_bias", "_if", users, users + items))
+
+    def predict(self, pairs: DataFrame) -> DataFrame:
+        """All pairs; an unknown user or item has neither bias nor vector."""
+        return predict_pairs(self, pairs)
+
+    def user_side(self, users: DataFrame) -> DataFrame:
+        return users.join(self.user_terms, "user_id", "left")
+
+    def item_side(self, items: DataFrame) -> DataFrame:
+        return items.join(self.item_terms, "item_id", "left")
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        parts = [F.coalesce(c, F.lit(0.0)) for c in (
+            F.col("user_bias"), F.col("item_bias"), dot(F.col("_uf"), F.col("_if")))]
+        return rows.withColumn("prediction", self.mean.scalar() + parts[0] + parts[1] + parts[2]).drop(
+            "user_bias", "item_bias", "_uf", "_if")
+
+    def save(self, path: str) -> None:
+        for name in ("mean", "user_terms", "item_terms"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> JointFactorModel:
+        return cls(*[spark.read.parquet(f"{path}/{p}") for p in ("mean", "user_terms", "item_terms")])
+
+
 @dataclass
 class FactorTreeModel:
     """Boosted trees over the factors of user and item.

@@ -2,11 +2,12 @@
 
 from functools import cached_property
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import evaluation, features, models, recommend
-from basketry.operators.models import BiasedFactorModel, CollaborativeModel, FactorTreeModel
+from basketry.operators.models import BiasedFactorModel, CollaborativeModel, FactorTreeModel, JointFactorModel
 from basketry.plans.feature_queries import AS_OF
 from basketry.plans.registry import INTERACTIONS, moment, query
 from basketry.plans.user_queries import SPLIT, split_ratings
@@ -17,8 +18,9 @@ from basketry.sources.tables import Tables
 class Trained:
     """The split ratings and the models a query asks for, each fitted once for it."""
 
-    def __init__(self, t: Tables):
-        split = cut_lineage(split_ratings(t), "split")
+    def __init__(self, t: Tables, planted: bool = False):
+        split = split_ratings(t)
+        split = cut_lineage(split.withColumn("rating", planted_rating()) if planted else split, "split")
         indexed, self.mappings = models.prepare_ratings(split.where("NOT held_out"))
         self.train = indexed
         self.held = split.where("held_out")
@@ -40,6 +42,17 @@ class Trained:
         return BiasedFactorModel.train(self.train, self.mappings)
 
 
+def _taste(of: str, number: int):
+    """A number from -1 to 1 that belongs to an id."""
+    return F.pmod(F.xxhash64(F.lit(number), F.col(of).cast("long")), F.lit(2001)) / 1000 - 1
+
+
+def planted_rating():
+    """A rating with a known cause: biases and two tastes of user and item."""
+    return (3 + _taste("user_id", 1) / 2 + _taste("item_id", 2) / 2
+            + _taste("user_id", 3) * _taste("item_id", 4) + _taste("user_id", 5) * _taste("item_id", 6))
+
+
 def _users(t: Tables) -> DataFrame:
     return t.read("customer").select(F.col("c_custkey").alias("user_id"))
 
@@ -203,6 +216,112 @@ def als_reload_is_equal(t: Tables) -> DataFrame:
         F.count("*").alias("entries"), F.count_if(~F.col("own").eqNullSafe(F.col("score"))).alias("different"))
 
 
+@query("M2 M10 M11 M12 M13 M14", f"""
+WITH {KNOWN}, n AS (SELECT count(*) AS pairs FROM held), a AS (SELECT count(*) AS pairs FROM ratings WHERE held_out)
+SELECT * FROM (SELECT 'als' AS model, pairs FROM n UNION ALL SELECT 'trees', pairs FROM n UNION ALL
+               SELECT 'factors and trees', pairs FROM n UNION ALL SELECT 'biased factors', pairs FROM a UNION ALL
+               SELECT 'joint factors', pairs FROM a),
+              (SELECT TRUE AS better_than_mean, 0::BIGINT AS differing)""")
+def predictions_of_planted_ratings(t: Tables) -> DataFrame:
+    """Held-out pairs each model predicts, of ratings whose cause is known: whether its error is below that of the mean
+    rating, and how many predictions differ from what the model's exported parts add up to."""
+    model = Trained(t, planted=True)
+    joint = JointFactorModel.train(model.train, model.mappings, rank=4)
+    mean = model.train.agg(F.avg("rating")).first()[0]
+    users, items = model.cf.user_factors(), model.cf.item_factors()
+    product = F.aggregate(F.zip_with("u", "i", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+    def product_of(rows: DataFrame) -> DataFrame:
+        return rows.join(users.withColumnRenamed("factors", "u"), "user_id").join(
+            items.withColumnRenamed("factors", "i"), "item_id").withColumn("product", product)
+
+    def trees_of(rows: DataFrame, m: FactorTreeModel) -> DataFrame:
+        featured = product_of(rows).withColumn("features", array_to_vector(F.concat("u", "i")))
+        return m.trees.transform(featured).withColumnRenamed("_trees", "tree")
+
+    def biased_of(rows: DataFrame, overall, user_bias, item_bias, user_vectors, item_vectors) -> DataFrame:
+        parts = rows.join(user_bias, "user_id", "left").join(item_bias, "item_id", "left").join(
+            user_vectors, "user_id", "left").join(item_vectors, "item_id", "left")
+        zero = F.lit(0.0)
+        return parts.withColumn("own", overall + F.coalesce("user_bias", zero) + F.coalesce("item_bias", zero) + F.coalesce(product, zero))
+
+    biased = model.biased
+    made = {
+        "als": product_of(model.cf.predict(model.held)).withColumn("own", F.col("product")),
+        "trees": trees_of(model.trees.predict(model.held), model.trees).withColumn("own", F.col("tree")),
+        "factors and trees": trees_of(model.hybrid.predict(model.held), model.hybrid).withColumn(
+            "own", F.col("tree") + F.col("product")),
+        "biased factors": biased_of(
+            biased.predict(model.held), F.lit(biased.overall.first()[0]), biased.user_bias, biased.item_bias,
+            biased.residual.user_factors().withColumnRenamed("factors", "u"),
+            biased.residual.item_factors().withColumnRenamed("factors", "i")),
+        "joint factors": biased_of(
+            joint.predict(model.held), F.lit(joint.mean.first()[0]), joint.user_terms.drop("_uf"), joint.item_terms.drop("_if"),
+            joint.user_terms.select("user_id", F.col("_uf").alias("u")),
+            joint.item_terms.select("item_id", F.col("_if").alias("i"))),
+    }
+    found = None
+    for name, rows in made.items():
+        error = F.avg((F.col("prediction") - F.col("rating")) ** 2)
+        one = rows.agg(
+            F.count("prediction").alias("pairs"),
+            (error < F.avg((F.col("rating") - mean) ** 2)).alias("better_than_mean"),
+            F.count_if(~(F.abs(F.col("prediction") - F.col("own")) < 1e-9)).alias("differing")).withColumn("model", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("M10 M13", f"""
+WITH {KNOWN} SELECT count(*) AS pairs, TRUE AS below_biases, TRUE AS biases_below_mean FROM ratings WHERE held_out""")
+def joint_factors_beat_biases(t: Tables) -> DataFrame:
+    """On ratings with planted tastes: biases explain more than the mean, and the joint factors far more than biases."""
+    model = Trained(t, planted=True)
+    joint = JointFactorModel.train(model.train, model.mappings, rank=4)
+    overall, users, items = models.bias_terms(model.train)
+    both = models.baseline_prediction(joint.predict(model.held), overall, users, items)
+
+    def error(prediction):
+        return F.sqrt(F.avg((prediction - F.col("rating")) ** 2))
+    return both.agg(
+        F.count("prediction").alias("pairs"),
+        (error(F.col("prediction")) < 0.8 * error(F.col("baseline"))).alias("below_biases"),
+        (error(F.col("baseline")) < error(F.lit(model.train.agg(F.avg("rating")).first()[0]))).alias("biases_below_mean"))
+
+
+@query("M6 M7", f"""
+WITH {KNOWN}, pairs AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part),
+seen AS (SELECT *, a IN (SELECT item_id FROM known_items) AND b IN (SELECT item_id FROM known_items) AS known FROM pairs)
+SELECT a, b, known, 0::BIGINT AS wrong, 50 AS factors FROM seen""")
+def als_factor_lookup(t: Tables) -> DataFrame:
+    """Cosines of items numbered one after the other, against those of the exported factors; unknown ones have 0."""
+    model = Trained(t).cf
+    items = _items(t)
+    pairs = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
+    told = model.similarity(pairs, users=False)
+    factors = model.item_factors()
+    left, right = factors.toDF("a", "u"), factors.toDF("b", "v")
+
+    def summed(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    cosine = F.coalesce(F.try_divide(summed("u", "v"), F.sqrt(summed("u", "u")) * F.sqrt(summed("v", "v"))), F.lit(0.0))
+    size = factors.agg(F.max(F.size("factors"))).first()[0]
+    return told.join(left, "a", "left").join(right, "b", "left").select(
+        "a", "b", (F.col("u").isNotNull() & F.col("v").isNotNull()).alias("known"),
+        (~(F.abs(F.col("similarity") - cosine) < 1e-9)).cast("long").alias("wrong"), F.lit(size).alias("factors"))
+
+
+@query("M3", """
+SELECT rank::DOUBLE AS rank, reg::DOUBLE AS "regParam", iter::DOUBLE AS "maxIter", TRUE AS measured, TRUE AS best_kept
+FROM (VALUES (10), (20), (50)) r(rank), (VALUES (0.01), (0.1), (0.5)) g(reg), (VALUES (5), (10), (20)) i(iter)""")
+def als_tuning_grid(t: Tables) -> DataFrame:
+    """All 27 points, each with an error that is a number above 0, and whether the model kept is that of the lowest."""
+    model, table = models.tune(Trained(t).train, folds=3, parallelism=4)
+    rows = cut_lineage(table, "tuning")
+    best = rows.orderBy("rmse").first()
+    return rows.select("rank", "regParam", "maxIter", (
+        (F.col("rmse") > 0) & (F.col("rmse") < float("inf"))).alias("measured"), F.lit(model.rank == best["rank"]).alias("best_kept"))
+
+
 @query("M2 M10 M11 M12 M13 M14", f"""
 WITH {KNOWN}, n AS (SELECT count(*) AS pairs FROM held), a AS (SELECT count(*) AS pairs FROM ratings WHERE held_out)
 SELECT * FROM (SELECT 'als' AS model, pairs FROM n UNION ALL SELECT 'trees', pairs FROM n UNION ALL

@@ -1,5 +1,7 @@
 """A/B tests, indicators, sessions, stored results and streams over events."""
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from basketry.operators.evaluation import popularity_ranking
 from basketry.session import cut_lineage, scratch_path
 from basketry.sources import results
 from basketry.sources.tables import Tables
-from basketry.streaming import jobs
+from basketry.streaming import jobs, keyed_state
 
 TESTS = (
     TestConfig("ranker_v2", "New ranker", 0.5, 1000,
@@ -576,20 +578,61 @@ def user_activity_stream(t: Tables) -> DataFrame:
 
 
 @query("T2 W2", """
-SELECT user_id, max(ts) AS event_timestamp, arg_max(value, ts) AS last_value
-FROM events WHERE event_type = 'view' GROUP BY 1""")
+SELECT user_id, event_type, max(ts) AS event_timestamp, arg_max(value, ts) AS last_value
+FROM events GROUP BY ALL""")
 def pushed_features_stream(t: Tables) -> DataFrame:
-    views = _replay(t).where("event_type = 'view'")
-    update = views.select("user_id", F.col("ts").alias("event_timestamp"),
-                          F.col("ts").alias("created_timestamp"), F.col("value").alias("last_value"))
+    """The last value of every user and type of event, pushed twice and kept as a history."""
+    entity = F.concat_ws(":", "user_id", "event_type")
+    update = _replay(t).select(
+        entity.alias("entity"), "user_id", "event_type", F.col("ts").alias("event_timestamp"),
+        F.col("ts").alias("created_timestamp"), F.col("value").alias("last_value"))
     out = scratch_path(t.spark, "push")
     twice = update.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_again")
-    jobs.push_features(twice, "user_id", f"{out}/rows", f"{out}/state")
-    latest = jobs.latest_pushed(t.spark, f"{out}/rows", "user_id")
-    return latest.select("user_id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"),
+    jobs.push_features(twice, "entity", f"{out}/rows", f"{out}/state")
+    latest = jobs.latest_pushed(t.spark, f"{out}/rows", "entity")
+    return latest.select("user_id", "event_type", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"),
                          "last_value")
 
 
+@query("T2 W2", """
+SELECT user_id, ts AS event_timestamp, event_type, value AS last_value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC NULLS LAST) = 1""")
+def pushed_events_state(t: Tables) -> DataFrame:
+    """The last event of every user as the state store holds it, after two runs: the second brings the other half of the log,
+    late, and a third of the first half again."""
+    out = scratch_path(t.spark, "state")
+    update = t.events().select("user_id", F.col("ts").cast("timestamp").alias("event_timestamp"), "event_type",
+                               F.col("value").alias("last_value"))
+    part = F.pmod(F.xxhash64("user_id", "event_timestamp", "event_type"), F.lit(6))
+    for some in (part < 3, part > 1):
+        update.where(some).write.mode("append").parquet(f"{out}/log")
+        pushed = t.spark.readStream.schema(update.schema).parquet(f"{out}/log")
+        keyed_state.run_state(keyed_state.newest_rows(pushed, "user_id"), f"{out}/state")
+    latest = keyed_state.state_table(t.spark, f"{out}/state", "newest")
+    return latest.select("user_id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"),
+                         "event_type", "last_value")
+
+
+@query("T3", """
+WITH seen AS (
+  SELECT user_id, count(*) AS event_count,
+         round(count(*) / (date_sub('day', min(ts), max(ts)) + 1), 6) AS activity_level, max(ts) AS last_ts
+  FROM events GROUP BY 1)
+SELECT user_id, event_count, activity_level, last_ts,
+       last_ts + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS retired FROM seen""")
+def user_activity_state(t: Tables) -> DataFrame:
+    """Running activity of every user from the state store; users idle for six hours were given out and forgotten."""
+    out = scratch_path(t.spark, "activity-state")
+    stream = keyed_state.activity_rows(_replay(t), idle=timedelta(hours=6))
+    keyed_state.run_state(stream, f"{out}/state", f"{out}/retired")
+    live = keyed_state.state_table(t.spark, f"{out}/state", "activity").withColumn("retired", F.lit(False))
+    gone = t.spark.read.schema(live.drop("retired").schema).parquet(f"{out}/retired").withColumn("retired", F.lit(True))
+    span = F.timestamp_diff("DAY", F.col("first_ts"), F.col("last_ts")) + 1
+    return rounded(live.unionByName(gone).select(
+        "user_id", "event_count", (F.col("event_count") / span).alias("activity_level"),
+        F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "retired"))
+
+
 @query("T5", f"""
 WITH {SESSIONS}, closed AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events)
 SELECT user_id, session_start, session_end, event_count, round(total_value, 6) AS total_value

@@ -4,6 +4,7 @@ from basketry.plans import (  # noqa: F401
     catalog_queries,
     event_queries,
     feature_queries,
+    index_queries,
     model_queries,
     user_queries,
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import is_web_url
@@ -38,3 +38,17 @@ def image_coverage(items: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(first, F.lit("")) != "").alias("non_empty_urls"),
         F.count_if(is_web_url(first)).alias("web_urls"),
     )
+
+
+def observed_load(rows: DataFrame, path: str, images: str | None = None, **more: Column) -> dict:
+    """Write ``rows`` and return what the write job itself has counted: rows, values per column, with the name of
+    an image list also what ``image_coverage`` counts, and any other aggregates. Nothing is read twice."""
+    counts = [F.count("*").alias("row_count"), *[F.count(F.col(f"`{c}`")).alias(f"filled_{c}") for c in rows.columns]]
+    if images:
+        filled, first = F.size(images) > 0, F.get(images, F.lit(0))
+        counts += [F.count_if(filled).alias("with_images"), F.count_if(~F.coalesce(filled, F.lit(False))).alias("without_images"),
+                   F.count_if(F.coalesce(first, F.lit("")) != "").alias("non_empty_urls"),
+                   F.count_if(is_web_url(first)).alias("web_urls")]
+    seen = Observation()
+    rows.observe(seen, *counts, *[c.alias(n) for n, c in more.items()]).write.mode("overwrite").parquet(path)
+    return seen.get

@@ -84,22 +84,27 @@ def user_features(interactions: DataFrame, as_of: Column) -> DataFrame:
 
 
 def item_stats(interactions: DataFrame) -> DataFrame:
-    """Mean and count of ratings, distinct users, popularity per item."""
+    """Mean and count of ratings, distinct users, popularity per item; of interactions with a discount also its mean."""
+    more = [(100 * F.avg("discount")).alias("discount_percentage")] if "discount" in interactions.columns else []
     stats = interactions.groupBy("item_id").agg(
         F.avg("rating").alias("avg_rating"),
         F.count("rating").alias("review_count"),
-        F.countDistinct("user_id").alias("unique_users"),
+        F.countDistinct("user_id").alias("unique_users"), *more,
     )
     return stats.withColumn("popularity_score", F.col("avg_rating") * F.log1p("review_count"))
 
 
 def item_features(items: DataFrame, interactions: DataFrame, as_of: Column) -> DataFrame:
-    """The item feature view at ``as_of``; items nobody rated get zeros."""
+    """The item feature view at ``as_of``; items nobody rated get zeros. The mean discount is that of the
+    interactions, if they have one, or the items' own; what neither knows is null."""
     zeros = {"avg_rating": 0.0, "review_count": 0, "popularity_score": 0.0, "unique_users": 0}
-    return (items.join(item_stats(interactions), "item_id", "left").fillna(zeros)
-            .select("item_id", "category", "brand", "price", "avg_rating", "review_count",
-                    "unique_users", "popularity_score", "availability", "discount_percentage",
-                    as_of.alias("event_timestamp"), as_of.alias("created_timestamp")))
+    found = items.join(item_stats(interactions), "item_id", "left").fillna(zeros)
+    for name, kind in (("availability", "string"), ("discount_percentage", "double")):
+        if name not in found.columns:
+            found = found.withColumn(name, F.lit(None).cast(kind))
+    return found.select("item_id", "category", "brand", "price", "avg_rating", "review_count",
+                        "unique_users", "popularity_score", "availability", "discount_percentage",
+                        as_of.alias("event_timestamp"), as_of.alias("created_timestamp"))
 
 
 def user_behavior(interactions: DataFrame, as_of: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import cut_lineage
+
 KINDS = ("purchase", "wishlist", "cart")
 
 
@@ -77,6 +79,8 @@ def new_entries(requested: DataFrame, existing: DataFrame) -> DataFrame:
     """
     has_asin = F.coalesce(F.col("asin") != "", F.lit(False))
     columns = ["user_id", "asin", "title", "price"]
+    # each is read twice, and often the result of a join
+    requested, existing = (cut_lineage(df.select(columns).distinct(), "entries") for df in (requested, existing))
     first = requested.where(has_asin).groupBy("user_id", "asin").agg(
         F.min(F.struct("price", "title")).alias("_first"))
     by_asin = first.select("user_id", "asin", "_first.title", "_first.price").join(
@@ -113,12 +117,9 @@ def target_categories(
     then the categories named at registration (``registered``: user_id,
     category). Categories the catalog does not have are left out.
     """
-    def per_kind(kind: str) -> DataFrame:
-        return entries.where(F.col("kind") == kind).select("user_id", "category")
-
-    labelled = (per_kind("purchase").withColumn("_from", F.lit("p"))
-                .unionByName(per_kind("wishlist").withColumn("_from", F.lit("w")))
-                .unionByName(registered.select("user_id", "category").withColumn("_from", F.lit("r"))))
+    listed = entries.where(F.col("kind").isin("purchase", "wishlist")).select(
+        "user_id", "category", F.when(F.col("kind") == "purchase", "p").otherwise("w").alias("_from"))
+    labelled = listed.unionByName(registered.select("user_id", "category", F.lit("r").alias("_from")))
     known = labelled.distinct().join(items.select("category").distinct(), "category", "left_semi")
 
     def gather(label: str):

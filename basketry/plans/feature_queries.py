@@ -84,7 +84,7 @@ SELECT p.p_partkey AS item_id, p_type AS category, p_brand AS brand, p_retailpri
 FROM part p LEFT JOIN item_stats s ON p.p_partkey = s.item_id
             LEFT JOIN discounts d ON p.p_partkey = d.item_id""")
 def item_features(t: Tables) -> DataFrame:
-    found = features.item_features(t.items(), t.interactions(catalog=False), moment(AS_OF))
+    found = features.item_features(t.catalog(), t.interactions(catalog=False, discount=True), moment(AS_OF))
     return rounded(found.drop("availability", "event_timestamp", "created_timestamp"))
 
 

@@ -123,9 +123,9 @@ def best_by_factor_product(t: Tables) -> DataFrame:
 @query("M17 J6 J8 J11")
 def batch_recommendations(t: Tables) -> DataFrame:
     model = Trained(t)
-    interactions = t.interactions(catalog=False)
-    users = features.user_features(t.interactions(), moment(AS_OF))
-    items = features.item_features(t.items(), interactions, moment(AS_OF))
+    rows = cut_lineage(t.interactions(discount=True), "interactions")
+    users = features.user_features(rows, moment(AS_OF))
+    items = features.item_features(t.catalog(), rows, moment(AS_OF))
     lists = {
         kind: recommend.batch_recommend(
             kind, _users(t), 10, cf=model.cf, deep=model.hybrid, candidates=_items(t),

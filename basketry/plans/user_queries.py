@@ -87,11 +87,12 @@ SELECT user_id, asin, title, price FROM cart c
 WHERE NOT EXISTS (SELECT 1 FROM wish w WHERE w.user_id = c.user_id AND (
   w.asin = c.asin OR (c.asin IS NULL AND w.title = c.title AND abs(w.price - c.price) < 0.01)))""")
 def new_wishlist_entries(t: Tables) -> DataFrame:
-    marked = t.profile_entries().drop("price").join(
-        t.read("part").select(F.col("p_partkey").alias("item_id"), "p_size",
-                              F.col("p_retailprice").alias("price")), "item_id")
-    marked = marked.withColumn(
-        "asin", F.when(F.col("p_size") > 25, F.col("item_id").cast("string")))
+    part = t.read("part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"),
+        F.when(F.col("p_size") > 25, F.col("p_partkey").cast("string")).alias("asin"))
+    lines = t.orders_and_lines().where("status <> 'F'").select(
+        "user_id", "item_id", F.when(F.col("status") == "O", "wishlist").otherwise("cart").alias("kind"))
+    marked = cut_lineage(lines.join(part, "item_id").select("user_id", "kind", "asin", "title", "price").distinct(), "marked")
     fields = ["user_id", "asin", "title", "price"]
     return profiles.new_entries(marked.where("kind = 'cart'").select(fields),
                                 marked.where("kind = 'wishlist'").select(fields))
@@ -282,8 +283,12 @@ def similar_items_by_ratings(t: Tables) -> DataFrame:
 
 def two_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Two scores per user and item: how well rated, and how recent."""
+    return lists_of(t.interactions(catalog=False))
+
+
+def lists_of(interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
     # both lists need it, each with other columns: aggregate once
-    per_pair = cut_lineage(t.interactions(catalog=False).groupBy("user_id", "item_id").agg(
+    per_pair = cut_lineage(interactions.groupBy("user_id", "item_id").agg(
         F.round(F.avg("rating"), 9).alias("rated"), F.max("ts").alias("last")))
     days = F.timestamp_diff("DAY", F.col("last"), moment(AS_OF))
     rated = per_pair.select("user_id", "item_id", F.col("rated").alias("score"))
@@ -347,10 +352,12 @@ FROM (
   FROM merged JOIN user_features u USING (user_id) JOIN item_stats i USING (item_id)
               JOIN part ON p_partkey = merged.item_id) m""")
 def explained_lists(t: Tables) -> DataFrame:
-    interactions = t.interactions()
+    rows = cut_lineage(t.interactions(discount=True), "interactions")  # read by three of the steps
+    rated, recent = lists_of(rows)
     return rounded(recommend.explain(
-        merged_lists(t), features.user_features(interactions, moment(AS_OF)),
-        features.item_features(t.items(), t.interactions(catalog=False), moment(AS_OF))), lift=HALF)
+        recommend.merge_scores(rated, recent, 10).withColumn("score", F.round("score", 9)),
+        features.user_features(rows, moment(AS_OF)),
+        features.item_features(t.catalog(), rows, moment(AS_OF))), lift=HALF)
 
 
 # --------------------------------------------------------------------------
@@ -391,7 +398,7 @@ per_user AS (
   FROM ratings LEFT JOIN top USING (item_id) WHERE held_out AND rating >= 3 GROUP BY user_id)
 {_metrics_sql(5)} UNION ALL {_metrics_sql(10)} UNION ALL {_metrics_sql(20)}""")
 def popularity_ranking_metrics(t: Tables) -> DataFrame:
-    ratings = split_ratings(t)
+    ratings = cut_lineage(split_ratings(t), "split")
     top = evaluation.popularity_ranking(ratings.where("NOT held_out"), 20)
     relevant = ratings.where("held_out AND rating >= 3")
     return rounded(evaluation.ranking_metrics(evaluation.hits_of_shared_list(relevant, top)))

@@ -31,15 +31,16 @@ class Tables:
             F.col("o_orderdate").alias("ts"),
             F.try_divide("l_extendedprice", "l_quantity").alias("price"),
             F.col("o_orderstatus").alias("status"),
+            F.col("l_discount").alias("discount"),
         )
 
-    def interactions(self, catalog: bool = True) -> DataFrame:
-        """user_id, item_id, rating, ts, price and, if asked, category, brand.
+    def interactions(self, catalog: bool = True, discount: bool = False) -> DataFrame:
+        """user_id, item_id, rating, ts, price and, if asked, discount, category, brand.
 
         Callers that need no catalog column pass ``catalog=False`` and save a
         join. The join side is chosen by Spark from the size of ``part``.
         """
-        lines = self.orders_and_lines().drop("status")
+        lines = self.orders_and_lines().drop("status", *([] if discount else ["discount"]))
         if not catalog:
             return lines
         return enrich_from_items(lines, self.catalog())

@@ -4,14 +4,16 @@ than a model of the raw corpus does.
 Both models are bags of hashed n-grams: words and runs of punctuation, pairs of neighbours, and
 one shared place for a word that follows itself. The target is a labelled sample: rows of good
 quality that are not toxic, from at most ``sample`` labels; the raw model counts all documents. A
-document's log weight is the log ratio of its probabilities under the two, with its own
+document's log weight is the log ratio of its probabilities under the two, a word on the mean, with its own
 counts taken out of both, so that labelled and other documents are weighed alike. If one of its
-passages has a lower log ratio, the document has that one: a few words that the target
+passages has a lower ratio a word, the document has that one: a few words that the target
 never uses would else be outweighed by the length of the rest.
 
-Selection is importance resampling without replacement: Gumbel noise, from a hash of the id,
-is added to the log weights and the k highest are taken. ``k`` is the number of documents
-whose weight reaches a threshold, which is fitted on the labelled sample.
+Selection is importance resampling without replacement: Gumbel noise, from a hash of seed and id, is added to the log
+weights over a temperature, and the k highest are taken. So documents are drawn one after the other with
+probabilities in proportion to exp(log weight / temperature). The temperature is in log units a word; at the default
+those about the cut are left to chance, and documents far from it are not. ``k`` may be given, as a number or as a share of all
+documents; else it is the number of documents whose weight reaches a threshold, which is fitted on the labelled sample.
 
 Only sums by place (a fixed number), the labelled sample, and histograms reach the driver. The
 k-th highest value is found exactly by narrowing histograms over the written weights.
@@ -39,7 +41,9 @@ PLACES = 1 << 17  # for words, and as many for pairs
 SAMPLE = 50_000  # labels used, about
 SMOOTHING = 2.0  # counts added to each place of both models, at the target's size
 PASSAGE = 32  # words
-LOWEST = -500.0  # weights from here down count as one in fitting the threshold
+LOWEST = -8.0  # weights from here down count as one in fitting the threshold
+STEPS = 512  # weights told apart in fitting it, in a unit
+TEMPERATURE = 0.02
 LOSS = 30.0  # a lost good document weighs as much as so many kept bad ones
 SEED = 61
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+")
@@ -107,7 +111,7 @@ def fit(documents: DataFrame, known: DataFrame, id: str = "doc_id", text: str =
 
 
 def log_weight(model: dict, text: str, good: bool | None) -> float:
-    """log p(text | target) - log p(text | raw), without the text's own counts, or that of
+    """log p(text | target) - log p(text | raw), a word on the mean, without the text's own counts, or that of
     its passage with the least (there of single words), whichever is lower."""
     ratio = model["target"].sum() / max(1.0, model["raw"].sum())
 
@@ -121,8 +125,8 @@ def log_weight(model: dict, text: str, good: bool | None) -> float:
         return 0.0
     ratios = each(words)
     total = np.r_[0.0, np.cumsum(ratios)]
-    least = (total[PASSAGE:] - total[:-PASSAGE]).min(initial=np.inf)
-    return float(min(total[-1] + each(pairs).sum(), least))
+    least = (total[PASSAGE:] - total[:-PASSAGE]).min(initial=np.inf) / PASSAGE
+    return float(min((total[-1] + each(pairs).sum()) / len(words), least))
 
 
 def weigh(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
@@ -150,7 +154,7 @@ def threshold(weighed: DataFrame, weight: str = "log_weight", good: str = "label
 
     Minus infinity if no row is bad, or if the cut is below all weights told apart.
     """
-    step = F.floor(F.least(F.greatest(F.col(weight), F.lit(LOWEST)), F.lit(0.0)) * 4)
+    step = F.floor(F.least(F.greatest(F.col(weight), F.lit(LOWEST)), F.lit(0.0)) * STEPS)
     counts = weighed.filter(F.col(good).isNotNull()).groupBy(step.alias("step")).agg(
         F.count(F.when(F.col(good), 1)).alias("good"), F.count(F.when(~F.col(good), 1)).alias("bad")).collect()
     if not any(r["bad"] for r in counts):
@@ -159,7 +163,7 @@ def threshold(weighed: DataFrame, weight: str = "log_weight", good: str = "label
     goods, bads = max(1, sum(c[1] for c in counts)), max(1, sum(c[2] for c in counts))
     lost, kept, best = 0, bads, (float("inf"), 0.0)
     for step, n_good, n_bad in counts:
-        best = min(best, (loss * lost / goods + kept / bads, step / 4))
+        best = min(best, (loss * lost / goods + kept / bads, step / STEPS))
         lost, kept = lost + n_good, kept - n_bad
     return best[1] if best[1] > LOWEST else float("-inf")
 
@@ -193,13 +197,22 @@ def kth_highest(rows: DataFrame, value: Column, k: int, gathered: int = 10_000)
             return low
 
 
+def noisy(weight: Column, id: Column, seed: Column | int = SEED, temperature: float = TEMPERATURE) -> Column:
+    """The log weight over the temperature with Gumbel noise that belongs to seed, id and weight."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    uniform = (F.shiftrightunsigned(F.xxhash64(seed, id, weight), 11) + F.lit(0.5)) / F.lit(2.0 ** 53)
+    return weight / F.lit(float(temperature)) - F.log(-F.log(uniform))
+
+
 def select(weighed: DataFrame, id: str = "doc_id", weight: str = "log_weight", good: str = "labelled",
-           k: int | None = None, seed: int = SEED) -> DataFrame:
-    """``weighed`` (a table) with ``key``, the noisy weight, and ``selected``: the k highest."""
+           k: int | None = None, share: float | None = None, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+    """``weighed`` (a table) with ``key``, the noisy weight, and ``selected``: the ``k`` highest, or the given share of
+    all rows, or as many as reach the threshold."""
+    if k is None and share is not None:
+        k = round(share * weighed.count())
     if k is None:
         k = weighed.filter(F.col(weight) >= threshold(weighed, weight, good)).count()
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id, weight), 11) + F.lit(0.5)) / F.lit(2.0 ** 53)
     key, selected = free_name(weighed, "key"), free_name(weighed, "selected")
-    noisy = F.col(weight) - F.log(-F.log(uniform))
-    edge = kth_highest(weighed, noisy, k)
-    return weighed.withColumn(key, noisy).withColumn(selected, F.col(key) >= F.lit(edge))
+    drawn = noisy(F.col(weight), F.col(id), seed, temperature)
+    edge = kth_highest(weighed, drawn, k)
+    return weighed.withColumn(key, drawn).withColumn(selected, F.col(key) >= F.lit(edge))

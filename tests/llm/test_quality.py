@@ -48,8 +48,8 @@ def test_weights_against_direct_counts(spark, corpus):
         one = each(words)
         if not one:
             return 0.0
-        passages = [sum(one[i:i + quality.PASSAGE]) for i in range(len(one) - quality.PASSAGE + 1)]
-        return min([sum(one) + sum(each(pairs)), *passages])
+        passages = [sum(one[i:i + quality.PASSAGE]) / quality.PASSAGE for i in range(len(one) - quality.PASSAGE + 1)]
+        return min([(sum(one) + sum(each(pairs))) / len(one), *passages])
     got = quality.weigh(docs, labels).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -95,3 +95,31 @@ def test_threshold_keeps_very_low_good_rows(spark):
     good = weighed((1, -3.0, True), (2, -9.0, None))
     assert quality.threshold(good) == float("-inf")
     assert all(r.selected for r in quality.select(good).collect())
+
+
+def test_frequencies_follow_the_weights(spark):
+    """Over many seeds documents are drawn one after the other, each with a chance in proportion to exp(weight / temperature)."""
+    weights, temperature, seeds = [-0.5, -0.4, -0.3, -0.3, 0.0, 0.1], 0.2, 4000
+    rows = spark.createDataFrame(list(enumerate(weights)), "doc_id long, w double")
+    keys = rows.join(spark.range(seeds).withColumnRenamed("id", "seed")).select(
+        "seed", "doc_id", quality.noisy(F.col("w"), F.col("doc_id"), F.col("seed"), temperature).alias("key"))
+    drawn = keys.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id")), asc=False).alias("order")).select(
+        F.col("order.doc_id").alias("order")).collect()
+    chance = np.exp(np.array(weights) / temperature)
+    chance /= chance.sum()
+    first = np.bincount([r.order[0] for r in drawn], minlength=6) / seeds
+    assert np.abs(first - chance).max() < 4 * 0.5 / np.sqrt(seeds)
+    second = sum(np.where(np.arange(6) == i, 0, chance[i] * chance / (1 - chance[i])) for i in range(6))
+    both = np.bincount([i for r in drawn for i in r.order[:2]], minlength=6) / seeds
+    assert np.abs(both - chance - second).max() < 4 * 0.5 / np.sqrt(seeds)
+
+
+def test_seeds_and_temperature_decide(spark):
+    """Other seeds select other documents; the cooler, the more of the highest weights; a share is a number of rows."""
+    rows = spark.createDataFrame([(i, i / 500, None) for i in range(500)], "doc_id long, log_weight double, labelled boolean")
+
+    def selected(**more):
+        return {r.doc_id for r in quality.select(rows, share=0.2, **more).filter("selected").collect()}
+    warm, other, cold = selected(temperature=0.5), selected(temperature=0.5, seed=5), selected(temperature=1e-6)
+    assert len(warm) == len(other) == 100 and len(warm & other) < 80
+    assert cold == set(range(400, 500)) and 100 > len(selected(temperature=0.05) & cold) > len(warm & cold)

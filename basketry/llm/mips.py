@@ -15,9 +15,12 @@ shorter than bound / |q| are left out. What remains is verified with exact produ
 
 Bounds are widened by far more than rounding, so the result is exact.
 
-Edge cases: vectors that are null or hold null or non-finite components take no part, nor
-do those whose squared length reaches 2^62 (their products need not fit a long). Vectors meet
-only vectors of as many components. Fully equal rows count once in ``search``, and ``every_row`` then ranks each
+Vectors whose squared length reaches 2^62 after scaling stand apart: their products need not fit a long. ``search_all``
+lets them meet, as queries and as candidates, all others in blocks, with Python's integers; usually there are none.
+
+Edge cases: vectors that are null or hold null or non-finite components take no part. Vectors meet
+only vectors of as many components. Scores that a long cannot hold are given as the greatest or least
+long, but ranked by their true values. Fully equal rows count once in ``search``, and ``every_row`` then ranks each
 of them, as SQL does; rows with a query's id count as
 its own and are no candidates for it; equal vectors of other ids are all ranked, ties by smaller id. Null ids take no part.
 Queries without candidates give no rows, and so do empty tables. Other columns are not read.
@@ -43,15 +46,25 @@ FOCUS = 3  # coordinates looked at
 SLACK = 1e-9
 
 
-def scaled(rows: DataFrame, scale: float = 1024, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, vec, norm) of the vectors that take part: components floor(scale * x), and the length."""
+SCALE = 1024
+LONGEST = 2.0 ** 31  # squares below 2^62 have products that a long holds
+
+
+def kept(rows: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, raw, norm) of the vectors that take part; the length is that of the scaled vector, about."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = rows.filter(F.col(id).isNotNull() & F.col(vector).isNotNull() & good).select(
-        F.col(id).alias("id"),
-        F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("wide"))
+    found = rows.filter(F.col(id).isNotNull() & F.col(vector).isNotNull() & good).select(
+        F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("raw"))
+    whole = F.transform("raw", lambda x: F.lit(float(SCALE)) * x)
+    return found.withColumn("norm", F.sqrt(F.aggregate(whole, F.lit(0.0), lambda s, x: s + F.rint(x) * F.rint(x))))
+
+
+def scaled(rows: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, vec, norm) of the vectors that take part and are not too long: components floor(1024 * x), and the length."""
+    whole = F.transform("raw", lambda x: F.floor(F.lit(float(SCALE)) * x))
+    short = kept(rows, id, vector).filter(F.col("norm") < LONGEST * 0.99).select("id", whole.alias("wide"))
     norm = F.aggregate("wide", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return kept.withColumn("norm", F.sqrt(norm)).filter(F.col("norm") < 2.0 ** 31).select(
-        "id", F.col("wide").cast("array<int>").alias("vec"), "norm")
+    return short.select("id", F.col("wide").cast("array<int>").alias("vec"), F.sqrt(norm).alias("norm"))
 
 
 def _classes(rows: DataFrame) -> list[dict]:
@@ -254,3 +267,71 @@ def every_row(found: DataFrame, queries: DataFrame, candidates: DataFrame, k: in
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return rest.unionByName(scored).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "id", "score")
+
+
+# --------------------------------------------------------------------------
+# vectors too long for products in longs
+
+
+def _integers(raw: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) as Python's integers: 1024 * x is exact, unless it overflows, and x is whole then."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(raw * SCALE)
+    return np.array([int(w) if np.isfinite(w) else int(x) * SCALE for x, w in zip(raw.ravel(), whole.ravel())],
+                    dtype=object).reshape(raw.shape)
+
+
+def _sortable(n: int) -> str:
+    """A text that sorts like the integer."""
+    digits = str(abs(n))
+    if n >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99999 - len(digits):05d}" + "".join(chr(105 - ord(c)) for c in digits)
+
+
+def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, key) of the ``k`` best of every query among the candidates, both (id, raw), exactly, block by
+    block; ``key`` sorts like the true score."""
+    sizes = [max(1, math.ceil(df.count() / n)) for df, n in ((queries, 128), (candidates, 1024))]
+    asked = queries.groupBy(F.size("raw").alias("dim"), F.pmod(F.xxhash64("id", "raw"), F.lit(sizes[0])).alias("q")).agg(
+        F.collect_list(F.struct("id", "raw")).alias("asked"))
+    asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[1] - 1).cast("long"))))
+    held = candidates.groupBy(F.size("raw").alias("dim"), F.pmod(F.xxhash64("id", "raw"), F.lit(sizes[1])).alias("c")).agg(
+        F.collect_list(F.struct("id", "raw")).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, held in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                a, b = (_integers(np.array([r["raw"] for r in rows], float).reshape(len(rows), -1)) for rows in (asked, held))
+                rows = []
+                for query, vector in zip(asked, a):
+                    scores = (b * vector).sum(axis=1).tolist() if b.shape[1] else [0] * len(held)
+                    best = sorted((-s, r["id"]) for s, r in zip(scores, held) if r["id"] != query["id"])[:k]
+                    rows += [(query["id"], i, max(-1 << 63, min((1 << 63) - 1, -s)), _sortable(-s)) for s, i in best]
+                if rows:
+                    q, i, s, key = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s, pa.int64()), pa.array(key)],
+                                                     names=["query_id", "id", "score", "key"])
+    return asked.join(held, ["dim", "c"]).select("asked", "held").mapInArrow(
+        run, "query_id long, id long, score long, key string")
+
+
+def search_all(rows: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score): the ``k`` highest inner products of every row that meets ``queries`` (a condition on
+    ``id``), among all rows of other ids. Repeated rows are rows of their own."""
+    short = scaled(rows, id, vector)
+    found = every_row(search(short.filter(queries), short, k), short.filter(queries), short, k)
+    every = kept(rows, id, vector).withColumn("long", F.col("norm") >= LONGEST * 0.99)
+    if every.filter("long").isEmpty():
+        return found
+    every = written(every.select("id", "raw", "long"), "vectors")
+    long, ask = every.filter("long"), every.filter(queries)
+    more = _meet(ask.filter("long"), every, k).unionByName(_meet(ask.filter("NOT long"), long, k))
+    # products of short vectors fit a long, and so does their key
+    text = F.abs("score").cast("string")
+    key = F.when(F.col("score") >= 0, F.concat(F.lit("1"), F.lpad(F.length(text).cast("string"), 5, "0"), text)).otherwise(
+        F.concat(F.lit("0"), (99999 - F.length(text)).cast("string"), F.translate(text, "0123456789", "9876543210")))
+    both = found.select("query_id", "id", "score", key.alias("key")).unionByName(more)
+    best = Window.partitionBy("query_id").orderBy(F.desc("key"), "id")
+    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "id", "score")

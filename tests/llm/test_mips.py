@@ -1,6 +1,11 @@
+import math
+from collections import Counter
+from fractions import Fraction
+
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.llm import mips, queries
 
@@ -59,3 +64,27 @@ def test_repeated_rows_are_ranked_as_the_sql_does(spark, tmp_path):
     engine.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     told = [tuple(r) for r in queries.op5_top_k(spark, str(tmp_path)).collect()]
     assert sorted(told) == sorted(engine.execute(queries.SQL["op5_top_k"]).fetchall())
+
+
+def test_vectors_of_any_finite_length(spark):
+    """Long vectors are queries and candidates like all others; ranks follow true products, of repeated rows too."""
+    rand = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rand.normal(size=4) * 10.0 ** int(rand.choice([0, 0, 0, 4, 7, 12, 150, 305]))]) for i in range(160)]
+    rows += [(500, [3e6] * 4), (500, [3e6] * 4), (501, [-3e6] * 4), (502, [float("nan")] * 4), (503, [0.0] * 4), (520, [1.7e308] * 4),
+             (504, [3e6, 1.0]), (540, [2.0, 2.0]), (None, [1.0] * 4), (505, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score").repartition(3)
+    exact = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if i is not None and not any(x != x for x in v)]
+    top = (1 << 63) - 1
+    want = []
+    for q, v in exact:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in exact if c != q and len(v) == len(w))[:5]
+            want += [(q, c, max(-top - 1, min(top, -s)), s) for s, c in best]
+    got = mips.search_all(df, F.col("id") % 20 == 0, 5)
+    told = [tuple(r)[:1] + tuple(r)[2:] for r in got.collect()]
+    queries = {q: n for q, n in Counter(q for q, _ in exact if q % 20 == 0).items()}
+    single = [w[:3] for w in want if queries[w[0]] == 1]
+    assert Counter(t for t in told if queries[t[0]] == 1) == Counter(single)
+    # two rows of one query id are ranked together
+    assert [r[1:] for r in sorted(tuple(r) for r in got.collect() if r.query_id == 500)] == [
+        (i + 1, w[1], w[2]) for i, w in enumerate(sorted((w for w in want if w[0] == 500), key=lambda w: (w[3], w[1]))[:5])]

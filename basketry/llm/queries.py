@@ -191,7 +191,79 @@ def damaged(rows: DataFrame) -> DataFrame:
         F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("_")).drop("_")
 
 
-@query()
+def _repair_sql() -> str:
+    """The cheapest edits row by row, without runs: per state a text of 12 digits of cost, the audit, a mark, and the
+    repaired rows. The least of such texts is the cheapest, and of equal costs that of the least audit."""
+    mark = "chr(31)"
+
+    def add(v: str, cost: str, edit: str, line: str | None = None) -> str:
+        at = f"strpos({v}, {mark})"
+        told = (f"lpad(CAST(CAST(left({v}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({v}, 13, {at} - 13) || "
+                f"'{edit}' || substr({v}, {at})")
+        return f"({told})" if line is None else f"({told} || CASE WHEN {at} < length({v}) THEN chr(10) ELSE '' END || {line})"
+
+    def edited(v: str, keeps: str, new: str) -> str:
+        kept = f"CASE WHEN NOT gone AND initial = '{keeps}' THEN {add(v, 'late', 'K', "role || ':' || text")} END"
+        given = f"CASE WHEN NOT gone THEN {add(v, '2 + late', 'R', f"'{new}:' || text")} END"
+        return f"{kept}, {given}"
+    to_user = ", ".join(edited(f"w{i}", "u", "user") for i in (0, 1, 3))
+    blanks = " || ".join(f"chr({i})" for i in (32, 9, 10, 11, 12, 13))
+    return rf"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM bits WHERE k < 8),
+codes AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT))),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]))) % 20 AS kind FROM keyed, codes),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, {blanks}) AS body FROM damaged),
+told AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS initial FROM placed),
+marked AS MATERIALIZED (
+  SELECT *, blank OR duplicate AS gone, NOT (blank OR duplicate) AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+    CAST(right(body, 1) NOT IN ('.', '!', '?') AS INTEGER) AS late,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM told),
+sizes AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000000' || {mark} AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2,
+    CAST(NULL AS VARCHAR) AS v3 FROM sizes
+  UNION ALL
+  SELECT conv_id, i, {add('w0', '3', 'D')},
+    least({add('w1', '3', 'D')}, CASE WHEN NOT gone AND initial = 's' THEN {add('w0', 'late', 'K', "role || ':' || text")} END),
+    least({add('w2', '3', 'D')}, {to_user}),
+    least({add('w3', '3', 'D')}, {edited('w2', 'a', 'assistant')})
+  FROM (
+    SELECT *, least(v3, {add('w2', '2', 'I', "'assistant:'")}) AS w3 FROM (
+      SELECT m.*, v0 AS w0, v1 AS w1, v3, least(v2, {add('v0', '2', 'I', "'user:'")}, {add('v1', '2', 'I', "'user:'")},
+        {add('v3', '2', 'I', "'user:'")}) AS w2
+      FROM steps s JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.i = s.i + 1))),
+ended AS (
+  SELECT conv_id, least(v0, v3, {add('w2', '2', 'I', "'assistant:'")}) AS v FROM (
+    SELECT s.conv_id, v0, v3, least(v2, {add('v1', '2', 'I', "'user:'")}) AS w2
+    FROM steps s JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.n = s.i))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(v, 12) AS BIGINT), 0) AS cost,
+  coalesce(substr(v, 13, strpos(v, {mark}) - 13), '') AS audit,
+  sha256(coalesce(substr(v, strpos(v, {mark}) + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query(_repair_sql())
 def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, damaged and then repaired."""
     given = read_table(spark, folder, "conversations")

@@ -212,6 +212,16 @@ def catalog_files_combined(t: Tables) -> DataFrame:
                         F.size("valid_image_urls").alias("image_count"))
 
 
+@query("S2 S1 U1", """
+SELECT p_type || '_' || (row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_brand, p_retailprice) - 1) AS item_id,
+       p_name AS title, p_type AS category, p_brand AS brand, p_retailprice AS price FROM part""")
+def catalog_files_without_ids(t: Tables) -> DataFrame:
+    """Files that have no id of their own: items are numbered within their category, in the order of their columns."""
+    rows = t.catalog().select("title", "brand", "price", "category")
+    products = catalog_files.load_products(t.spark, _category_paths(t, "products", rows, {}))
+    return products.select("item_id", "title", "category", "brand", "price")
+
+
 @query("S4 U1", f"""
 WITH {INTERACTIONS}
 SELECT category, item_id AS asin, count(*) AS reviews, round(avg(rating), 6) AS overall

@@ -152,18 +152,24 @@ def test_results(t: Tables) -> DataFrame:
         moment("2024-02-01 00:00:00"))
 
 
-@query("B3 B4 B5", f"""
-WITH {RECORDED},
+SIGNIFICANCE = f"""
 stats AS (
   SELECT *, (x1 + x2) / (n1 + n2) AS pooled,
          ((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2) AS v, n1 + n2 - 2 AS df FROM wide),
 tested AS (
-  SELECT test_id, metric, m2 - m1 AS d,
+  SELECT *, m2 - m1 AS d, metric IN ('ctr', 'conversion_rate') AS proportion,
     CASE WHEN metric IN ('ctr', 'conversion_rate') THEN (m2 - m1) / sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
          ELSE (m2 - m1) / sqrt(v * (1 / n1 + 1 / n2)) END AS statistic,
     CASE WHEN metric IN ('ctr', 'conversion_rate') THEN {Z95}
          ELSE {Z95} + ({Z95} ** 3 + {Z95}) / (4 * df) + (5 * {Z95} ** 5 + 16 * {Z95} ** 3 + 3 * {Z95}) / (96 * df * df)
-    END AS critical FROM stats)
+    END AS critical,
+    CASE WHEN metric IN ('ctr', 'conversion_rate') THEN sqrt(m1 * (1 - m1) / n1 + m2 * (1 - m2) / n2)
+         ELSE sqrt(s1 * s1 / n1 + s2 * s2 / n2) END AS unpooled_error,
+    CASE WHEN m1 <> 0 THEN (m2 - m1) / m1 ELSE 0 END AS lift FROM stats)"""
+
+
+@query("B3 B4 B5", f"""
+WITH {RECORDED}, {SIGNIFICANCE}
 SELECT test_id, metric, coalesce(abs(statistic) > critical, FALSE) AS significant, d > 0 AS test_is_higher FROM tested""")
 def ab_significance(t: Tables) -> DataFrame:
     """Significance at 95 %, which in SQL is the statistic against a critical value."""
@@ -171,6 +177,48 @@ def ab_significance(t: Tables) -> DataFrame:
         "test_id", "metric", "significant", (F.col("difference") > 0).alias("test_is_higher"))
 
 
+@query("B3 B4", f"""
+WITH {RECORDED}, {SIGNIFICANCE}
+SELECT test_id, metric, CASE WHEN proportion THEN 'proportion' ELSE 'continuous' END AS kind, n1 AS n_control, n2 AS n_test,
+       round(m1, 6) AS control_value, round(m2, 6) AS test_value, round(d, 6) AS difference,
+       round(statistic, 6) AS test_statistic, round(d - critical * unpooled_error, 2) AS ci_lower,
+       round(d + critical * unpooled_error, 2) AS ci_upper, round(lift, 6) AS relative_improvement,
+       coalesce(abs(statistic) > critical, FALSE) AS significant, TRUE AS p_value_agrees
+FROM tested""")
+def ab_metric_table(t: Tables) -> DataFrame:
+    """Everything the analysis says of each metric; the p value is held against the statistic."""
+    rows = metric_results(t)
+    agrees = (F.col("p_value") < 0.05) == F.col("significant")
+    return rounded(rows.withColumn("p_value_agrees", agrees & F.col("p_value").between(0, 1)).drop("p_value"),
+                   ci_lower=2, ci_upper=2)
+
+
+@query("B5 B9", f"""
+WITH {RECORDED}, {SIGNIFICANCE},
+sized AS (
+  SELECT test_id, count(CASE WHEN grp = 'control' THEN 1 END) AS sample_size_control,
+         count(CASE WHEN grp = 'test' THEN 1 END) AS sample_size_test FROM assigned GROUP BY 1),
+planned(test_id, head, minimum) AS (VALUES {", ".join(f"('{c.test_id}', '{c.metrics[0]}', {c.minimum_sample_size})" for c in TESTS)}),
+judged AS (
+  SELECT p.test_id, s.sample_size_control, s.sample_size_test, minimum,
+         (SELECT coalesce(bool_or(abs(statistic) > critical), FALSE) FROM tested x WHERE x.test_id = p.test_id) AS significant,
+         (SELECT lift FROM tested x WHERE x.test_id = p.test_id AND x.metric = p.head) AS effect
+  FROM planned p JOIN sized s USING (test_id) WHERE sample_size_control > 0 AND sample_size_test > 0)
+SELECT test_id, significant AS statistical_significance, round(coalesce(effect, 0), 6) AS effect_size,
+       sample_size_control, sample_size_test, minimum AS minimum_sample_size,
+       CASE WHEN significant AND effect > 0 THEN '{abtest.VERDICT_BETTER}' WHEN significant AND effect < 0 THEN '{abtest.VERDICT_WORSE}'
+            ELSE '{abtest.VERDICT_NONE}' END AS recommendation,
+       CASE WHEN significant AND effect > 0 THEN '{abtest.ADVICE_BETTER}' WHEN significant THEN '{abtest.ADVICE_WORSE}'
+            ELSE '{abtest.ADVICE_NONE}; ' || CASE WHEN sample_size_control + sample_size_test >= minimum
+              THEN '{abtest.ADVICE_ENOUGH}' ELSE '{abtest.ADVICE_SMALL}' END END AS recommendations
+FROM judged""")
+def ab_report_texts(t: Tables) -> DataFrame:
+    """Verdict and advice of every test."""
+    return rounded(abtest.report_recommendations(test_results(t)).select(
+        "test_id", "statistical_significance", "effect_size", "sample_size_control", "sample_size_test",
+        "minimum_sample_size", "recommendation", F.array_join("recommendations", "; ").alias("recommendations")))
+
+
 @query("S10", f"""
 WITH {RECORDED} SELECT DISTINCT test_id, TRUE AS same FROM assigned""")
 def ab_export_round_trip(t: Tables) -> DataFrame:
@@ -233,6 +281,26 @@ def ab_sample_sizes(t: Tables) -> DataFrame:
         "day", "baseline_rate", F.col("sample_size").cast("bigint").alias("sample_size")))
 
 
+# Effects, and rows per group that a two-sided t test at 0.05 needs to show them with a power of 0.8: fixed values.
+SIZES_OF_MEANS = {"view": (0.1, 1571), "click": (0.2, 394), "purchase": (0.5, 64), "signup": (0.8, 26), "error": (1.0, 17)}
+
+
+@query("B6", f"""
+SELECT event_type, count(*) AS events, n::BIGINT AS sample_size, count(*) >= 2 * n AS enough FROM events JOIN (VALUES
+  {", ".join(f"('{k}', {n})" for k, (_, n) in SIZES_OF_MEANS.items())}) t(event_type, n) USING (event_type) GROUP BY event_type, n""")
+def ab_sample_sizes_of_means(t: Tables) -> DataFrame:
+    """Sample sizes of continuous metrics, for the effect looked for in each type of event, and whether there are enough."""
+    effect = None
+    for kind, (size, _) in SIZES_OF_MEANS.items():
+        effect = (F.when if effect is None else effect.when)(F.col("event_type") == kind, size)
+    scenarios = t.events().groupBy("event_type").agg(F.count("*").alias("events")).select(
+        "event_type", "events", F.lit("revenue_per_user").alias("metric"), F.lit(None).cast("double").alias("baseline_rate"),
+        effect.alias("expected_improvement"), F.lit(0.95).alias("confidence_level"), F.lit(0.8).alias("power"))
+    found = abtest.required_sample_sizes(scenarios.where("expected_improvement IS NOT NULL"))
+    size = F.col("sample_size").cast("bigint")
+    return found.select("event_type", "events", size.alias("sample_size"), (F.col("events") >= 2 * size).alias("enough"))
+
+
 @query("B7")
 def ab_power(t: Tables) -> DataFrame:
     per_day = t.events().groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("sample_size"))

@@ -11,7 +11,8 @@ from basketry.plans.feature_queries import AS_OF, USER_FEATURES
 from basketry.plans.registry import (
     ENTRIES, HALF, INTERACTIONS, ITEM_STATS, REVIEWED, moment, query, rounded)
 from basketry.session import cut_lineage, scratch_path
-from basketry.sources.profiles import entries_from_profiles, load_saved_profiles, save_profiles
+from basketry.sources.profiles import (
+    entries_from_profiles, load_profile_folders, load_saved_profiles, save_profiles)
 from basketry.sources.tables import Tables
 
 
@@ -119,6 +120,27 @@ def profile_documents(t: Tables) -> DataFrame:
     return loaded.select("user_id", "kind", "item_id", "title", "category")
 
 
+@query("S6 A13", f"""
+WITH {INTERACTIONS}, {ENTRIES},
+listed AS (SELECT DISTINCT user_id, kind, item_id, title, category FROM entries WHERE user_id % 13 <> 4)
+SELECT user_id::VARCHAR AS user_id, count(*) FILTER (kind = 'purchase') AS purchases,
+       count(*) FILTER (kind = 'wishlist') AS wished, count(*) FILTER (kind = 'cart') AS in_cart
+FROM listed GROUP BY 1""")
+def profiles_one_file_each(t: Tables) -> DataFrame:
+    """One file per user; every thirteenth breaks off in the middle, and is passed over."""
+    entry = F.struct(F.col("item_id").cast("string").alias("item_id"), "title", "category")
+    distinct = t.profile_entries().select("user_id", "kind", "item_id", "title", "category").distinct()
+    listed = [F.collect_list(F.when(F.col("kind") == k, entry)).alias(n) for k, n in (
+        ("purchase", "purchase_history"), ("wishlist", "wishlist"), ("cart", "cart"))]
+    text = F.to_json(F.struct("purchase_history", "wishlist", "cart"))
+    whole = F.when(F.col("user_id") % 13 == 4, F.left(text, F.lit(30))).otherwise(text)
+    folder = scratch_path(t.spark, "profiles")
+    distinct.groupBy("user_id").agg(*listed).select("user_id", whole.alias("value")).write.partitionBy("user_id").text(folder)
+    return load_profile_folders(t.spark, folder).select(
+        "user_id", *[F.size(c).cast("long").alias(n) for c, n in (
+            ("purchase_history", "purchases"), ("wishlist", "wished"), ("cart", "in_cart"))])
+
+
 def stated_preferences(t: Tables) -> DataFrame:
     """Preferences by customer: some name categories, brands or prices, some not.
 

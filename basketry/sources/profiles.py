@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry import schemas
 
@@ -24,6 +25,13 @@ def load_profiles(spark: SparkSession, folder: str, user: str | None = None) ->
     return rows.select(decoded.alias("user_id"), *_with_defaults())
 
 
+def load_profile_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for one folder ``user_id=...`` per user with one document in it, as a partitioned write leaves them."""
+    rows = (spark.read.schema(StructType([*schemas.PROFILE.fields, StructField("user_id", StringType())]))
+            .option("multiLine", True).option("mode", "DROPMALFORMED").json(folder))
+    return rows.select("user_id", *_with_defaults())
+
+
 def _with_defaults() -> list:
     empty = F.array().cast(schemas.PROFILE["wishlist"].dataType)
     lists = [F.coalesce(c, empty).alias(c) for c in ("wishlist", "purchase_history", "cart")]

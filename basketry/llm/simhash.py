@@ -260,11 +260,15 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     """``id``, ``keep``, ``fingerprint``, ``root`` and ``component_id`` for every row:
     the smallest id that can be reached by steps of at most ``k`` bits."""
     rows = written(fingerprints(documents, id, text, shingle, keep), "fingerprints")
-    found = components(links(rows.select("fingerprint").distinct(), k, crowd))
-    rooted = rows.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
+    # everything up to the last join is by distinct fingerprint, so copies count once
+    prints = written(rows.groupBy("fingerprint").agg(F.min(id).alias("least")), "prints")
+    found = components(links(prints.select("fingerprint"), k, crowd))
+    rooted = prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min(id).alias("component_id"))
-    return rooted.join(least, "root")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "named")
+    # nothing later relies on how this join deals its rows, so a large group of copies is split at run time
+    return rows.join(named, "fingerprint")
 
 
 def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,

@@ -18,6 +18,8 @@ TTL_SECONDS = {
     "ab_test": 86400,
 }
 
+LATEST_BUCKETS = 64  # folders of a latest table
+
 
 def still_valid(rows: DataFrame, as_of: Column) -> DataFrame:
     """Rows younger than their own time to live; one exactly at it has expired."""
@@ -119,14 +121,17 @@ def ingest_features(
     """Append feature rows to the history by day and refresh the latest rows.
 
     The latest rows come from the previous latest rows and the new ones; the
-    history, which only grows, is not read again.
+    history, which only grows, is not read again, and of the latest rows only buckets
+    that new rows fall into are read and written.
     """
     fresh = cut_lineage(rows)
     store.append(f"{view}_history", fresh.withColumn("event_date", F.to_date("event_timestamp")),
                  "event_date")
+    bucket = F.pmod(F.xxhash64(key), F.lit(LATEST_BUCKETS))
+    touched = [r[0] for r in fresh.select(bucket).distinct().collect()]  # a number per bucket at most
     known = store.read_if_present(f"{view}_latest")
-    candidates = fresh if known is None else fresh.unionByName(known.drop("bucket"))
-    bucket = F.pmod(F.xxhash64(key), F.lit(64))
+    candidates = fresh if known is None else fresh.unionByName(
+        known.where(F.col("bucket").isin(touched)).drop("bucket"))
     merged = cut_lineage(latest_features(candidates, key).withColumn("bucket", bucket))
     store.write(f"{view}_latest", merged, "bucket")
     return store.read(f"{view}_latest").drop("bucket")

@@ -166,3 +166,16 @@ def test_scratch_follows_the_named_folder(spark):
 
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert moment("2024-01-01 00:00:00") is not None
+
+
+def test_ingest_rewrites_touched_buckets_only(spark, tmp_path):
+    schema = "user_id int, event_timestamp timestamp_ntz, created_timestamp timestamp_ntz, x double"
+    start = datetime(2024, 1, 1)
+    store = results.ResultStore(spark, str(tmp_path))
+    many = spark.createDataFrame([(u, start, start, float(u)) for u in range(200)], schema)
+    results.ingest_features(store, "users", "user_id", many)
+    files = {p for p in tmp_path.glob("users_latest/bucket=*/*.parquet")}
+    later = start + timedelta(days=1)
+    latest = results.ingest_features(store, "users", "user_id", spark.createDataFrame([(7, later, later, -1.0)], schema))
+    assert len(files - {p for p in tmp_path.glob("users_latest/bucket=*/*.parquet")}) == 1
+    assert {(r.user_id, r.x) for r in latest.collect()} == {(u, -1.0 if u == 7 else float(u)) for u in range(200)}

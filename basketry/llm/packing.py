@@ -34,27 +34,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm import tokens
 from basketry.llm.common import text_or_empty, written
+from basketry.llm.tokens import bytes_of_id, encoder
 
 LENGTH = 4096
 GROUP = 20_000
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 1 << 24
 GIVEN = 256  # sequences given out at once
 
 
 def pieces(documents: DataFrame, path: str, end: int, length: int = LENGTH, id: str = "doc_id",
            text: str = "text") -> DataFrame:
     """doc_id, piece (from 0), start (its document's ids before it), length, place (running, in the input's
-    partition) and ids (binary, of the width that ``tokens.bytes_of_id`` names). Only documents of more than
+    partition) and ids (binary, of the width that ``bytes_of_id`` names). Only documents of more than
     ``length`` ids are cut."""
-    kind = f"<u{tokens.bytes_of_id(path)}"
+    kind = f"<u{bytes_of_id(path)}"
     kept = documents.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, place = tokens.encoder(path).encode, TaskContext.get().partitionId() * 7919
+        encode, place = encoder(path).encode, TaskContext.get().partitionId() * 7919
         for batch in batches:
             owner, number, starts, lengths, ids = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -166,7 +166,7 @@ def pack_documents(documents: DataFrame, path: str, end: int, length: int = LENG
     of (offset, doc_id, piece, start, length) in the order of offsets. ``most`` documents and ``cost`` as in ``pack``."""
     rows, size = documents.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(1, math.ceil(max(rows / group, (size or 0) / GROUP_BYTES)))
-    capacity, width = (length, most or length, cost or length * length), tokens.bytes_of_id(path)
+    capacity, width = (length, most or length, cost or length * length), bytes_of_id(path)
     cut = pieces(documents, path, end, length)
     dealt = cut.withColumn("\tgroup", F.pmod("place", F.lit(groups))).drop("place")
     own = cut.schema["doc_id"].dataType.simpleString()

@@ -112,7 +112,7 @@ def test_sequences_are_written_with_their_ids(spark):
 def test_documents_are_cut_as_the_tokenizer_says(spark):
     """Against ids taken straight from the tokenizer, for ids of other types and names too; no rows give no rows."""
     path = queries.tokenizer_path("word_bpe_49k.json")
-    encode = packing.tokens.encoder(path).tokenizer.encode
+    encode = packing.encoder(path).tokenizer.encode
     rows = [("a", "one two three " * 3000, 1), ("b", None, 2), (None, "", 3), ("c", "short", 4)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, place int")
     want = []

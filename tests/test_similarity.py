@@ -64,3 +64,18 @@ def test_fewer_candidates_than_asked(spark):
     assert lists(found) == {0: [1], 1: [0]}
     empty = similarity.similar_items(frame(spark, [[0, 0]]), 10)
     assert empty.collect() == []
+
+
+def test_visits_go_out_in_small_frames(spark, monkeypatch):
+    """A vector that visits all cells is repeated slice by slice, and large blocks give the same lists as cells."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    monkeypatch.setattr(similarity, "SLICE", 40)
+    cells = {tuple(r) for r in similarity.similar_items(df, 3, block_rows=8, cells_per_root=1.0).collect()}
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 1)
+    blocks = {tuple(r) for r in similarity.similar_items(df, 3, block_rows=8, cells_per_root=1.0).collect()}
+    v = np.array([x for _, x in rows]); v /= np.linalg.norm(v, axis=1)[:, None]
+    scores = np.round(v @ v.T, 9); np.fill_diagonal(scores, -2)
+    true = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), -scores[i]))[:3]}
+    assert {r[:2] for r in cells} == {r[:2] for r in blocks} == true

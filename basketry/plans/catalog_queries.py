@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from basketry.operators import catalog, ranking
 from basketry.operators.profiles import target_categories
@@ -180,9 +181,15 @@ def _category_paths(t: Tables, kind: str, rows: DataFrame, rename: dict) -> list
     Every file gets its own spelling of the columns, as the sources have.
     """
     folder = scratch_path(t.spark, kind)
+    # worked out once, not once per category; a hash, because folder names cannot tell an empty category from null
+    share = F.pmod(F.xxhash64("category"), F.lit(1024)).cast("int")
+    rows.withColumn("_share", share).write.partitionBy("_share").parquet(f"{folder}/all")
+    schema = StructType([*rows.schema.fields, StructField("_share", IntegerType())])
+    stored = t.spark.read.schema(schema).parquet(f"{folder}/all")
     paths = []
     for (category,) in t.catalog().select("category").distinct().orderBy("category").collect():
-        part = rows.where(F.col("category") == category).drop("category")
+        mine = F.pmod(F.xxhash64(F.lit(category).cast("string")), F.lit(1024)).cast("int")
+        part = stored.where((F.col("_share") == mine) & (F.col("category") == category)).drop("category", "_share")
         for old, new in rename.get(category, {}).items():
             part = part.drop(old) if new is None else part.withColumnRenamed(old, new)
         paths.append(f"{folder}/{kind}_{category}_cleaned.parquet")

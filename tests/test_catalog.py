@@ -1,10 +1,12 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions import scalars
 from basketry.operators import catalog, coldstart, ids, profiles, ranking
+from basketry.plans import catalog_queries
 from basketry.sources import catalog_files, checks
 from basketry.sources import profiles as profile_files
 
@@ -231,3 +233,18 @@ def test_plus_in_file_names(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{no json")
     got = sorted(r.user_id for r in profile_files.load_profiles(spark, str(tmp_path)).collect())
     assert len(got) == len(set(got)) == 3
+
+
+def test_category_files_are_made_of_rows_worked_out_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def category(n):
+        worked.add(1)
+        return ["A", "B", "", None][n % 4]
+    rows = spark.range(40).select(F.col("id").alias("asin"), category("id").alias("category"))
+    shelf = spark.createDataFrame([("A",), ("B",), ("",), ("C",)], "category string")
+    paths = catalog_queries._category_paths(SimpleNamespace(spark=spark, catalog=lambda: shelf), "reviews", rows, {"B": {"asin": "item_id"}})
+    assert worked.value == 40
+    assert [spark.read.parquet(p).count() for p in paths[:4]] == [10, 10, 10, 0]
+    assert spark.read.parquet(paths[2]).columns == ["item_id"]

@@ -18,9 +18,13 @@ RATING_SHARE, CATEGORY_BONUS, BRAND_BONUS, TOP_SCORE = 0.5, 0.3, 0.2, 5.0
 def cold_start_score(rating: Column, category: Column, brand: Column,
                      categories: Column, brands: Column) -> Column:
     """Half the rating plus a bonus per matched preference, at most 5."""
+    return _score(rating, F.array_contains(categories, category), F.array_contains(brands, brand))
+
+
+def _score(rating: Column, category_fits: Column, brand_fits: Column) -> Column:
     score = (F.coalesce(rating, F.lit(0.0)) * RATING_SHARE
-             + F.when(F.array_contains(categories, category), CATEGORY_BONUS).otherwise(0.0)
-             + F.when(F.array_contains(brands, brand), BRAND_BONUS).otherwise(0.0))
+             + F.when(category_fits, CATEGORY_BONUS).otherwise(0.0)
+             + F.when(brand_fits, BRAND_BONUS).otherwise(0.0))
     return F.least(score, F.lit(TOP_SCORE))
 
 
@@ -38,8 +42,13 @@ def cold_start_recommendations(
     ``n`` items per category and brand. A price range is made of a few whole
     nodes plus the bands at its two ends, where every item is checked. So each
     profile meets at most ``n`` items per node, and the result is still exact.
+
+    A shelf is a category and a brand that items have, either of which may be any.
+    Whole nodes are met once for all profiles that ask for the same bands of a
+    shelf, and rows bear the shelf's number, not the preferences: an item of a
+    shelf fits every preference the shelf stands for.
     """
-    # read three times below, and often the result of a long aggregation
+    # read several times below, and often the result of a long aggregation
     priced = cut_lineage(catalog.where(F.col("price").isNotNull()).select(
         "item_id", "category", "brand", F.col("price").cast("double").alias("price"),
         "rating", "review_count"))
@@ -50,33 +59,43 @@ def cold_start_recommendations(
     banded = bands.number(spread(priced, "item_id"), "price", "band")
     keyed = banded.withColumn("category_key", F.explode(_key_options("category"))).withColumn(
         "brand_key", F.explode(_key_options("brand")))
-    # whole nodes: the best n of each (level, node, category, brand)
-    nodes = keyed.select("*", F.posexplode(F.expr(
+    keys = ["category_key", "brand_key"]
+    shelves = cut_lineage(priced.select(
+        F.explode(_key_options("category")).alias("category_key"), "brand").select(
+        "category_key", F.explode(_key_options("brand")).alias("brand_key")).distinct().withColumn(
+        "shelf", F.monotonically_increasing_id()), "shelves")
+    item = ["item_id", "rating", "review_count"]
+    stock = keyed.join(shelves, keys).select("shelf", "band", "price", *item)
+    # whole nodes: the best n of each (shelf, level, node)
+    nodes = stock.select("shelf", *item, F.posexplode(F.expr(
         f"transform(sequence(0, {levels}), l -> shiftright(band, l))")).alias("level", "node"))
-    node_best = top_n_per_group(
-        nodes, ["level", "node", "category_key", "brand_key"], order, n, "_r").drop("_r", "band")
-    # gaps between edges: all items, level -1, for the ends of a range
-    gaps = keyed.where(F.col("band") % 2 == 0).withColumn(
-        "level", F.lit(-1)).withColumnRenamed("band", "node")
-    supply = node_best.unionByName(gaps.select(node_best.columns))
+    node_best = top_n_per_group(nodes, ["shelf", "level", "node"], order, n, "_r").drop("_r")
+    # gaps between edges: all items, for the ends of a range
+    gaps = stock.where(F.col("band") % 2 == 0).withColumnRenamed("band", "_gap")
 
     low = F.coalesce(F.col("min_price").cast("double"), F.lit(float("-inf")))
     high = F.coalesce(F.col("max_price").cast("double"), F.lit(float("inf")))
-    asked = profiles.select(
+    ranged = profiles.select(
         "user_id", "categories", "brands", low.alias("_low"), high.alias("_high"),
     ).where("_low <= _high")
-    asked = bands.number(bands.number(asked, "_low", "_a"), "_high", "_b")
-    wanted = (asked.withColumn("_piece", F.explode(F.expr(_RANGE_PIECES.format(levels=levels))))
-              .withColumn("_category", F.explode(_wanted("categories")))
-              .withColumn("_brand", F.explode(_wanted("brands"))))
-    met = wanted.join(
-        supply,
-        (F.col("_piece.level") == F.col("level")) & (F.col("_piece.node") == F.col("node"))
-        & (F.col("_category") == F.col("category_key")) & (F.col("_brand") == F.col("brand_key"))
-        & F.col("price").between(F.col("_low"), F.col("_high")))
-    best = top_n_per_group(met, ["user_id"], order, n)
-    score = cold_start_score(
-        F.col("rating"), F.col("category"), F.col("brand"), F.col("categories"), F.col("brands"))
+    ranged = bands.number(bands.number(ranged, "_low", "_a"), "_high", "_b")
+    asked = cut_lineage(ranged.withColumn("category_key", F.explode(_wanted("categories"))).withColumn(
+        "brand_key", F.explode(_wanted("brands"))).join(shelves, keys).select(
+        "user_id", (F.col("category_key") != ANY).alias("_category_fits"), (F.col("brand_key") != ANY).alias("_brand_fits"),
+        "shelf", "_a", "_b", "_low", "_high"), "asked")
+    own = ["user_id", "_category_fits", "_brand_fits", *item]
+
+    spans = ["shelf", "_a", "_b"]
+    inside = asked.select(*spans).distinct().select(
+        *spans, F.inline(F.expr(_RANGE_NODES.format(levels=levels)))).join(node_best, ["shelf", "level", "node"])
+    lists = top_n_per_group(inside, spans, order, n, "_r").groupBy(*spans).agg(
+        F.collect_list(F.struct(*item)).alias("_best"))
+    of_nodes = asked.join(lists, spans).select(*own[:3], F.inline("_best"))
+    ends = asked.withColumn("_gap", F.explode(F.filter(F.array_distinct(F.array("_a", "_b")), lambda x: x % 2 == 0)))
+    of_gaps = ends.join(gaps, ["shelf", "_gap"]).where(F.col("price").between(F.col("_low"), F.col("_high"))).select(*own)
+
+    best = top_n_per_group(of_nodes.unionByName(of_gaps), ["user_id"], order, n)
+    score = _score(F.col("rating"), F.col("_category_fits"), F.col("_brand_fits"))
     return best.select("user_id", "item_id", "rating", "review_count", score.alias("score"), "rank")
 
 
@@ -99,15 +118,12 @@ def recommend_new_users(
             .unionByName(general.withColumn("source", F.lit("popular"))))
 
 
-# The pieces of a price range whose ends lie in bands _a and _b. An odd band is
+# The nodes of a price range whose ends lie in bands _a and _b. An odd band is
 # one price, so it is inside as a whole; an even band at an end is checked item
-# by item (level -1). The whole bands between are covered by the fewest nodes:
+# by item instead. The whole bands between are covered by the fewest nodes:
 # per level, the first and the last node inside whose parent is not inside.
-_RANGE_PIECES = """
-concat(
-  transform(filter(array_distinct(array(_a, _b)), x -> x % 2 = 0),
-            x -> named_struct('level', -1, 'node', x)),
-  flatten(transform(sequence(0, {levels}), l -> transform(
+_RANGE_NODES = """
+flatten(transform(sequence(0, {levels}), l -> transform(
     filter(
       array_distinct(array(
         shiftright(_a + 1 - _a % 2 + shiftleft(1, l) - 1, l),
@@ -116,7 +132,7 @@ concat(
            AND shiftleft(j + 1, l) <= _b + _b % 2
            AND NOT (shiftleft(shiftright(j, 1), l + 1) >= _a + 1 - _a % 2
                     AND shiftleft(shiftright(j, 1) + 1, l + 1) <= _b + _b % 2)),
-    j -> named_struct('level', l, 'node', j)))))
+    j -> named_struct('level', l, 'node', j))))
 """
 
 

@@ -216,6 +216,28 @@ def test_cold_start_against_brute_force(spark):
             assert got.get(user, []) == expected, user
 
 
+def test_cold_start_rows_bear_no_preferences(spark):
+    """Profiles with the same bands of a shelf meet its nodes once, and no row carries the lists of its profile; equal user ids share a list."""
+    catalog = spark.createDataFrame(
+        [(i, f"c{i % 2}", f"b{i % 3}", float(i % 50), float(i % 7), i) for i in range(300)],
+        "item_id long, category string, brand string, price double, rating double, review_count long")
+    rows = [(u, ["c0", "nowhere"], ["b1", "b2"], 5.0, 40.0) for u in range(30)] + [(1, [], None, None, 3.0), (None, ["c1"], [], 9.0, 9.0)]
+    asked = spark.createDataFrame(
+        rows, "user_id long, categories array<string>, brands array<string>, min_price double, max_price double")
+    found = coldstart.cold_start_recommendations(asked, catalog, 4, price_edges=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "categories" not in plan and "brands" not in plan
+    items, expected = catalog.collect(), {}
+    for user, categories, brands, low, high in rows:
+        for r in items:
+            if ((not categories or r.category in categories) and (not brands or r.brand in brands)
+                    and (low is None or r.price >= low) and (high is None or r.price <= high)):
+                score = r.rating * 0.5 + (0.3 if r.category in categories else 0.0) + (0.2 if r.brand in (brands or []) else 0.0)
+                expected.setdefault(user, []).append((-r.rating, -r.review_count, r.item_id, min(score, 5.0)))
+    told = sorted((str(r.user_id), r["rank"], r.item_id, r.score) for r in found.collect())
+    assert told == sorted((str(u), k + 1, x[2], x[3]) for u, xs in expected.items() for k, x in enumerate(sorted(xs)[:4]))
+
+
 def test_image_lists_with_apostrophes(spark):
     from basketry.functions.scalars import parse_image_list
 

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ from basketry.session import cut_lineage, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 9  # scores this close count as equal, and the lower id goes first
-SLICE = 1 << 22  # scores, or components of visiting vectors, that a task holds at a time
+SLICE = 1 << 20  # scores, or components of visiting vectors, that a task holds at a time
 BLOCK_BYTES = 48 << 20  # of the vectors of a block in double precision, where all blocks meet
+TILE = (256, 4096)  # rows and columns of products worked out at a time, so that they stay in a core's cache
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -100,11 +103,11 @@ def highest_products(asked: DataFrame, offered: DataFrame, k: int, widen=None, b
     right = spread_out(offered, "cid", "cb", "qb", blocks["held"], blocks["asked"])
     to_left, to_right = widen or (None, None)
 
-    def best_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
         return _best_products(left, right, k, to_left, to_right)
 
     schema = f"{_fields(left, ['qid'])}, {_fields(right, ['cid'])}, score double"
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best_in_block, schema)
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(best_in_block, schema)
     return top_n_per_group(found, ["qid"], [F.desc("score"), F.asc("cid")], k).select(
         F.col("qid").alias("source_id"), F.col("cid").alias("neighbor_id"), "score", "rank")
 
@@ -302,53 +305,85 @@ def _compare(visits: DataFrame, asked: DataFrame, placed: DataFrame, want: int,
     right = spread(placed, "cid").where(plan["asked"] > 0).select("cell", held_block.alias("cb"), F.explode(
         F.sequence(F.lit(0), plan["asked"] - 1)).alias("qb"), "cid", "vector")
 
-    def best_in_block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def best_in_block(asked: pa.Table, held: pa.Table) -> pa.Table:
         return _best_products(asked, held, want)
 
     keys = ["cell", "cb", "qb"]
     schema = f"{_fields(visits, ['qid'])}, {_fields(placed, ['cid'])}, score double"
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best_in_block, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_in_block, schema)
 
 
-def _best_products(asked: pd.DataFrame, held: pd.DataFrame, want: int, to_left=None, to_right=None) -> pd.DataFrame:
+def _components(vectors: pa.ChunkedArray) -> np.ndarray:
+    """One row per vector, in double precision; without an object per vector, and without a copy where they are doubles."""
+    lists = vectors.combine_chunks()
+    if len(pc.unique(pc.list_value_length(lists))) > 1:
+        raise ValueError("vectors of several lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(lists), -1)
+
+
+def _best_products(asked: pa.Table, held: pa.Table, want: int, to_left=None, to_right=None) -> pa.Table:
     """qid, cid and rounded score of the ``want`` best of ``held`` for each of ``asked``, lower cid first."""
-    if len(asked) == 0 or len(held) == 0:
-        return pd.DataFrame({"qid": [], "cid": [], "score": []})
-    held = held.sort_values("cid", kind="stable")
-    others = _Rows(held).full
+    qids, cids = (asked["qid"].combine_chunks(), held["cid"].combine_chunks()) if asked.num_rows and held.num_rows else (None, None)
+    if qids is None:
+        return pa.table({"qid": [], "cid": [], "score": pa.array([], pa.float64())})
+    others = _components(held["vector"])
     others = others if to_right is None else to_right(others)
+    place = np.empty(len(cids), dtype=np.int64)
+    place[pc.sort_indices(cids).to_numpy()] = np.arange(len(cids))
     narrow, parts = others.astype(np.float32), []
-    reach = np.sqrt((others ** 2).sum(1).max())
-    each = max(1, SLICE // len(held))
-    for start in range(0, len(asked), each):
-        some = asked.iloc[start:start + each]
-        rows = _Rows(some).full
+    reach = np.sqrt(np.einsum("ij,ij->i", others, others).max())
+    each = max(1, min(TILE[0], SLICE // TILE[1]))
+    for start in range(0, len(qids), each):
+        rows = _components(asked["vector"].slice(start, each))
         rows = rows if to_left is None else to_left(rows)
-        # single precision tells which products can be among the best; those are taken again in double precision
-        error = 1.2e-7 * (rows.shape[1] + 4) * np.sqrt((rows ** 2).sum(1)) * reach
-        if np.isfinite(error).all() and max(np.abs(rows).max(), reach) < 1e15:
-            scores = rows.astype(np.float32) @ narrow.T
-        else:
-            scores, error = rows @ others.T, np.zeros(len(rows))
-        if len(held) > want:
+        row, column, score = _best_columns(rows, others, narrow, reach, place, want)
+        parts.append((row + start, column, score))
+    row, column, score = (np.concatenate(p) for p in zip(*parts))
+    return pa.table({"qid": qids.take(pa.array(row)), "cid": cids.take(pa.array(column)), "score": score})
+
+
+def _best_columns(rows: np.ndarray, others: np.ndarray, narrow: np.ndarray, reach: float, place: np.ndarray,
+                  want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of each row's ``want`` highest products, the lower ``place`` first among equal ones.
+
+    Single precision tells which products can be among the best; those are taken again in double precision. Columns come
+    tile by tile, and the best so far bound what of the next tile can count.
+    """
+    error = 1.2e-7 * (rows.shape[1] + 4) * np.sqrt((rows ** 2).sum(1)) * reach
+    exact = not (np.isfinite(error).all() and max(np.abs(rows).max(), reach) < 1e15)
+    if exact:
+        error = np.zeros(len(rows))
+    # what rounds to the same score as the last one in still counts
+    slack = 2 * error + 1e-30 + 2 * 10.0 ** -DIGITS
+    single = rows.astype(np.float32) if not exact else None
+    row, column, score = np.empty(0, int), np.empty(0, int), np.empty(0)
+    least = np.full(len(rows), -np.inf)  # the last of the best so far
+    for start in range(0, len(others), max(TILE[1], want)):
+        stop = min(start + max(TILE[1], want), len(others))
+        products = rows @ others[start:stop].T if exact else single @ narrow[start:stop].T
+        if start == 0 and stop > want:
             # the last of the best among some of the columns is no better than that among all
-            sample = scores[:, ::max(1, min(16, len(held) // (4 * want)))]
-            last = np.partition(sample, -want, axis=1)[:, -want].astype(float)
-            # what rounds to the same score as the last one in still counts
-            row, column = np.nonzero(scores >= (last - 2 * error - 1e-30 - 2 * 10.0 ** -DIGITS)[:, None])
-        else:
-            row, column = np.divmod(np.arange(scores.size), len(held))
-        score = np.empty(len(row))
-        for i in range(0, len(row), 1 << 16):
-            r, c = row[i:i + (1 << 16)], column[i:i + (1 << 16)]
-            score[i:i + (1 << 16)] = np.einsum("ij,ij->i", rows[r], others[c])
-        score = np.round(score, DIGITS)
-        order = np.lexsort((column, -score, row))
+            sample = products[:, ::max(1, min(4, stop // (4 * want)))]
+            least = np.partition(sample, -want, axis=1)[:, -want].astype(float)
+        bound = least - slack
+        if not exact:
+            bound = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
+        r, c = np.divmod(np.flatnonzero(products >= bound[:, None]), stop - start)
+        if len(r) == 0:
+            continue
+        c += start
+        taken, step = np.empty(len(r)), max(1, (SLICE >> 2) // rows.shape[1])
+        for i in range(0, len(r), step):
+            taken[i:i + step] = np.einsum("ij,ij->i", rows[r[i:i + step]], others[c[i:i + step]])
+        row, column = np.concatenate([row, r]), np.concatenate([column, c])
+        score = np.concatenate([score, np.round(taken, DIGITS)])
+        order = np.lexsort((place[column], -score, row))
         row, column, score = row[order], column[order], score[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < want
-        parts.append(pd.DataFrame({
-            "qid": some["qid"].to_numpy()[row[keep]], "cid": held["cid"].to_numpy()[column[keep]], "score": score[keep]}))
-    return pd.concat(parts)
+        position = np.arange(len(row)) - np.searchsorted(row, row)
+        least[row[position == want - 1]] = score[position == want - 1]
+        keep = position < want
+        row, column, score = row[keep], column[keep], score[keep]
+    return row, column, score
 
 
 def _fields(df: DataFrame, names: list[str]) -> str:

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketry.operators import similarity
@@ -79,3 +82,25 @@ def test_visits_go_out_in_small_frames(spark, monkeypatch):
     scores = np.round(v @ v.T, 9); np.fill_diagonal(scores, -2)
     true = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), -scores[i]))[:3]}
     assert {r[:2] for r in cells} == {r[:2] for r in blocks} == true
+
+
+def test_a_block_takes_little_beside_its_vectors():
+    """Vectors are read from the batch as they are, without an object each, and products are worked out tile by tile."""
+    rng = np.random.default_rng(4)
+    width, rows = 64, 20_000
+    values = np.round(rng.normal(size=(2, rows, width)), 1)
+    values[1, 5000:9000] = values[1, 5000]  # ties go to the lower id
+
+    def table(name, ids, matrix):
+        offsets = pa.array(np.arange(0, matrix.size + 1, width, dtype="int32"))
+        return pa.table({name: ids, "vector": pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))})
+    cids = rng.permutation(rows)
+    asked, held = table("qid", np.arange(300), values[0, :300]), table("cid", cids, values[1])
+    tracemalloc.start()
+    found = similarity._best_products(asked, held, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * values[1].nbytes + (8 << 20)
+    scores = np.round(values[0, :300] @ values[1].T, 9)
+    expected = [(i, int(cids[j])) for i in range(300) for j in np.lexsort((cids, -scores[i]))[:5]]
+    assert list(zip(found["qid"].to_pylist(), found["cid"].to_pylist())) == expected

@@ -152,3 +152,14 @@ def test_malformed_documents_are_kept_aside(spark):
     assert {r.id for r in bad.collect()} == {2, 6}
     k = {r.id: r.k for r in good.select("id", F.try_variant_get("v", "$.k", "int").alias("k")).collect()}
     assert k == {1: 5, 3: None, 4: None, 5: None}
+
+
+def test_index_lists_items_by_run_before_the_shuffle(spark, tmp_path):
+    """A run has a row per chunk of items, not one per item."""
+    rows = [(i, f"same words {i % 3}", None) for i in range(500)]
+    items = spark.createDataFrame(rows, "item_id int, title string, description string").repartition(2)
+    text_index.build_index(items, "item_id", TEXTS, str(tmp_path), buckets=4)
+    grams = spark.read.parquet(f"{tmp_path}/grams")
+    assert grams.count() <= grams.select("gram").distinct().count() * spark.sparkContext.defaultParallelism
+    found = text_index.search_index(spark, str(tmp_path), "item_id", TEXTS, "words 1", buckets=4)
+    assert sorted(r.item_id for r in found.collect()) == list(range(1, 500, 3))

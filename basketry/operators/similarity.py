@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scalars import cosine, norm
 from basketry.operators.ranking import top_n_per_group
-from basketry.session import cut_lineage, spread
+from basketry.session import cut_lineage, scratch_path, spread
 
 # executors get these functions with the job and need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -82,36 +82,59 @@ def highest_products(asked: DataFrame, offered: DataFrame, k: int, widen=None, b
     """The ``k`` of ``offered`` with the highest dot product for each of ``asked``, all compared: source_id, neighbor_id,
     score, rank. Rows have id (unique) and vector, finite and of one length.
 
-    Blocks of ``BLOCK_BYTES`` of both sides meet in one task each, so a vector is sent once per block of the other side and
-    a task gives ``k`` rows per vector. ``widen`` is a pair of functions that make the vectors to be multiplied of a
-    block's rows, where these are longer than what has to be sent.
+    Each side is packed into rows of ``BLOCK_BYTES`` of vectors, which are written once. Every pair of blocks meets in a
+    cartesian product, which reads both and shuffles neither; a task has a block of the asked and most blocks of the other
+    side, and gives its ``k`` best, so what goes to disk grows with the number of vectors alone. ``widen`` is a pair of
+    functions that make the vectors to be multiplied of a block's rows, where these are longer than what has to be sent.
     """
     first = offered.select(F.size("vector")).first()
     rows = block_rows or max(1024, BLOCK_BYTES // (8 * max(first[0], 1)) if first else 0)
     if widen:  # longer vectors, in both precisions
         rows = max(1024, rows // 4)
     count, tasks = asked.count(), 2 * asked.sparkSession.sparkContext.defaultParallelism
-    blocks = {"held": max(1, -(-offered.count() // rows))}
-    # smaller ones of the asked, where there would be fewer meetings than keep all cores busy
-    blocks["asked"] = max(1, -(-count // rows), min(-(-count // 1024), -(-tasks // blocks["held"])))
-
-    def spread_out(df: DataFrame, name: str, own: str, other: str, number: int, others: int) -> DataFrame:
-        return spread(df, "id").select(
-            F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), F.col("id").alias(name), "vector")
-    left = spread_out(asked, "qid", "qb", "cb", blocks["asked"], blocks["held"])
-    right = spread_out(offered, "cid", "cb", "qb", blocks["held"], blocks["asked"])
+    held = max(1, -(-offered.count() // rows))
+    # smaller ones of the asked, as many as keep all cores busy
+    number = max(1, -(-count // rows), min(-(-count // 1024), tasks))
+    left, right = _packed(asked, "q", number), _packed(offered, "c", held)
     to_left, to_right = widen or (None, None)
 
-    def best_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best_products(left, right, k, to_left, to_right)
-
-    schema = f"{_fields(left, ['qid'])}, {_fields(right, ['cid'])}, score double"
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(best_in_block, schema)
-    return top_n_per_group(found, ["qid"], [F.desc("score"), F.asc("cid")], k).select(
+    def best_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, _Best] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, held = (_Packed.of(batch, name, i) for name in "qc")
+                block = batch["qblock"][i].as_py()
+                found.setdefault(block, _Best(asked.ids, k)).add(asked, held, to_left, to_right)
+        for best in found.values():
+            yield from best.table().to_batches()
+
+    schema = f"{_fields(asked.withColumnRenamed('id', 'qid'), ['qid'])}, {_fields(offered.withColumnRenamed('id', 'cid'), ['cid'])}, score double"
+    met = left.hint("shuffle_replicate_nl").crossJoin(right)
+    # neighbouring partitions have the same block of the asked
+    met = met.coalesce(max(number, min(number * held, tasks)))
+    return top_n_per_group(met.mapInArrow(best_of_blocks, schema), ["qid"], [F.desc("score"), F.asc("cid")], k).select(
         F.col("qid").alias("source_id"), F.col("cid").alias("neighbor_id"), "score", "rank")
 
 
+def _packed(df: DataFrame, side: str, number: int) -> DataFrame:
+    """One row per block of rows: its number, the ids, and the components of all vectors one after the other."""
+    def pack(rows: pa.Table) -> pa.Table:
+        return pa.table({
+            name: values if name == f"{side}block" else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            for name, values in ((f"{side}block", rows["block"].slice(0, 1)), (f"{side}ids", rows["id"].combine_chunks()),
+                                 (f"{side}vectors", _lists(rows["vector"]).flatten()))})
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    schema = (f"{side}block int, {side}ids array<{kinds['id'].simpleString()}>, "
+              f"{side}vectors {kinds['vector'].simpleString()}")
+    blocks = df.select(F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("block"), "id", "vector")
+    path = scratch_path(df.sparkSession, "blocks")
+    # a file each: a writer holds one block at a time
+    packed = blocks.groupBy("block").applyInArrow(pack, schema)
+    packed.write.option("maxRecordsPerFile", 1).parquet(path)
+    return df.sparkSession.read.schema(packed.schema).parquet(path)
+
+
 # --------------------------------------------------------------------------
 # nearest vectors
 
@@ -313,38 +336,89 @@ def _compare(visits: DataFrame, asked: DataFrame, placed: DataFrame, want: int,
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_in_block, schema)
 
 
-def _components(vectors: pa.ChunkedArray) -> np.ndarray:
-    """One row per vector, in double precision; without an object per vector, and without a copy where they are doubles."""
+def _lists(vectors: pa.ChunkedArray) -> pa.Array:
     lists = vectors.combine_chunks()
     if len(pc.unique(pc.list_value_length(lists))) > 1:
         raise ValueError("vectors of several lengths")
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(lists), -1)
+    return lists
 
 
-def _best_products(asked: pa.Table, held: pa.Table, want: int, to_left=None, to_right=None) -> pa.Table:
+@dataclass(frozen=True)
+class _Packed:
+    """Ids and vectors of a block: one row per vector, without an object for each."""
+
+    ids: pa.Array
+    vectors: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, side: str, row: int) -> _Packed:
+        ids, flat = (batch[f"{side}{name}"][row].values for name in ("ids", "vectors"))
+        return cls(ids, flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table, key: str) -> _Packed:
+        flat = _lists(rows["vector"]).flatten().to_numpy(zero_copy_only=False)
+        return cls(rows[key].combine_chunks(), flat.reshape(rows.num_rows, -1))
+
+
+class _Best:
+    """The best of the blocks seen so far for each vector of one block: row of the vector, id and rounded score."""
+
+    def __init__(self, ids: pa.Array, want: int):
+        self.ids, self.want = ids, want
+        self.least = np.full(len(ids), -np.inf)  # the last of the best so far
+        self.row, self.cid, self.score = np.empty(0, int), None, np.empty(0)
+
+    def add(self, asked: _Packed, held: _Packed, to_left=None, to_right=None) -> None:
+        """Products in double precision of another block, the lower id first among equal ones."""
+        others = held.vectors.astype(float, copy=False)
+        others = others if to_right is None else to_right(others)
+        place = np.empty(len(held.ids), dtype=np.int64)
+        place[pc.sort_indices(held.ids).to_numpy()] = np.arange(len(held.ids))
+        narrow, parts = others.astype(np.float32), []
+        reach = np.sqrt(np.einsum("ij,ij->i", others, others).max())
+        each = max(1, min(TILE[0], SLICE // TILE[1]))
+        for start in range(0, len(self.ids), each):
+            rows = asked.vectors[start:start + each].astype(float, copy=False)
+            rows = rows if to_left is None else to_left(rows)
+            row, column, score = _best_columns(rows, others, narrow, reach, place, self.want, self.least[start:start + each])
+            parts.append((row + start, column, score))
+        row, column, score = (np.concatenate(p) for p in zip(*parts))
+        cid = held.ids.take(pa.array(column))
+        if self.cid is None:
+            self._keep(row, cid, score)
+            return
+        row, score = np.concatenate([self.row, row]), np.concatenate([self.score, score])
+        cid = pa.concat_arrays([self.cid, cid])
+        by = pa.table({"row": row, "score": score, "cid": cid})
+        order = pc.sort_indices(by, sort_keys=[("row", "ascending"), ("score", "descending"), ("cid", "ascending")]).to_numpy()
+        row = row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < self.want
+        self._keep(row[kept], cid.take(pa.array(order[kept])), score[order[kept]])
+
+    def _keep(self, row: np.ndarray, cid: pa.Array, score: np.ndarray) -> None:
+        self.row, self.cid, self.score = row, cid, score
+        last = np.arange(len(row)) - np.searchsorted(row, row) == self.want - 1
+        self.least[row[last]] = score[last]
+
+    def table(self) -> pa.Table:
+        return pa.table({"qid": self.ids.take(pa.array(self.row)), "cid": self.cid, "score": self.score})
+
+
+def _best_products(asked: pa.Table, held: pa.Table, want: int) -> pa.Table:
     """qid, cid and rounded score of the ``want`` best of ``held`` for each of ``asked``, lower cid first."""
-    qids, cids = (asked["qid"].combine_chunks(), held["cid"].combine_chunks()) if asked.num_rows and held.num_rows else (None, None)
-    if qids is None:
+    if not (asked.num_rows and held.num_rows):
         return pa.table({"qid": [], "cid": [], "score": pa.array([], pa.float64())})
-    others = _components(held["vector"])
-    others = others if to_right is None else to_right(others)
-    place = np.empty(len(cids), dtype=np.int64)
-    place[pc.sort_indices(cids).to_numpy()] = np.arange(len(cids))
-    narrow, parts = others.astype(np.float32), []
-    reach = np.sqrt(np.einsum("ij,ij->i", others, others).max())
-    each = max(1, min(TILE[0], SLICE // TILE[1]))
-    for start in range(0, len(qids), each):
-        rows = _components(asked["vector"].slice(start, each))
-        rows = rows if to_left is None else to_left(rows)
-        row, column, score = _best_columns(rows, others, narrow, reach, place, want)
-        parts.append((row + start, column, score))
-    row, column, score = (np.concatenate(p) for p in zip(*parts))
-    return pa.table({"qid": qids.take(pa.array(row)), "cid": cids.take(pa.array(column)), "score": score})
+    rows = _Packed.of_rows(asked, "qid")
+    best = _Best(rows.ids, want)
+    best.add(rows, _Packed.of_rows(held, "cid"))
+    return best.table()
 
 
 def _best_columns(rows: np.ndarray, others: np.ndarray, narrow: np.ndarray, reach: float, place: np.ndarray,
-                  want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                  want: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and rounded score of each row's ``want`` highest products, the lower ``place`` first among equal ones.
+    Those below ``known``, a score per row, may be missing.
 
     Single precision tells which products can be among the best; those are taken again in double precision. Columns come
     tile by tile, and the best so far bound what of the next tile can count.
@@ -357,14 +431,14 @@ def _best_columns(rows: np.ndarray, others: np.ndarray, narrow: np.ndarray, reac
     slack = 2 * error + 1e-30 + 2 * 10.0 ** -DIGITS
     single = rows.astype(np.float32) if not exact else None
     row, column, score = np.empty(0, int), np.empty(0, int), np.empty(0)
-    least = np.full(len(rows), -np.inf)  # the last of the best so far
+    least = known.copy()  # the last of the best so far
     for start in range(0, len(others), max(TILE[1], want)):
         stop = min(start + max(TILE[1], want), len(others))
         products = rows @ others[start:stop].T if exact else single @ narrow[start:stop].T
         if start == 0 and stop > want:
             # the last of the best among some of the columns is no better than that among all
             sample = products[:, ::max(1, min(4, stop // (4 * want)))]
-            least = np.partition(sample, -want, axis=1)[:, -want].astype(float)
+            least = np.maximum(least, np.partition(sample, -want, axis=1)[:, -want].astype(float))
         bound = least - slack
         if not exact:
             bound = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
@@ -380,7 +454,8 @@ def _best_columns(rows: np.ndarray, others: np.ndarray, narrow: np.ndarray, reac
         order = np.lexsort((place[column], -score, row))
         row, column, score = row[order], column[order], score[order]
         position = np.arange(len(row)) - np.searchsorted(row, row)
-        least[row[position == want - 1]] = score[position == want - 1]
+        last = position == want - 1
+        least[row[last]] = np.maximum(least[row[last]], score[last])
         keep = position < want
         row, column, score = row[keep], column[keep], score[keep]
     return row, column, score

@@ -12,7 +12,7 @@ from basketry.plans.registry import (
     ENTRIES, HALF, INTERACTIONS, ITEM_STATS, REVIEWED, moment, query, rounded)
 from basketry.session import cut_lineage, scratch_path
 from basketry.sources.profiles import (
-    entries_from_profiles, load_profile_folders, load_saved_profiles, save_profiles)
+    entries_from_profiles, load_profile_files, load_saved_profiles, save_profile_files, save_profiles)
 from basketry.sources.tables import Tables
 
 
@@ -135,8 +135,8 @@ def profiles_one_file_each(t: Tables) -> DataFrame:
     text = F.to_json(F.struct("purchase_history", "wishlist", "cart"))
     whole = F.when(F.col("user_id") % 13 == 4, F.left(text, F.lit(30))).otherwise(text)
     folder = scratch_path(t.spark, "profiles")
-    distinct.groupBy("user_id").agg(*listed).select("user_id", whole.alias("value")).write.partitionBy("user_id").text(folder)
-    return load_profile_folders(t.spark, folder).select(
+    save_profile_files(distinct.groupBy("user_id").agg(*listed).select("user_id", whole.alias("value")), folder)
+    return load_profile_files(t.spark, folder).select(
         "user_id", *[F.size(c).cast("long").alias(n) for c, n in (
             ("purchase_history", "purchases"), ("wishlist", "wished"), ("cart", "in_cart"))])
 

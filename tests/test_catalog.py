@@ -1,4 +1,5 @@
 import json
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -137,6 +138,32 @@ def test_profile_documents(spark, tmp_path):
     assert again["ann"]["wishlist"][0]["price"] == 2.0 and again["ann"]["user_preferences"]["email"] == "a@x"
 
 
+def test_profile_files_of_odd_users(spark, tmp_path):
+    """One file per user in a bounded number of folders; names come back as they were, broken and unfinished files are passed over."""
+    users = ["1", "a/b", "..", "50%", "%", "é +", "", None, "cut", "empty"]
+    text = json.dumps({"wishlist": [{"item_id": "1", "title": "é\nx"}]})
+    rows = [(u, {"cut": text[:30], "empty": ""}.get(u, text)) for u in users]
+    documents = spark.createDataFrame(rows, "user_id string, value string")
+    for _ in range(2):  # a second run replaces the files
+        assert profile_files.save_profile_files(documents, f"{tmp_path}/files") == len(users)
+    names = [f for _, _, files in os.walk(tmp_path / "files") for f in files]
+    assert len(names) == len(set(names)) == len(users) and all(n.endswith(".json") for n in names)
+    part = next(os.scandir(tmp_path / "files")).path
+    with open(f"{part}/1.json.part", "w") as f:
+        f.write(text)
+    loaded = profile_files.load_profile_files(spark, f"{tmp_path}/files").collect()
+    assert sorted(r.user_id or repr(r.user_id) for r in loaded) == sorted(u or repr(u) for u in users[:8])
+    assert all(r.wishlist[0].title == "é\nx" and r.cart == [] and r.rec_seed == 42 for r in loaded)
+
+
+def test_a_file_per_user_makes_no_folder_per_user(spark, tmp_path):
+    documents = spark.range(1000).select(F.col("id").alias("user_id"), F.lit("{}").alias("value"))
+    profile_files.save_profile_files(documents, f"{tmp_path}/files")
+    folders = list(os.walk(tmp_path / "files"))
+    assert sum(len(files) for *_, files in folders) == 1000 and len(folders) <= profile_files.FOLDERS + 1
+    assert profile_files.load_profile_files(spark, f"{tmp_path}/files").count() == 1000
+
+
 ENTRY = "user_id string, kind string, item_id string, category string, price double, added_at timestamp_ntz"
 
 

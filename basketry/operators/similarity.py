@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIGITS = 9  # scores this close count as equal, and the lower id goes first
 SLICE = 1 << 20  # scores, or components of visiting vectors, that a task holds at a time
 BLOCK_BYTES = 48 << 20  # of the vectors of a block in double precision, where all blocks meet
-TILE = (256, 4096)  # rows and columns of products worked out at a time, so that they stay in a core's cache
+TILE = (256, 1024)  # rows and columns of products worked out at a time, so that they stay in a core's cache
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -207,8 +207,9 @@ def nearest(
     asked = (distinct.withColumnRenamed("cid", "qid") if all_pairs
              else cut_lineage(queries.groupBy(*same).agg(F.min("id").alias("qid"))))
     visits = _visits(spread(asked, "qid"), cells, want)
+    visitors = _visits(spread(asked, "qid"), cells, want, counted=True)
     best = top_n_per_group(
-        _compare(visits, asked, placed, want, cells, block_rows, total),
+        _compare(visits, visitors, asked, placed, want, cells, block_rows, total),
         ["qid"], [F.desc("score"), F.asc("cid")], want, "_r")
 
     # back from distinct vectors to rows
@@ -266,8 +267,9 @@ def _describe(placed: DataFrame, centers: pd.DataFrame, want: int, block_rows: i
     return _Cells(centers, near, far, close_by, blocks)
 
 
-def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
-    """Each query with every cell that can hold one of its neighbours."""
+def _visits(asked: DataFrame, cells: _Cells, want: int, counted: bool = False) -> DataFrame:
+    """Each query with every cell that can hold one of its neighbours; ``counted``: how many come to each cell, a row per
+    cell and slice, without any vector."""
     filled = np.flatnonzero(cells.blocks > 0)
     offsets = np.concatenate([cells.close_by[c] for c in filled])
     owner = np.concatenate([np.full(len(cells.close_by[c]), c) for c in filled])
@@ -291,6 +293,10 @@ def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
                 # float error of a distance: relative to the lengths it comes from
                 length = np.sqrt(max(asked.squares().max(), around.squares().max(), far ** 2))
                 visit = (gap <= limit[:, None] + 1e-6 * (1 + length)) & (cells.blocks > 0)[None, :]
+                if counted:
+                    seen = visit.sum(axis=0)
+                    yield pd.DataFrame({"cell": np.flatnonzero(seen).astype("int32"), "n": seen[seen > 0]})
+                    continue
                 row, cell = np.nonzero(visit)
                 # a vector is repeated for every cell it visits, so the rows go out in small frames
                 step = max(1, SLICE // width)
@@ -298,17 +304,17 @@ def _visits(asked: DataFrame, cells: _Cells, want: int) -> DataFrame:
                     yield batch.iloc[row[i:i + step]].assign(cell=cell[i:i + step].astype("int32"))
 
     columns = ["vector", "qid"]
-    return asked.select(*columns).mapInPandas(choose, f"{_fields(asked, columns)}, cell int")
+    return asked.select(*columns).mapInPandas(choose, "cell int, n long" if counted else f"{_fields(asked, columns)}, cell int")
 
 
-def _compare(visits: DataFrame, asked: DataFrame, placed: DataFrame, want: int, cells: _Cells,
+def _compare(visits: DataFrame, counted: DataFrame, asked: DataFrame, placed: DataFrame, want: int, cells: _Cells,
              block_rows: int, total: int) -> DataFrame:
     """Dot products block by block; the best ``want`` per query and block.
 
     The visits are worked out twice, once to count them: that costs less than
     storing every query once per visited cell.
     """
-    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    visitors = {r["cell"]: r["n"] for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     found = sum(int(own) for own in cells.blocks)
     rows = max(block_rows, BLOCK_BYTES // (8 * max(1, len(cells.centers["vector"].iloc[0]))))
     if sum(visitors.values()) > asked.count() * max(1, -(-total // rows)) and found > 1:
@@ -429,23 +435,17 @@ def _best_columns(rows: np.ndarray, others: np.ndarray, narrow: np.ndarray, reac
         error = np.zeros(len(rows))
     # what rounds to the same score as the last one in still counts
     slack = 2 * error + 1e-30 + 2 * 10.0 ** -DIGITS
-    single = rows.astype(np.float32) if not exact else None
+    left, right = (rows, others) if exact else (rows.astype(np.float32), narrow)
     row, column, score = np.empty(0, int), np.empty(0, int), np.empty(0)
+    found, waiting = [], 0
     least = known.copy()  # the last of the best so far
-    for start in range(0, len(others), max(TILE[1], want)):
-        stop = min(start + max(TILE[1], want), len(others))
-        products = rows @ others[start:stop].T if exact else single @ narrow[start:stop].T
-        if start == 0 and stop > want:
-            # the last of the best among some of the columns is no better than that among all
-            sample = products[:, ::max(1, min(4, stop // (4 * want)))]
-            least = np.maximum(least, np.partition(sample, -want, axis=1)[:, -want].astype(float))
-        bound = least - slack
-        if not exact:
-            bound = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
-        r, c = np.divmod(np.flatnonzero(products >= bound[:, None]), stop - start)
-        if len(r) == 0:
-            continue
-        c += start
+    width = max(TILE[1], want)
+    room = np.empty((len(rows), width), left.dtype)  # one for all tiles
+
+    def settle() -> None:
+        """Take the products found again in double precision and keep each row's best."""
+        nonlocal row, column, score, waiting
+        r, c = (np.concatenate(part) for part in zip(*found))
         taken, step = np.empty(len(r)), max(1, (SLICE >> 2) // rows.shape[1])
         for i in range(0, len(r), step):
             taken[i:i + step] = np.einsum("ij,ij->i", rows[r[i:i + step]], others[c[i:i + step]])
@@ -458,6 +458,31 @@ def _best_columns(rows: np.ndarray, others: np.ndarray, narrow: np.ndarray, reac
         least[row[last]] = np.maximum(least[row[last]], score[last])
         keep = position < want
         row, column, score = row[keep], column[keep], score[keep]
+        found.clear()
+        waiting = 0
+
+    for start in range(0, len(others), width):
+        stop = min(start + width, len(others))
+        products = np.matmul(left, right[start:stop].T, out=room if stop - start == width else None)
+        blank = np.isneginf(least) if start == 0 and stop > want else None
+        if blank is not None and blank.any():
+            # the last of the best among some of the columns is no better than that among all
+            sample = products[blank][:, ::max(1, min(4, stop // (4 * want)))]
+            least[blank] = np.partition(sample, -want, axis=1)[:, -want].astype(float)
+        bound = least - slack
+        if not exact:
+            bound = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
+        # few rows have a product that counts once the best so far are good
+        hit = np.flatnonzero(products.max(axis=1) >= bound)
+        if len(hit) == 0:
+            continue
+        r, c = np.divmod(np.flatnonzero(products[hit] >= bound[hit, None]), stop - start)
+        found.append((hit[r], c + start))
+        waiting += len(r)
+        if waiting >= 8 * len(rows):
+            settle()
+    if found:
+        settle()
     return row, column, score
 
 

@@ -104,3 +104,35 @@ def test_a_block_takes_little_beside_its_vectors():
     scores = np.round(values[0, :300] @ values[1].T, 9)
     expected = [(i, int(cids[j])) for i in range(300) for j in np.lexsort((cids, -scores[i]))[:5]]
     assert list(zip(found["qid"].to_pylist(), found["cid"].to_pylist())) == expected
+
+
+def test_visitors_are_counted_without_their_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "qid long, vector array<double>")
+    placed = similarity._place(df.withColumnRenamed("qid", "cid"), similarity._pick_centers(df.withColumnRenamed("qid", "cid"), 5))
+    cells = similarity._describe(placed, similarity._pick_centers(df.withColumnRenamed("qid", "cid"), 5), 3, 8)
+    counted = similarity._visits(df, cells, 3, counted=True)
+    assert counted.columns == ["cell", "n"]
+    told = {r["cell"]: r["n"] for r in counted.groupBy("cell").agg({"n": "sum"}).toDF("cell", "n").collect()}
+    assert told == {r["cell"]: r["count"] for r in similarity._visits(df, cells, 3).groupBy("cell").count().collect()}
+
+
+def test_tiles_look_closer_only_at_rows_with_a_hit(monkeypatch):
+    """Products of many tiles, taken again in double precision now and then: the best of all, ties to the lower place."""
+    rng = np.random.default_rng(6)
+    rows, others = (np.round(rng.normal(size=(n, 6)), 1) for n in (40, 5000))
+    others[2000:2600] = others[7]
+    place, looked, divmod_ = rng.permutation(5000), [], np.divmod
+    monkeypatch.setattr(similarity, "TILE", (40, 128))
+    monkeypatch.setattr(similarity.np, "divmod", lambda at, width: looked.append(len(at)) or divmod_(at, width))
+    reach = np.sqrt((others ** 2).sum(1).max())
+    r, c, score = similarity._best_columns(rows, others, others.astype(np.float32), reach, place, 5, np.full(40, -np.inf))
+    truth = np.round(rows @ others.T, 9)
+    for i in range(40):
+        best = np.lexsort((place, -truth[i]))[:5]
+        assert c[r == i].tolist() == best.tolist() and score[r == i].tolist() == truth[i][best].tolist()
+    # better than the best a row knows: no tile has to be looked at
+    looked.clear()
+    none = similarity._best_columns(rows, others, others.astype(np.float32), reach, place, 5, np.full(40, 1e3))
+    assert len(none[0]) == 0 and not looked

@@ -61,9 +61,17 @@ def build_index(items: DataFrame, key: str, columns: list[str], folder: str, buc
     kept = texts.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f"_{i}" for i in range(len(columns))]
+        waiting, count = [], 0  # batches may be far smaller than a chunk
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
-                yield _listed(batch.slice(start, CHUNK), "_key", [f"_{i}" for i in range(len(columns))])
+                waiting.append(batch.slice(start, CHUNK))
+                count += waiting[-1].num_rows
+                if count >= CHUNK:
+                    yield _listed(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], "_key", names)
+                    waiting, count = [], 0
+        if count:
+            yield _listed(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], "_key", names)
 
     kind = items.schema[key].dataType.simpleString()
     grams = spread(kept, "_key").mapInArrow(listed, f"gram string, _key array<{kind}>").withColumnRenamed("_key", key).withColumn(

@@ -163,3 +163,19 @@ def test_index_lists_items_by_run_before_the_shuffle(spark, tmp_path):
     assert grams.count() <= grams.select("gram").distinct().count() * spark.sparkContext.defaultParallelism
     found = text_index.search_index(spark, str(tmp_path), "item_id", TEXTS, "words 1", buckets=4)
     assert sorted(r.item_id for r in found.collect()) == list(range(1, 500, 3))
+
+
+def test_index_gathers_small_batches(spark, tmp_path):
+    """A session whose batches hold few rows lists as many items by run at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        items = spark.createDataFrame([(i, f"same words {i % 3}", None) for i in range(500)], "item_id int, title string, description string")
+        text_index.build_index(items, "item_id", TEXTS, str(tmp_path), buckets=4)
+    finally:
+        spark.conf.set(name, before)
+    grams = spark.read.parquet(f"{tmp_path}/grams")
+    assert grams.count() <= grams.select("gram").distinct().count() * max(8, spark.sparkContext.defaultParallelism)
+    found = text_index.search_index(spark, str(tmp_path), "item_id", TEXTS, "words 1", buckets=4)
+    assert sorted(r.item_id for r in found.collect()) == list(range(1, 500, 3))
